@@ -1,0 +1 @@
+"""Empty on purpose: the workload being rebuilt has no streaming operators."""
