@@ -10,6 +10,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY = 1e-300
 _EPS = 1e-15
@@ -197,7 +198,7 @@ def _row_udf(fn, arity: int):
     else:
         def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
             return pd.Series([fn(x, y, z) for x, y, z in zip(a, b, c)], dtype="float64")
-    udf = F.pandas_udf(run, "double")
+    udf = F.pandas_udf(run, T.DoubleType())
 
     def call(*cols):
         got = udf(*[c.cast("double") for c in cols])

@@ -82,7 +82,8 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
     size is numbered without sorting it in one task.
     """
     values = df.where(~missing(df, column)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return (running_sums(add_bucket(values, [], [column]), [], [column], {"code": F.lit(1).cast("bigint")})
+    ranged = add_bucket(values, [], [column], sample_from=df.where(~missing(df, column)))
+    return (running_sums(ranged, [], [column], {"code": F.lit(1).cast("bigint")})
             .withColumn("code", F.col("code") - 1).drop(BUCKET))
 
 
@@ -99,8 +100,8 @@ def convert_type(df: DataFrame, column: str, target: str) -> DataFrame:
     if target == "string":
         return df.withColumn(column, F.col(column).cast("string"))
     if target == "category":
-        codes = category_codes(df, column).withColumnRenamed("code", f"{column}_code")
-        coded = attach(df, codes, [column])
+        codes = category_codes(df, column).drop("n").withColumnRenamed("code", f"{column}_code")
+        coded = attach(df, codes, [column], df.groupBy(column).agg(F.count(F.lit(1)).alias("n")))
         absent = df.where(missing(df, column)).withColumn(f"{column}_code", F.lit(None).cast("bigint"))
         return coded.unionByName(absent).select(*df.columns, f"{column}_code")
     raise ValueError(f"unknown target type: {target}")

@@ -38,7 +38,6 @@ def attach_group_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFram
     rows is not sorted in one task.
     """
     v = as_double(value)
-    stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg(v).alias("group_mean"),
-                                F.stddev_samp(v).alias("_std"))
-    return (attach(df, stats, by, weight="_n")
+    stats = df.groupBy(*by).agg(F.avg(v).alias("group_mean"), F.stddev_samp(v).alias("_std"))
+    return (attach(df, stats, by, df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
             .withColumn("z", F.try_divide(as_double(value) - F.col("group_mean"), "_std")).drop("_std"))

@@ -48,25 +48,40 @@ def _cut_points(df: DataFrame, keys: Sequence[str], buckets: int) -> tuple[str,
 
 
 def add_bucket(df: DataFrame, by: Sequence[str], order: Sequence[str],
-               buckets: int | None = None) -> DataFrame:
-    """Add the number of the range each row falls in (one small sampling job)."""
+               sample_from: DataFrame | None = None) -> DataFrame:
+    """Add the number of the range each row falls in (one small sampling job).
+
+    `sample_from` is a cheaper frame to sample, such as the rows `df` was counted from.
+    """
     keys = [*by, *order]
-    cuts = _cut_points(df, keys, buckets or bucket_count(df))
+    cuts = _cut_points(df if sample_from is None else sample_from, keys, bucket_count(df))
     if cuts is None:
         return df.withColumn(BUCKET, F.lit(0))
     text, ddl, n = cuts
     if not json.loads(text):
         return df.withColumn(BUCKET, F.lit(0))
-    points = F.from_json(F.lit(text), ddl)
-    key = F.struct(*keys)
-    steps = [1 << b for b in reversed(range(n.bit_length()))]
+    return _search(df, F.struct(*keys), F.from_json(F.lit(text), ddl), n, BUCKET)
+
+
+def _search(df: DataFrame, key: Column, points: Column, n: int, name: str) -> DataFrame:
+    """Add the number of `points` (a sorted literal array of n) that are not above `key`.
+
+    Binary search as one projection per halving: it stays in generated code, which a lambda
+    over the array would not, and costs log2(n) comparisons per row.
+    """
+    out = df.withColumn("_key", key).withColumn(name, F.lit(0))
+    for width in [1 << b for b in reversed(range(n.bit_length()))]:
+        passed = F.get(points, F.col(name) + (width - 1)) <= F.col("_key")
+        out = out.withColumn(name, F.col(name) + F.when(passed, F.lit(width)).otherwise(F.lit(0)))
+    return out.drop("_key")
 
-    def step(pos: Column, width: Column) -> Column:
-        probe = pos + width
-        return F.when((probe <= n) & (F.get(points, probe - 1) <= key), probe).otherwise(pos)
 
-    found = F.aggregate(F.array(*[F.lit(w) for w in steps]), F.lit(0), step)
-    return df.withColumn(BUCKET, found)
+def count_not_above(df: DataFrame, column: str, points: Sequence[float], name: str) -> DataFrame:
+    """Add how many of the sorted numbers are at or below a column."""
+    if not points:
+        return df.withColumn(name, F.lit(0))
+    array = F.from_json(F.lit(json.dumps(list(points))), "array<double>")
+    return _search(df, F.col(column), array, len(points), name)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -97,23 +112,29 @@ def _by_window(by: Sequence[str]):
 
 
 def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str],
-                 sums: dict[str, Column]) -> DataFrame:
+                 sums: dict[str, Column], totals: dict[str, str] | None = None) -> DataFrame:
     """Add inclusive running totals along `order` within `by`.
 
-    `df` must carry the range column of `add_bucket(df, by, order)`.
+    `df` must carry the range column of `add_bucket(df, by, order)`. `totals` maps the name
+    of a sum to the name of a further column with its total per `by` key.
     """
-    w = (Window.partitionBy(*by, BUCKET).orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    names = list(sums)
+    part = Window.partitionBy(*by, BUCKET)
+    w = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    names, totals = list(sums), totals or {}
     summary = df.groupBy(*by, BUCKET).agg(*[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()])
     before = _by_window(by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = _crossing(summary, by).select(
-        *by, BUCKET, *[F.sum(f"_s_{n}").over(before).alias(f"_o_{n}") for n in names])
-    rows = df.select("*", *[F.sum(e).over(w).alias(f"_i_{n}") for n, e in sums.items()])
+        *by, BUCKET, *[F.sum(f"_s_{n}").over(before).alias(f"_o_{n}") for n in names],
+        *[F.sum(f"_s_{n}").over(_by_window(by)).alias(f"_t_{n}") for n in totals])
+    rows = df.select("*", *[F.sum(e).over(w).alias(f"_i_{n}") for n, e in sums.items()],
+                     *[F.sum(sums[n]).over(whole).alias(f"_w_{n}") for n in totals])
     out = _null_safe(rows, offsets, [*by, BUCKET])
     zero = F.lit(0)
-    return out.select(*df.columns, *[
-        (F.coalesce(f"_i_{n}", zero) + F.coalesce(f"_o_{n}", zero)).alias(n) for n in names])
+    return out.select(
+        *df.columns,
+        *[(F.coalesce(f"_i_{n}", zero) + F.coalesce(f"_o_{n}", zero)).alias(n) for n in names],
+        *[F.coalesce(f"_t_{n}", f"_w_{n}").alias(name) for n, name in totals.items()])
 
 
 def carry(df: DataFrame, by: Sequence[str], order: Sequence[str],
@@ -143,31 +164,70 @@ def carry(df: DataFrame, by: Sequence[str], order: Sequence[str],
 
 def ranked_frequency(df: DataFrame, value: str, by: Sequence[str] = (),
                      weights: dict[str, Column] | None = None) -> DataFrame:
-    """(by, value, n, weights..., upto): distinct values in order with running counts.
+    """(by, value, n, weights..., upto, n_group): distinct values in order with running counts.
 
     `upto` counts the rows with a value not above this one, so a value holds the ranks
-    upto - n + 1 .. upto and the average rank upto - (n - 1) / 2. Weights are summed
-    per value next to n.
+    upto - n + 1 .. upto and the average rank upto - (n - 1) / 2. `n_group` counts all rows
+    of the `by` key. Weights are summed per value next to n.
     """
     present = df.where(F.col(value).isNotNull())
     extra = weights or {}
     freq = present.groupBy(*by, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in extra.items()])
-    return running_sums(add_bucket(freq, by, [value]), by, [value], {"upto": F.col("n")}).drop(BUCKET)
+    return running_sums(add_bucket(freq, by, [value], sample_from=present), by, [value],
+                        {"upto": F.col("n")}, {"upto": "n_group"}).drop(BUCKET)
 
 
-def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str = "n",
-           hot_share: int = 2000) -> DataFrame:
-    """Inner join of rows with a table that has one row per key and its row count.
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, tiebreak: Sequence[str],
+                  weight: str, rank: str, total: str, sample_from: DataFrame) -> DataFrame:
+    """Add the average rank of `value` within `by` to rows that stand for `weight` equal rows.
 
-    Keys with more than 1 / hot_share of all rows number at most hot_share; they are
-    broadcast. The rest is shuffled, and no key of it can be large. A hot key is thus
-    never sent to one task.
+    Rows are spread over ranges of (by, value, tiebreak), so one value with a third of all
+    rows does not meet in one task. A value that lies in several ranges gets its first and
+    last rank from a summary of the values at range borders: at most one per border.
+    """
+    order = [value, *tiebreak]
+    df = add_bucket(df, by, order, sample_from)
+    w = F.col(weight)
+    # One row per (by, range): its size and its first and last value with their sizes.
+    summary = (df.groupBy(*by, BUCKET, value).agg(F.sum(w).alias("w")).groupBy(*by, BUCKET)
+               .agg(F.sum("w").alias("s"), F.min(F.struct(F.col(value).alias("v"), "w")).alias("a"),
+                    F.max(F.struct(F.col(value).alias("v"), "w")).alias("b")))
+    before = _by_window(by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    placed = (summary.withColumn("o", F.coalesce(F.sum("s").over(before), F.lit(0)))
+              .withColumn("t", F.sum("s").over(_by_window(by))))
+    offsets = _crossing(placed, by).select(*by, BUCKET, F.col("o").alias("_o"), F.col("t").alias("_t"))
+    edges = F.array_distinct(F.array(
+        F.struct(F.col("a.v").alias("v"), F.col("o").alias("lo"), (F.col("o") + F.col("a.w")).alias("hi")),
+        F.struct(F.col("b.v").alias("v"), (F.col("o") + F.col("s") - F.col("b.w")).alias("lo"),
+                 (F.col("o") + F.col("s")).alias("hi"))))
+    borders = (placed.select(*by, F.explode(edges).alias("e")).groupBy(*by, F.col("e.v").alias(value))
+               .agg(F.count(F.lit(1)).alias("_p"), F.min("e.lo").alias("_glo"), F.max("e.hi").alias("_ghi"))
+               .where("_p > 1").drop("_p"))
+    part = Window.partitionBy(*by, BUCKET)
+    run = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ties = Window.partitionBy(*by, BUCKET, value)
+    rows = df.select("*", F.sum(w).over(run).alias("_i"), F.sum(w).over(whole).alias("_w"))
+    rows = rows.select("*", F.min(F.col("_i") - w).over(ties).alias("_lo"), F.max("_i").over(ties).alias("_hi"))
+    out = _null_safe(_null_safe(rows, offsets, [*by, BUCKET]), borders, [*by, value])
+    shift = F.coalesce("_o", F.lit(0))
+    lo, hi = F.coalesce("_glo", F.col("_lo") + shift), F.coalesce("_ghi", F.col("_hi") + shift)
+    keep = [c for c in df.columns if c != BUCKET]
+    return out.select(*keep, ((lo + hi + 1) / 2).alias(rank), F.coalesce("_t", "_w").alias(total))
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str],
+           sizes: DataFrame, hot_share: int = 2000) -> DataFrame:
+    """Inner join of rows with a table that has one row per key.
+
+    `sizes` gives the number of rows `n` of each key. Keys with more than 1 / hot_share of all
+    rows number at most hot_share; they are broadcast. The rest is shuffled, and no key of it
+    can be large. A hot key is thus never sent to one task.
     """
-    total = table.agg(F.sum(weight).alias("t")).scalar()
-    is_hot = F.col(weight) * hot_share > total
-    hot = F.broadcast(table.where(is_hot).drop(weight))
-    cold = table.where(~is_hot).drop(weight)
     keys = list(keys)
-    return (rows.join(hot, keys)
-            .unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)))
+    total = sizes.agg(F.sum("n").alias("t")).scalar()
+    hot = F.broadcast(sizes.where(F.col("n") * hot_share > total).select(*keys))
+    hot_table = F.broadcast(table.join(hot, keys, "left_semi"))
+    return (rows.join(hot_table, keys)
+            .unionByName(rows.join(hot, keys, "left_anti").join(table.join(hot, keys, "left_anti"), keys)))

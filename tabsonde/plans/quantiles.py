@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsonde.plans.aggregates import unpivot_values
-from tabsonde.plans.ordering import attach, ranked_frequency, sampled_rows
+from tabsonde.plans.ordering import ranked_frequency, sampled_rows
 from tabsonde.schema import as_double
 
 SAMPLE = 8192
@@ -149,17 +149,14 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str],
     group with a third of all rows is spread over many tasks.
     """
     keys = [*by, "column_name"]
-    values = unpivot_values(df, cols, by, numeric=True)
-    total = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_weight", F.col("_n"))
-    joined = attach(ranked_frequency(values, "value", keys), total, keys, weight="_weight")
+    ranked = ranked_frequency(unpivot_values(df, cols, by, numeric=True), "value", keys)
     aggs = []
     for name, p in probs.items():
-        pos = F.lit(p) * (F.col("_n") - 1)
-        first = F.floor(pos)
-        last = F.least(first + 1, F.col("_n") - 1)
+        first = F.floor(F.lit(p) * (F.col("n_group") - 1))
+        last = F.least(first + 1, F.col("n_group") - 1)
         aggs += [F.min(F.when(F.col("upto") > first, F.col("value"))).alias(f"_x_{name}"),
                  F.min(F.when(F.col("upto") > last, F.col("value"))).alias(f"_y_{name}")]
-    got = joined.groupBy(*keys).agg(F.first("_n").alias("_n"), *aggs)
+    got = ranked.groupBy(*keys).agg(F.max("n_group").alias("_n"), *aggs)
     out = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_n") - 1)
