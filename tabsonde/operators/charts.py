@@ -228,7 +228,7 @@ def parallel_lines(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ())
 
 
 def missing_matrix(df: DataFrame, limit: int = MATRIX_COLUMNS) -> DataFrame:
-    """(pattern columns, n): which columns are missing together, 1 for missing.
+    """(pattern columns, n_rows): which columns are missing together, 1 for missing.
 
     With more than `limit` columns, those with most missing values are kept.
     """
@@ -236,4 +236,4 @@ def missing_matrix(df: DataFrame, limit: int = MATRIX_COLUMNS) -> DataFrame:
     if len(cols) > limit:
         top = missing_profile(df).limit(limit).collect()
         cols = [c for c in cols if c in {r["column_name"] for r in top}]
-    return df.groupBy(*[missing(df, c).cast("bigint").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*[missing(df, c).cast("bigint").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("n_rows"))

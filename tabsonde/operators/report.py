@@ -96,7 +96,7 @@ def chart_section(df: DataFrame) -> DataFrame:
     parts = [_lines(type_distribution(df), [_line("chart_types", F.lit("columns"), F.col("n_columns"), item=F.col("type"))])]
     if patterns is not None:
         bits = F.concat(*[F.col(c).cast("string") for c in flags])
-        parts.append(_lines(patterns, [_line("chart_missing", F.lit("pattern"), F.col("n"), item=bits)]))
+        parts.append(_lines(patterns, [_line("chart_missing", F.lit("pattern"), F.col("n_rows"), item=bits)]))
     numeric = numeric_columns(df)
     if 0 < len(numeric) <= HISTOGRAM_COLUMNS:
         parts.append(_lines(histogram(df, numeric, HISTOGRAM_BINS), [

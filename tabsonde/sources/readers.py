@@ -20,8 +20,7 @@ def _csv(spark: SparkSession, path: str, schema: T.StructType | None, encoding:
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
     """False if any line of the file holds bytes that are not UTF-8 (a scan that stops early)."""
-    broken = spark.read.text(path).where(F.col("value").contains("�"))
-    return broken.limit(1).count() == 0
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() == 0
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tabsonde.operators.report import ReportConfig, report_tables, sections
@@ -56,10 +55,9 @@ def result_key(name: str, df: DataFrame, params: dict | None = None) -> str:
 
 
 def _is_complete(spark: SparkSession, path: str) -> bool:
-    try:
-        return spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").count() == 1
-    except AnalysisException:
-        return False
+    """Whether the job that wrote the folder committed."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
 
 
 def cached_result(base: str, key: str, spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
