@@ -30,17 +30,20 @@ would
 """.split()
 
 
+def _kept(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), f"[^{KEPT}{WHITE_SPACE}]+", "")
+
+
 def clean(c: Column) -> Column:
     """Lower case; only letters, digits and Hangul; single blanks."""
-    kept = F.regexp_replace(F.lower(c), f"[^{KEPT}{WHITE_SPACE}]", "")
-    return F.trim(F.regexp_replace(kept, f"[{WHITE_SPACE}]+", " "))
+    return F.trim(F.regexp_replace(_kept(c), f"[{WHITE_SPACE}]+", " "))
 
 
-def words(cleaned: Column) -> Column:
-    """The blank-separated words of a cleaned text."""
-    return F.filter(F.split(cleaned, " "), lambda w: w != "")
+def words(text: Column) -> Column:
+    """The words of a text as it reads after cleaning; there may be empty ones at both ends."""
+    return F.split(_kept(text), f"[{WHITE_SPACE}]+")
 
 
-def terms(cleaned: Column, stop_words: list[str] = STOP_WORDS) -> Column:
+def terms(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Words of at least two characters that are not stop words."""
-    return F.filter(F.split(cleaned, " "), lambda w: (F.length(w) >= MIN_WORD) & ~w.isin(*stop_words))
+    return F.filter(words(text), lambda w: (F.length(w) >= MIN_WORD) & ~w.isin(*stop_words))

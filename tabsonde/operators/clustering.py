@@ -126,6 +126,16 @@ def grow_forest(df: DataFrame, features: Sequence[str], trees: int = TREES, subs
         _grow(features), "tree int, node int, l int, r int, feature int, cut double, path double").toPandas()
 
 
+def _walkable(tree: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """(left, right, feature, cut, path) where a leaf leads to itself, so that all rows can take
+    the same number of steps."""
+    left, right = tree["l"].to_numpy(np.int32), tree["r"].to_numpy(np.int32)
+    own = tree["node"].to_numpy(np.int32)
+    leaf = left < 0
+    return (np.where(leaf, own, left), np.where(leaf, own, right), np.maximum(tree["feature"].to_numpy(np.int64), 0),
+            tree["cut"].to_numpy(float), tree["path"].to_numpy(float))
+
+
 def isolation_scores(df: DataFrame, features: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Complete rows with `score` in (0, 1): near 1 isolated, near 0.5 ordinary.
 
@@ -137,22 +147,19 @@ def isolation_scores(df: DataFrame, features: Sequence[str] | None = None, keep:
     rows = df.select(*keep, *[as_double(c).alias(c) for c in features if c not in keep]).na.drop(subset=features)
     nodes = grow_forest(rows, features)
     forest = [g.sort_values("node") for _, g in nodes.groupby("tree")]
-    arrays = [tuple(g[c].to_numpy() for c in ("l", "r", "feature", "cut", "path")) for g in forest]
+    arrays = [_walkable(g) for g in forest]
+    depth = math.ceil(math.log2(SUBSAMPLE))
     shared = df.sparkSession.sparkContext.broadcast(arrays)
 
     def score(*cols: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(float) for c in cols])
+        flat, at = x.ravel(), np.arange(len(x)) * x.shape[1]
         total = np.zeros(len(x))
-        at = np.arange(len(x))
         for left, right, feature, cut, path in shared.value:
-            node = np.zeros(len(x), dtype=np.int64)
-            while True:
-                f = feature[node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go_left = x[at, np.maximum(f, 0)] < cut[node]
-                node = np.where(inner, np.where(go_left, left[node], right[node]), node)
+            node = np.zeros(len(x), dtype=np.int32)
+            for _ in range(depth):
+                value = flat[at + feature[node]]
+                node = np.where(value < cut[node], left[node], right[node])
             total += path[node]
         return pd.Series(2.0 ** (-total / len(shared.value) / _average_path(SUBSAMPLE)))
 

@@ -16,7 +16,7 @@ from tabsonde.functions.normal import norm_cdf, norm_log_cdf, norm_ppf
 from tabsonde.functions.special import (chi2_upper_col, f_upper_col, kolmogorov_upper_col,
                                         normal_upper_col, t_two_sided_col)
 from tabsonde.plans.ordering import attach, ranked_frequency
-from tabsonde.plans.quantiles import grouped_quantiles
+from tabsonde.plans.quantiles import few_groups, grouped_quantiles
 from tabsonde.schema import as_double, require_columns, require_numeric
 
 SHAPIRO_LIMIT = 5000
@@ -71,8 +71,11 @@ def _deviations(values: DataFrame, group: str, by: Sequence[str]) -> DataFrame:
     """Absolute distance of every value from its group's median, as `_v`."""
     keys = [*by, group]
     medians = grouped_quantiles(values, keys, ["_v"], {"_median": 0.5}).drop("column_name")
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return (attach(values, medians, keys, sizes)
+    if few_groups(values, keys) is not None:
+        joined = values.join(F.broadcast(medians), keys)
+    else:
+        joined = attach(values, medians, keys, values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    return (joined
             .select(*keys, F.abs(F.col("_v") - F.col("_median")).alias("_v")))
 
 

@@ -29,16 +29,25 @@ def missing_pattern(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     A heuristic, not a test: the null flag of a column is correlated with the presence flags
     of the other numeric columns that hold more than ten values. Above 90 % missing the
     label is mostly_missing, else the largest absolute correlation decides: under 0.1 MCAR,
-    over 0.3 MAR, between MNAR. All flags are counted in one scan.
+    over 0.3 MAR, between MNAR. One scan finds the columns with missing values, one more
+    counts all pairs of their flags.
     """
     cols = list(cols or df.columns)
     numeric = numeric_columns(df)
-    gone = {c: missing(df, c).cast("bigint") for c in {*cols, *numeric}}
+    names = list(dict.fromkeys([*cols, *numeric]))
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    some = {c for i, c in enumerate(names) if counts[f"m{i}"]}
+    # A column without missing values has a constant flag, so it takes part in no pair.
+    cols = [c for c in cols if c in some]
+    numeric = [c for c in numeric if c in some]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, ratio double, max_corr double, pattern string")
+    flags = df.select(*[missing(df, c).cast("bigint").alias(c) for c in names if c in some])
     aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(gone[c]).alias(f"m_{c}") for c in gone]
+    aggs += [F.sum(c).alias(f"m_{c}") for c in flags.columns]
     pairs = [(c, o) for c in cols for o in numeric if o != c]
-    aggs += [F.sum(gone[c] * (1 - gone[o])).alias(f"x_{c}_{o}") for c, o in pairs]
-    row = df.agg(*aggs)
+    aggs += [F.sum(F.col(c) * (1 - F.col(o))).alias(f"x_{c}_{o}") for c, o in pairs]
+    row = flags.agg(*aggs)
     n = F.col("n").cast("double")
     structs = []
     for c in cols:

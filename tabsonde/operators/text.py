@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
@@ -18,7 +20,7 @@ def clean_text(df: DataFrame, text: str) -> DataFrame:
 
 
 def _terms(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
-    return df.where(F.col(text).isNotNull()).select(terms(clean(F.col(text)), list(stop_words)).alias("terms"))
+    return df.where(F.col(text).isNotNull()).select(terms(F.col(text), list(stop_words)).alias("terms"))
 
 
 def term_counts(df: DataFrame, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -43,23 +45,24 @@ def keywords_by_tfidf(df: DataFrame, text: str, n: int = 10,
     vocabulary = [r["term"] for r in keywords_by_frequency(df, text, n, stop_words).collect()]  # n rows
     if not vocabulary:
         return df.sparkSession.createDataFrame([], "term string, score double")
-    listed = F.filter(F.col("terms"), lambda w: w.isin(*vocabulary))
-    rows = _terms(df, text, stop_words).select(listed.alias("terms"))
+    listed = F.filter(words(F.col(text)), lambda w: w.isin(*vocabulary))
+    rows = df.where(F.col(text).isNotNull()).select(listed.alias("terms"))
 
     def times(term: str):
         return F.size(F.filter("terms", lambda w: w == F.lit(term))).cast("double")
 
-    counted = rows.select(*[times(v).alias(f"c{i}") for i, v in enumerate(vocabulary)])
     size = range(len(vocabulary))
-    idf = counted.agg(F.count(F.lit(1)).alias("texts"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in size])
-    idf = idf.select("texts", *[(F.log((1 + F.col("texts")) / (1 + F.col(f"d{i}"))) + 1).alias(f"i{i}") for i in size])
-    weighed = counted.crossJoin(F.broadcast(idf)).select(*[(F.col(f"c{i}") * F.col(f"i{i}")).alias(f"w{i}") for i in size])
+    # n numbers per text are kept between the two passes, not the texts.
+    counted = rows.select(*[times(v).alias(f"c{i}") for i, v in enumerate(vocabulary)]).persist(StorageLevel.MEMORY_AND_DISK)
+    seen = counted.agg(F.count(F.lit(1)).alias("texts"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in size]).first()
+    idf = [math.log((1 + seen["texts"]) / (1 + seen[f"d{i}"])) + 1 for i in size]
+    weighed = counted.select(*[(F.col(f"c{i}") * F.lit(idf[i])).alias(f"w{i}") for i in size])
     norm = F.sqrt(sum((F.col(f"w{i}") ** 2 for i in size), F.lit(0.0)))
-    scaled = weighed.withColumn("norm", norm).agg(*[
-        F.avg(F.coalesce(F.try_divide(f"w{i}", "norm"), F.lit(0.0))).alias(f"s{i}") for i in size])
-    return (scaled.select(F.explode(F.array(*[F.struct(F.lit(v).alias("term"), F.col(f"s{i}").alias("score"))
-                                              for i, v in enumerate(vocabulary)])).alias("r"))
-            .select("r.*").orderBy(F.desc("score"), "term"))
+    scores = weighed.withColumn("norm", norm).agg(*[
+        F.avg(F.coalesce(F.try_divide(f"w{i}", "norm"), F.lit(0.0))).alias(f"s{i}") for i in size]).first()
+    counted.unpersist()
+    return (df.sparkSession.createDataFrame([(v, scores[f"s{i}"]) for i, v in enumerate(vocabulary)], "term string, score double")
+            .orderBy(F.desc("score"), "term"))
 
 
 def word_weights(df: DataFrame, text: str, n: int = 200, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -72,7 +75,7 @@ def word_weights(df: DataFrame, text: str, n: int = 200, stop_words: Sequence[st
 def sentiment(df: DataFrame, text: str, positive: Sequence[str] = POSITIVE,
               negative: Sequence[str] = NEGATIVE) -> DataFrame:
     """Add positive_words, negative_words, sentiment and score in [-1, 1]."""
-    w = words(clean(F.col(text)))
+    w = words(F.col(text))
     p = F.size(F.filter("_words", lambda x: x.isin(*positive)))
     n = F.size(F.filter("_words", lambda x: x.isin(*negative)))
     out = (df.withColumn("_words", w).withColumn("positive_words", p).withColumn("negative_words", n).drop("_words"))
@@ -93,7 +96,7 @@ def sentiment_summary(df: DataFrame, text: str, **lexicon: Sequence[str]) -> Dat
 def fit_topics(df: DataFrame, text: str, n_topics: int = 5, vocabulary: int = 100,
                iterations: int = 20, stop_words: Sequence[str] = STOP_WORDS):
     """(model, vocabulary, counted rows) of an LDA over term counts."""
-    rows = df.where(F.col(text).isNotNull()).withColumn("_terms", terms(clean(F.col(text)), list(stop_words)))
+    rows = df.where(F.col(text).isNotNull()).withColumn("_terms", terms(F.col(text), list(stop_words)))
     vectoriser = CountVectorizer(inputCol="_terms", outputCol="features", vocabSize=vocabulary).fit(rows)
     counted = vectoriser.transform(rows).drop("_terms")
     model = LDA(k=n_topics, seed=42, maxIter=iterations, optimizer="online").fit(counted)

@@ -140,23 +140,20 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str],
 def carry(df: DataFrame, by: Sequence[str], order: Sequence[str],
           values: dict[str, Column], forward: bool) -> DataFrame:
     """Add the nearest non-null value at or before (after) each row along `order`."""
-    inside = Window.partitionBy(*by, BUCKET).orderBy(*order)
     names = list(values)
     key = F.struct(*order)
-    if forward:
-        w = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        near = {n: F.last(e, ignorenulls=True).over(w) for n, e in values.items()}
-        ends = [F.max_by(e, F.when(e.isNotNull(), key)).alias(f"_s_{n}") for n, e in values.items()]
-        beyond = _by_window(by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        pick = F.last
-    else:
-        w = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        near = {n: F.first(e, ignorenulls=True).over(w) for n, e in values.items()}
-        ends = [F.min_by(e, F.when(e.isNotNull(), key)).alias(f"_s_{n}") for n, e in values.items()]
-        beyond = _by_window(by).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
-        pick = F.first
+    part = Window.partitionBy(*by, BUCKET)
+    # Backwards is forwards in descending order: a frame that reaches to the end of the
+    # partition would be evaluated anew for every row.
+    w = (part.orderBy(*order) if forward else part.orderBy(*[F.desc(o) for o in order])).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    near = {n: F.last(e, ignorenulls=True).over(w) for n, e in values.items()}
+    end = F.max_by if forward else F.min_by
+    ends = [end(e, F.when(e.isNotNull(), key)).alias(f"_s_{n}") for n, e in values.items()]
+    beyond = (_by_window(by).orderBy(BUCKET) if forward else _by_window(by).orderBy(F.desc(BUCKET))).rowsBetween(
+        Window.unboundedPreceding, -1)
     summary = _crossing(df.groupBy(*by, BUCKET).agg(*ends), by).select(
-        *by, BUCKET, *[pick(f"_s_{n}", ignorenulls=True).over(beyond).alias(f"_o_{n}") for n in names])
+        *by, BUCKET, *[F.last(f"_s_{n}", ignorenulls=True).over(beyond).alias(f"_o_{n}") for n in names])
     rows = df.select("*", *[e.alias(f"_i_{n}") for n, e in near.items()])
     out = _null_safe(rows, summary, [*by, BUCKET])
     return out.select(*df.columns, *[F.coalesce(f"_i_{n}", f"_o_{n}").alias(n) for n in names])

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsonde.plans.aggregates import unpivot_values
 from tabsonde.plans.ordering import ranked_frequency, sampled_rows
@@ -123,11 +124,22 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
         if t.lo == t.hi:
             out[t.column, t.p] = t.lo
     if open_targets:
-        cells = [F.when(as_double(t.column).between(t.lo, t.hi),
-                        F.struct(F.lit(i).alias("t"), as_double(t.column).alias("v")))
-                 for i, t in enumerate(open_targets)]
-        freq = (df.select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
-                .groupBy(F.col("c.t").alias("t"), F.col("c.v").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+        # Values are counted once per column; then each finds the intervals it lies in.
+        names = sorted({t.column for t in open_targets})
+        wanted = {c: [(i, t) for i, t in enumerate(open_targets) if t.column == c] for c in names}
+
+        def inside(c: str):
+            v = as_double(c)
+            hit = F.lit(False)
+            for _, t in wanted[c]:
+                hit = hit | v.between(t.lo, t.hi)
+            return F.when(hit, F.struct(F.lit(names.index(c)).alias("c"), v.alias("v")))
+
+        counted = (df.select(F.explode(F.array(*[inside(c) for c in names])).alias("x")).where("x IS NOT NULL")
+                   .groupBy(F.col("x.c").alias("c"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+        ids = [F.when((F.col("c") == names.index(c)) & F.col("v").between(t.lo, t.hi), F.lit(i))
+               for c in names for i, t in wanted[c]]
+        freq = counted.select("v", "n", F.explode(F.array_compact(F.array(*ids))).alias("t"))
         upto = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
         bounds = F.create_map(*[x for i, t in enumerate(open_targets) for x in (
             F.lit(i), F.struct(F.lit(t.first - t.below).alias("a"), F.lit(t.last - t.below).alias("b")))])
@@ -141,13 +153,41 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     return out
 
 
+def few_groups(df: DataFrame, by: Sequence[str], limit: int = 40) -> list | None:
+    """The distinct keys if there are at most `limit`, else None."""
+    rows = df.select(*by).distinct().limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
 def grouped_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str],
                       probs: dict[str, float]) -> DataFrame:
     """(by, column_name, <one column per named probability>), exact, for any number of groups.
 
-    Values are counted per group first and then ranked by ranges of (group, value), so a
-    group with a third of all rows is spread over many tasks.
+    Few groups are treated as columns of their own, which shuffles next to nothing. Otherwise
+    values are counted per group and ranked by ranges of (group, value), so a group with a
+    third of all rows is spread over many tasks.
     """
+    groups = few_groups(df, by)
+    if groups is None:
+        return _ranked_quantiles(df, by, cols, probs)
+    split, where = {}, {}
+    for g, key in enumerate(groups):
+        match = F.lit(True)
+        for k in by:
+            match = match & F.col(k).eqNullSafe(F.lit(key[k]))
+        for c in cols:
+            name = f"_g{g}_{len(split)}"
+            split[name] = F.when(match, as_double(c)).alias(name)
+            where[name] = (key, c)
+    got = column_quantiles(df.select(*split.values()), list(split), list(probs.values()))
+    rows = [(*[key[k] for k in by], c, *[got[name, p] for p in probs.values()])
+            for name, (key, c) in where.items() if got[name, next(iter(probs.values()))] is not None]
+    schema = T.StructType([df.schema[k] for k in by] + [T.StructField("column_name", T.StringType())]
+                          + [T.StructField(p, T.DoubleType()) for p in probs])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _ranked_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
     keys = [*by, "column_name"]
     ranked = ranked_frequency(unpivot_values(df, cols, by, numeric=True), "value", keys)
     aggs = []
