@@ -48,7 +48,7 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = BINS
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), bin_number(c, s, bins).alias("bin"),
                                F.lit(s[0]).alias("_lo"), F.lit((s[1] - s[0]) / bins).alias("_w"))
                       for c, s in spans.items()])
-    counted = (df.select(*by, F.explode(cells).alias("c")).where("c.bin IS NOT NULL")
+    counted = (df.select(*by, F.explode_outer(cells).alias("c")).where("c.bin IS NOT NULL")
                .groupBy(*by, "c.column_name", "c.bin", "c._lo", "c._w").agg(F.count(F.lit(1)).alias("n")))
     return counted.select(*by, "column_name", "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("low"),
                           (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("high"), "n")
@@ -135,7 +135,7 @@ def pair_grid(df: DataFrame, cols: Sequence[str], bins: int = 20, by: Sequence[s
     cells = F.array(*[F.struct(F.lit(a).alias("x_column"), F.lit(b).alias("y_column"),
                                bin_number(a, spans[a], bins).alias("x_bin"), bin_number(b, spans[b], bins).alias("y_bin"))
                       for a, b in combinations(spans, 2)])
-    return (df.select(*by, F.explode(cells).alias("c")).where("c.x_bin IS NOT NULL AND c.y_bin IS NOT NULL")
+    return (df.select(*by, F.explode_outer(cells).alias("c")).where("c.x_bin IS NOT NULL AND c.y_bin IS NOT NULL")
             .groupBy(*by, "c.x_column", "c.y_column", "c.x_bin", "c.y_bin").agg(F.count(F.lit(1)).alias("n")))
 
 

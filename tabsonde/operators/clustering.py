@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tabsonde.plans.ordering import sampled_rows
+from tabsonde.plans.parallel import widen
 from tabsonde.plans.quantiles import column_quantiles
 from tabsonde.schema import as_double, numeric_columns, require_numeric
 
@@ -146,6 +147,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str] | None = None, keep:
     require_numeric(df, features)
     rows = df.select(*keep, *[as_double(c).alias(c) for c in features if c not in keep]).na.drop(subset=features)
     nodes = grow_forest(rows, features)
+    rows = widen(rows)
     forest = [g.sort_values("node") for _, g in nodes.groupby("tree")]
     arrays = [_walkable(g) for g in forest]
     depth = math.ceil(math.log2(SUBSAMPLE))

@@ -70,7 +70,7 @@ def outlier_rows(df: DataFrame, keys: Sequence[str], cols: Sequence[str] | None
     if not cells:
         return df.select(*keys, F.lit("").alias("column_name"), *[
             F.lit(0.0).alias(x) for x in ("value", "lower", "upper")]).where(F.lit(False))
-    return (df.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("c"))
+    return (df.select(*keys, F.explode_outer(F.array(*cells)).alias("c")).where("c IS NOT NULL")
             .select(*keys, "c.*"))
 
 

@@ -179,7 +179,7 @@ def sample_values(df: DataFrame, order: Sequence[str], cols: Sequence[str] | Non
                   n: int = 5) -> DataFrame:
     """(column_name, position, value): first n non-null values per column along `order`."""
     cols = list(cols or df.columns)
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
+    cells = F.explode_outer(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                          F.when(~missing(df, c), F.col(c)).cast("string").alias("value"))
                                 for c in cols]))
     keys = [f"_k{i}" for i in range(len(order))]

@@ -13,19 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsonde.functions.text import NEGATIVE, POSITIVE, STOP_WORDS, clean, terms, words
+from tabsonde.plans.parallel import widen
 
 
 def clean_text(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn(text, clean(F.col(text)))
+    return widen(df).withColumn(text, clean(F.col(text)))
 
 
 def _terms(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
-    return df.where(F.col(text).isNotNull()).select(terms(F.col(text), list(stop_words)).alias("terms"))
+    texts = widen(df.select(text).where(F.col(text).isNotNull()))
+    return texts.select(terms(F.col(text), list(stop_words)).alias("terms"))
 
 
 def term_counts(df: DataFrame, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(term, n) over all texts; frequent terms are combined on the map side."""
-    return (_terms(df, text, stop_words).select(F.explode("terms").alias("term"))
+    """(term, n) over all texts; frequent terms are combined on the map side.
+
+    explode_outer, because explode would have the texts split again to test for empty arrays.
+    """
+    return (_terms(df, text, stop_words).select(F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
             .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -46,7 +51,7 @@ def keywords_by_tfidf(df: DataFrame, text: str, n: int = 10,
     if not vocabulary:
         return df.sparkSession.createDataFrame([], "term string, score double")
     listed = F.filter(words(F.col(text)), lambda w: w.isin(*vocabulary))
-    rows = df.where(F.col(text).isNotNull()).select(listed.alias("terms"))
+    rows = widen(df.select(text).where(F.col(text).isNotNull())).select(listed.alias("terms"))
 
     def times(term: str):
         return F.size(F.filter("terms", lambda w: w == F.lit(term))).cast("double")
@@ -78,7 +83,7 @@ def sentiment(df: DataFrame, text: str, positive: Sequence[str] = POSITIVE,
     w = words(F.col(text))
     p = F.size(F.filter("_words", lambda x: x.isin(*positive)))
     n = F.size(F.filter("_words", lambda x: x.isin(*negative)))
-    out = (df.withColumn("_words", w).withColumn("positive_words", p).withColumn("negative_words", n).drop("_words"))
+    out = (widen(df).withColumn("_words", w).withColumn("positive_words", p).withColumn("negative_words", n).drop("_words"))
     p, n = F.col("positive_words"), F.col("negative_words")
     return (out.withColumn("sentiment", F.when(p > n, "positive").when(n > p, "negative").otherwise("neutral"))
             .withColumn("score", F.when(p > n, p / (p + n)).when(n > p, -n / (p + n)).otherwise(0.0)))
@@ -96,7 +101,7 @@ def sentiment_summary(df: DataFrame, text: str, **lexicon: Sequence[str]) -> Dat
 def fit_topics(df: DataFrame, text: str, n_topics: int = 5, vocabulary: int = 100,
                iterations: int = 20, stop_words: Sequence[str] = STOP_WORDS):
     """(model, vocabulary, counted rows) of an LDA over term counts."""
-    rows = df.where(F.col(text).isNotNull()).withColumn("_terms", terms(F.col(text), list(stop_words)))
+    rows = widen(df.where(F.col(text).isNotNull())).withColumn("_terms", terms(F.col(text), list(stop_words)))
     vectoriser = CountVectorizer(inputCol="_terms", outputCol="features", vocabSize=vocabulary).fit(rows)
     counted = vectoriser.transform(rows).drop("_terms")
     model = LDA(k=n_topics, seed=42, maxIter=iterations, optimizer="online").fit(counted)

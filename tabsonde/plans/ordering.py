@@ -28,10 +28,10 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(MAX_BUCKETS, 4 * parts))
 
 
-def sampled_rows(df: DataFrame, rows: int) -> DataFrame:
-    """About `rows` random rows, all rows when there are fewer."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return df.where(F.rand(11) * total < F.lit(2.0 * rows))
+def sampled_rows(df: DataFrame, rows: int, total: int | None = None) -> DataFrame:
+    """About twice `rows` random rows, all rows when there are fewer. `total` saves counting."""
+    size = df.agg(F.count(F.lit(1)).alias("n")).scalar() if total is None else F.lit(total)
+    return df.where(F.rand(11) * size < F.lit(2.0 * rows))
 
 
 def _cut_points(df: DataFrame, keys: Sequence[str], buckets: int) -> tuple[str, str, int] | None:

@@ -61,7 +61,7 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
         b = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
         cells.append(F.when(v.between(t.lo, t.hi),
                             F.struct(F.lit(i).alias("t"), b.alias("b"), v.alias("v"))))
-    counted = (df.select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
+    counted = (df.select(F.explode_outer(F.array(*cells)).alias("c")).where("c IS NOT NULL")
                .groupBy("c.t", "c.b").agg(F.count(F.lit(1)).alias("n"), F.min("c.v").alias("lo"),
                                           F.max("c.v").alias("hi"))
                .orderBy("t", "b").collect())  # at most BINS rows per target
@@ -84,10 +84,10 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     """
     cols, probs = list(cols), list(probs)
     df = df.select(*cols)
-    facts = df.agg(*[e for i, c in enumerate(cols) for e in (
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), *[e for i, c in enumerate(cols) for e in (
         F.count(as_double(c)).alias(f"n{i}"), F.min(as_double(c)).alias(f"lo{i}"),
         F.max(as_double(c)).alias(f"hi{i}"))]).first()
-    sample = sampled_rows(df.select(*[as_double(c).alias(c) for c in cols]), SAMPLE).toPandas()
+    sample = sampled_rows(df.select(*[as_double(c).alias(c) for c in cols]), SAMPLE, facts["rows"]).toPandas()
     out: dict[tuple[str, float], float | None] = {}
     targets: list[_Target] = []
     for i, c in enumerate(cols):
@@ -135,11 +135,11 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
                 hit = hit | v.between(t.lo, t.hi)
             return F.when(hit, F.struct(F.lit(names.index(c)).alias("c"), v.alias("v")))
 
-        counted = (df.select(F.explode(F.array(*[inside(c) for c in names])).alias("x")).where("x IS NOT NULL")
+        counted = (df.select(F.explode_outer(F.array(*[inside(c) for c in names])).alias("x")).where("x IS NOT NULL")
                    .groupBy(F.col("x.c").alias("c"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("n")))
         ids = [F.when((F.col("c") == names.index(c)) & F.col("v").between(t.lo, t.hi), F.lit(i))
                for c in names for i, t in wanted[c]]
-        freq = counted.select("v", "n", F.explode(F.array_compact(F.array(*ids))).alias("t"))
+        freq = counted.select("v", "n", F.explode_outer(F.array(*ids)).alias("t")).where("t IS NOT NULL")
         upto = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
         bounds = F.create_map(*[x for i, t in enumerate(open_targets) for x in (
             F.lit(i), F.struct(F.lit(t.first - t.below).alias("a"), F.lit(t.last - t.below).alias("b")))])

@@ -89,8 +89,12 @@ def missing(df: DataFrame, name: str) -> Column:
 
 
 def rows_of(structs: Sequence[Column]) -> Column:
-    """Explode a list of equally typed structs into rows of one column."""
-    return F.explode(F.array(*structs)).alias("_r")
+    """Explode a list of equally typed structs into rows of one column.
+
+    The outer form, because for the inner one the optimizer adds a filter on the size of the
+    array and thereby evaluates its elements twice.
+    """
+    return F.explode_outer(F.array(*structs)).alias("_r")
 
 
 def spread(one_row: DataFrame, structs: Sequence[Column], keep: Sequence[str] = ()) -> DataFrame:
