@@ -5,7 +5,7 @@ from __future__ import annotations
 from tabsonde.functions.text import KEPT, NEGATIVE, POSITIVE, STOP_WORDS
 from tabsonde.operators import text as X
 from tabsonde.operators import timeseries as S
-from workload.common import query, rnd, rounded, union_all
+from workload.common import NUDGE, query, rnd, rounded
 
 DAILY = "s AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) AS value FROM orders GROUP BY ALL), " \
         "p AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS n FROM s)"
@@ -21,9 +21,9 @@ def hourly(t):
     return S.aggregate(t.events, "ts", "value", ["event_type"], "hour")
 
 
-@query("ts_aggregate", f"WITH {DAILY} SELECT ts, {rnd('value', 6)} AS value FROM s")
+@query("ts_aggregate", f"WITH {DAILY} SELECT ts, {rnd('value', 6, NUDGE)} AS value FROM s")
 def ts_aggregate(t):
-    return rounded(daily(t), 6)
+    return rounded(daily(t), 6, NUDGE)
 
 
 @query("ts_line", f"WITH {DAILY_KEYED} SELECT event_type, ts, {rnd('value')} AS value FROM s")
@@ -31,9 +31,9 @@ def ts_line(t):
     return rounded(S.line(t.events, "ts", "value", ["event_type"], "hour"))
 
 
-@query("pct_change", f"WITH {DAILY} SELECT ts, {rnd('value', 6)} AS value, {rnd('(value - lag(value) OVER (ORDER BY ts)) / lag(value) OVER (ORDER BY ts)')} AS change FROM s")
+@query("pct_change", f"WITH {DAILY} SELECT ts, {rnd('value', 6, NUDGE)} AS value, {rnd('(value - lag(value) OVER (ORDER BY ts)) / lag(value) OVER (ORDER BY ts)', 4, NUDGE)} AS change FROM s")
 def pct_change(t):
-    return rounded(S.percent_change(daily(t)), 4, value=6)
+    return rounded(S.percent_change(daily(t)), 4, NUDGE, value=6)
 
 
 @query("volatility", f"""WITH {DAILY_KEYED}, c AS (SELECT event_type, (value - lag(value) OVER w) / lag(value) OVER w AS change FROM s WINDOW w AS (PARTITION BY event_type ORDER BY ts))
@@ -42,9 +42,9 @@ def volatility(t):
     return rounded(S.volatility(hourly(t), ["event_type"]))
 
 
-@query("period_join", f"""WITH {DAILY} SELECT ts, pos, pos % 12 AS phase, {rnd('value', 6)} AS value, {rnd('avg(value) OVER (PARTITION BY pos % 12)')} AS phase_mean FROM p""")
+@query("period_join", f"""WITH {DAILY} SELECT ts, pos, pos % 12 AS phase, {rnd('value', 6, NUDGE)} AS value, {rnd('avg(value) OVER (PARTITION BY pos % 12)', 4, NUDGE)} AS phase_mean FROM p""")
 def period_join(t):
-    return rounded(S.seasonal_means(daily(t), 12), 4, value=6)
+    return rounded(S.seasonal_means(daily(t), 12), 4, NUDGE, value=6)
 
 
 def decomposition(period: int, additive: bool, source: str = DAILY, by: str = "") -> str:
@@ -64,17 +64,17 @@ def decomposition(period: int, additive: bool, source: str = DAILY, by: str = ""
    FROM tr JOIN pc ON pos % {period} = phase{f' AND tr.{by} = pc.{by}' if by else ''})"""
 
 
-PARTS = ", ".join(f"{rnd(c, 6)} AS {c}" for c in ["value", "trend", "seasonal", "residual"])
+PARTS = ", ".join(f"{rnd(c, 6, NUDGE)} AS {c}" for c in ["value", "trend", "seasonal", "residual"])
 
 
 @query("ts_decompose", f"WITH {decomposition(12, True)} SELECT ts, pos, {PARTS} FROM dc")
 def ts_decompose(t):
-    return rounded(S.decompose(daily(t), 12), 6)
+    return rounded(S.decompose(daily(t), 12), 6, NUDGE)
 
 
 @query("ts_decompose_multiplicative", f"WITH {decomposition(7, False, DAILY_KEYED, 'event_type')} SELECT event_type, ts, pos, {PARTS} FROM dc")
 def ts_decompose_multiplicative(t):
-    return rounded(S.decompose(hourly(t), 7, "multiplicative", ["event_type"]), 6)
+    return rounded(S.decompose(hourly(t), 7, "multiplicative", ["event_type"]), 6, NUDGE)
 
 
 @query("ts_seasonality_strength", f"WITH {decomposition(4, True)} SELECT {rnd('var_samp(seasonal) / var_samp(value)', 6)} AS strength FROM dc")
