@@ -85,3 +85,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = links.groupBy("u").agg(F.min("v").alias("m"))
     return (nodes.select("id").join(roots, nodes["id"] == roots["u"], "left")
             .select("id", F.coalesce("m", "id").alias("component")))
+
+
+def attach(rows: DataFrame, groups: DataFrame, on: str, size: str) -> DataFrame:
+    """Each row with its group (one row per value of `on`, with its number of rows in `size`). Groups above a
+    thousandth of all rows, so at most 1000, are broadcast; the rest is joined by shuffling."""
+    large = max(2, rows.count() // 1000)
+    hot = F.broadcast(groups.filter(F.col(size) > large))
+    rest = rows.join(hot.select(on), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(groups.filter(F.col(size) <= large), on))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsonde.llm.exchange import keyed, shared_folder, stored
+from tabsonde.llm.exchange import attach, keyed, shared_folder, stored
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -75,8 +75,9 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, pe
         groups = spark.createDataFrame([], f"{ENTRY}, size long")
     else:
         groups = stored(ingest(spark, f"{folder}/entries", f"{folder}/state"), "groups")
-    found = stored(_attach(rows.select("digest", F.col("keep.key").alias("_key"), F.col("keep.doc_id").alias("doc_id")),
-                           groups), "found")
+    groups = groups.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.key").alias("keep_key"), "size")
+    found = stored(attach(rows.select("digest", F.col("keep.key").alias("_key"), F.col("keep.doc_id").alias("doc_id")),
+                          groups, "digest", "size"), "found")
 
     # full bytes of every hit against its keeper's
     hits = found.filter("size > 1").select("_key", "digest", "keep_key", "size")
@@ -99,12 +100,3 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, pe
         found = found.join(different, "digest", "left_anti").unionByName(apart)
     return found.select("doc_id", "keep_id", F.col("size").alias("group_size"),
                         (F.col("_key") == F.col("keep_key")).alias("kept"), "digest", "_key")
-
-
-def _attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each row with its group. Groups above a thousandth of all rows (so at most 1000) are broadcast."""
-    groups = groups.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.key").alias("keep_key"), "size")
-    large = max(2, rows.count() // 1000)
-    hot = F.broadcast(groups.filter(F.col("size") > large))
-    rest = rows.join(hot.select("digest"), "digest", "left_anti")
-    return rows.join(hot, "digest").unionByName(rest.join(groups.filter(F.col("size") <= large), "digest"))
