@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from tabsonde.llm.exchange import attach, keyed, shared_folder, stored
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A store reserves some MB on its executor's disk while it is open; the job is over after a few batches.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 ENTRY = "digest binary, keep struct<missing:boolean,doc_id:long,key:long,n_bytes:long,locator:string>"
 
 
@@ -30,8 +34,9 @@ def ingest(spark: SparkSession, source: str, state: str, files_per_batch: int =
     log in `state`, and never expires; for each digest it holds the smallest identifier, where its content lies,
     and the number of rows. A later call with the same `state` goes on where the last one ended.
     """
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         held = (spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", files_per_batch).parquet(source)
                 .groupBy("digest").agg(F.min("keep").alias("keep"), F.count("*").alias("size")))
@@ -42,7 +47,8 @@ def ingest(spark: SparkSession, source: str, state: str, files_per_batch: int =
         (held.writeStream.outputMode("update").option("checkpointLocation", f"{state}/log").foreachBatch(save)
          .trigger(availableNow=True).start().awaitTermination())
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     changes = spark.read.schema(held.schema).parquet(f"{state}/changes")
     return changes.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("size").alias("size"))
 
