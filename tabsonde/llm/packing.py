@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tabsonde.llm import arrays
 from tabsonde.llm.exchange import stored
 
-CACHED_WORDS = 400_000  # words a Python worker remembers
+CACHED_WORDS = 800_000  # words a Python worker remembers
 
 
 class WordIds(dict):
@@ -25,19 +25,9 @@ class WordIds(dict):
         super().__init__()
         from tokenizers import Tokenizer
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1:] in b".," and word[-2:-1].isalnum() and word[:-1] not in self:
-            ids = self[word[:-1]] + self[word[-1:]]  # a full stop after an ASCII letter or digit stands alone
-        elif len(word) > 1 and word[-1:] in b".," and word[-2:-1].isalnum():
-            ids = self[word[:-1]] + self[word[-1:]]
-        else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     @staticmethod
     def of(path: str) -> WordIds:
@@ -47,11 +37,45 @@ class WordIds(dict):
             have = sys._tabsonde_word_ids = WordIds(path)
         return have
 
-    def encode(self, text: bytes) -> bytes:
-        # Below U+0300 there are no combining marks, so ASCII letters can be lowered before normalisation.
-        if b"<|" not in text and (text.isascii() or np.frombuffer(text, np.uint8).max() < 0xCC):
-            text = text.lower()
-        return b"".join(map(self.__getitem__, text.split()))
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: set[bytes]) -> None:
+        """Have the ids of all these words. Words of letters are encoded many at a time and told apart by the
+        tokens that end a word; a full stop or comma after an ASCII letter or digit is a token of its own."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > CACHED_WORDS:
+            self.clear()
+            new = list(words)
+        stopped = [w for w in new if w[-1] in b".," and w[-2:-1].isalnum()]
+        plain = {w[:-1] for w in stopped}.union(w for w in new if not (w[-1] in b".," and w[-2:-1].isalnum()))
+        plain |= {b".", b","}
+        plain = [w for w in plain if w not in self]
+        letters = [w for w in plain if w.decode().isalpha()]
+        for at in range(0, len(letters), 1000):
+            part = letters[at:at + 1000]
+            ids = self.ids(b" ".join(part).decode())
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                raw, edge = ids.tobytes(), 0
+                for word, cut in zip(part, (4 * cuts).tolist()):
+                    self[word] = raw[edge:cut]
+                    edge = cut
+        for word in plain:
+            if word not in self:
+                self[word] = self.ids(word.decode()).tobytes()
+        for word in stopped:
+            self[word] = self[word[:-1]] + self[word[-1:]]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = []
+        for text in texts:
+            # Below U+0300 there are no combining marks, so ASCII letters can be lowered before normalisation.
+            if text and b"<|" not in text and (text.isascii() or np.frombuffer(text, np.uint8).max() < 0xCC):
+                text = text.lower()
+            split.append(text.split())
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 class FirstOpen:
@@ -141,8 +165,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
             for first, last, data, offsets in arrays.chunks(batch.column("text")):
                 whole = data.tobytes()
                 row, start, length, crc, ids = [], [], [], [], []
-                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                    tokens = (vocabulary.encode(whole[a:b]) if b > a else b"") + end
+                texts = [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                for i, tokens in enumerate(vocabulary.encode(texts)):
+                    tokens += end
                     for at in range(0, len(tokens), 4 * capacity):
                         part = tokens[at:at + 4 * capacity]
                         row.append(first + i)
