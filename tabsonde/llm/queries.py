@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsonde.llm import cover, fertility, packing, streamdedup
+from tabsonde.llm import cover, fertility, packing, setjoin, streamdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,7 +36,41 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-@query("op3_substring_dedup")
+def jaccard_sql(n: int, percent: int) -> str:
+    """Components over pairs of documents whose sets of word n-grams are similar."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {n - 1}], ' ') AS gram
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - {n - 1}, 1))) AS i FROM w WHERE len(ws) > 0)),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id
+      GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b
+         WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
+reach AS (SELECT doc_id, doc_id AS seen FROM w UNION SELECT r.doc_id, b FROM reach r JOIN link ON a = r.seen)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(seen) AS component_id
+FROM reach LEFT JOIN c USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op2_ngram_jaccard", jaccard_sql(4, 85))
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85).drop("_key")
+
+
+@query("op3_substring_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)),
+r AS (SELECT win FROM s GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM s JOIN r USING (win), generate_series(0, 34) AS t(k)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS txt, count(*) AS n
+         FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(txt, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover.substring_dedup(table(spark, sf_dir, "documents"), window=35).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
