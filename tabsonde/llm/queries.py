@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsonde.llm import chat, cover, fertility, language, packing, pieces, setjoin, streamdedup
+from tabsonde.llm import chat, cover, extract, fertility, language, packing, pieces, setjoin, streamdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,3 +112,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learn(docs.filter(~out).select("text", "lang"))
     return language.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
