@@ -8,11 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsonde.llm import arrays
-from tabsonde.llm.exchange import block_of, blocks_for, blocks_of, keyed
-
-CELL = "bucket int, base long, hash binary, high binary, low binary, row binary, at binary, again binary"
-HIT = "block int, key binary, at binary"
-
+from tabsonde.llm.exchange import block_of, blocks_for, keyed
+from tabsonde.llm.repeats import CELL, cells, known, positions, repeated, rows_of, table
 
 def difference_cover(period: int) -> np.ndarray:
     """A small set of residues such that any two positions, moved on by the same amount below the period, both
@@ -30,93 +27,6 @@ def difference_cover(period: int) -> np.ndarray:
     return np.array(sorted(chosen))
 
 
-def _cells(keys: np.ndarray, rows: np.ndarray, at: np.ndarray, filters: np.ndarray, exact: list[np.ndarray],
-           buckets: int) -> tuple[list[dict], np.ndarray]:
-    """Occurrences of a chunk as one row per bucket. Of equal ones only the first travels, marked as repeated;
-    the others are known to be repeated and are returned."""
-    order = np.lexsort(exact[::-1]) if len(exact) > 1 else np.argsort(exact[0], kind="stable")
-    same = np.ones(len(order), bool)
-    for e in exact:
-        same[1:] &= e[order][1:] == e[order][:-1]
-    same[:1] = False
-    later = order[same]
-    twice = np.zeros(len(order), bool)
-    twice[order[:-1][same[1:]]] = True
-    send = np.ones(len(order), bool)
-    send[later] = False
-    send = np.flatnonzero(send)
-    bucket = (filters[send] >> np.uint64(33)) % np.uint64(buckets)
-    send = send[np.argsort(bucket, kind="stable")]
-    bucket = ((filters[send] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    base = int(keys.min()) if len(keys) else 0
-    out = []
-    for part in np.split(send, cuts):
-        if len(part):
-            out.append({
-                "bucket": int((filters[part[0]] >> np.uint64(33)) % np.uint64(buckets)), "base": base,
-                "hash": (filters[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                "high": exact[0][part].tobytes() if len(exact) > 1 else None,
-                "low": exact[1][part].tobytes() if len(exact) > 1 else None,
-                "row": (keys[rows[part]] - base).tobytes(), "at": at[part].astype(np.uint32).tobytes(),
-                "again": np.packbits(twice[part]).tobytes()})
-    return out, later
-
-
-def _hits(keys: np.ndarray, at: np.ndarray, blocks: int) -> list[dict]:
-    """Positions of keys as one row per block."""
-    if not len(keys):
-        return []
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    block = np.array(blocks_of(distinct.tolist(), blocks))[inverse]
-    order = np.argsort(block, kind="stable")
-    return [{"block": int(block[p[0]]), "key": keys[p].tobytes(), "at": at[p].astype(np.uint32).tobytes()}
-            for p in np.split(order, np.flatnonzero(np.diff(block[order])) + 1)]
-
-
-def _table(rows: list[dict], ddl: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    return pa.Table.from_pylist(rows, pa.schema([(n, kinds[k]) for n, k in (f.split() for f in ddl.split(", "))]))
-
-
-def _known(keys: np.ndarray, at: np.ndarray, blocks: int) -> list[dict]:
-    """Occurrences already known to be repeated, as cells of negative buckets, one for each block."""
-    return [{"bucket": -1 - h["block"], "base": 0, "hash": None, "high": None, "low": None, "row": h["key"],
-             "at": h["at"], "again": None} for h in _hits(keys, at, blocks)]
-
-
-def _repeated(cells: DataFrame, blocks: int) -> DataFrame:
-    """Hits (by block) among cells: occurrences whose hash occurs again in the bucket or is marked, and known ones."""
-    def judge(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        if rows[0]["bucket"] < 0:  # known to be repeated
-            return _table([{"block": -1 - r["bucket"], "key": r["row"], "at": r["at"]} for r in rows], HIT)
-        key, at, again = [], [], []
-        parts: dict[str, list[np.ndarray]] = {"hash": [], "high": [], "low": []}
-        for r in rows:
-            h = np.frombuffer(r["hash"], np.uint32)
-            parts["hash"].append(h)
-            for c in ("high", "low"):
-                if r[c] is not None:
-                    parts[c].append(np.frombuffer(r[c], np.uint64))
-            key.append(np.frombuffer(r["row"], np.int64) + r["base"])
-            at.append(np.frombuffer(r["at"], np.uint32))
-            again.append(np.unpackbits(np.frombuffer(r["again"], np.uint8), count=len(h)).astype(bool))
-        columns = [np.concatenate(parts[c]) for c in ("high", "low", "hash") if parts[c]]
-        columns = columns[:2] if len(columns) > 1 else columns
-        order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
-        same = np.ones(max(len(order) - 1, 0), bool)
-        for c in columns:
-            s = c[order]
-            same &= s[1:] == s[:-1]
-        hit = np.concatenate(again)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        return _table(_hits(np.concatenate(key)[hit], np.concatenate(at)[hit], blocks), HIT)
-
-    return cells.groupBy("bucket").applyInArrow(judge, HIT)
-
-
 def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry: list[str] | None = None,
                     buckets: int | None = None) -> DataFrame:
     """Remove every word covered by a window of `window` words whose sequence also starts anywhere else.
@@ -162,19 +72,18 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry:
                     continue
                 h = arrays.window_hashes(words.hashes(), starts, anchor)
                 own, rows = keys[first:last], words.row[starts]
-                cells, later = _cells(own, rows, at, h, [h], buckets)
-                known = _known(own[rows[later]], at[later], blocks)
-                yield from _table(cells + known, CELL).to_batches()
+                packed, later = cells(own, rows, at, h, [h], buckets)
+                yield from table(packed + known(own[rows[later]], at[later], blocks), CELL).to_batches()
 
     def full_windows(texts: pa.Table, hits: pa.Table) -> pa.Table:
         out = []
         if not hits.num_rows:
-            return _table(out, CELL)
-        key, at = _positions(hits)
+            return table(out, CELL)
+        key, at = positions(hits)
         keys = texts.column("_key").to_numpy()
         for first, last, data, offsets in arrays.chunks(texts.column("text")):
             own = keys[first:last]
-            row, pos = _rows_of(own, key, at)
+            row, pos = rows_of(own, key, at)
             if not len(row):
                 continue
             words = arrays.Words(data, offsets)
@@ -189,18 +98,18 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry:
             lanes = [arrays.window_hashes(words.hashes(lane), starts, window, lane) for lane in range(2)]
             rows = words.row[starts]
             place = starts - words.first[rows]
-            cells, later = _cells(own, rows, place, lanes[0], lanes, buckets)
-            out += cells
-            out += _known(own[rows[later]], place[later], blocks)
-        return _table(out, CELL)
+            packed, later = cells(own, rows, place, lanes[0], lanes, buckets)
+            out += packed
+            out += known(own[rows[later]], place[later], blocks)
+        return table(out, CELL)
 
     def remove(texts: pa.Table, hits: pa.Table) -> pa.Table:
-        key, at = _positions(hits)
+        key, at = positions(hits)
         keys = texts.column("_key").to_numpy()
         kept, total, gone = [], [], []
         for first, last, data, offsets in arrays.chunks(texts.column("text")):
             own = keys[first:last]
-            row, pos = _rows_of(own, key, at)
+            row, pos = rows_of(own, key, at)
             whole = data.tobytes()
             if not len(row):
                 for a, b in zip(offsets[:-1], offsets[1:]):
@@ -226,27 +135,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry:
 
     by_block = frame.withColumn("_block", block_of("_key", blocks)).groupBy("_block")
 
-    hits = _repeated(narrow.mapInArrow(anchors, CELL), blocks)
-    cells = by_block.cogroup(hits.groupBy("block")).applyInArrow(full_windows, CELL)
-    hits = _repeated(cells, blocks)
+    hits = repeated(narrow.mapInArrow(anchors, CELL), blocks)
+    packed = by_block.cogroup(hits.groupBy("block")).applyInArrow(full_windows, CELL)
+    hits = repeated(packed, blocks)
     kinds = "".join(f", `{c}` {frame.schema[c].dataType.simpleString()}" for c in carry)
     doc_kind = frame.schema["doc_id"].dataType.simpleString()
     return by_block.cogroup(hits.groupBy("block")).applyInArrow(
         remove, f"doc_id {doc_kind}, n_words long, n_removed long, kept_text string{kinds}")
-
-
-def _positions(hits: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    key = np.frombuffer(b"".join(hits.column("key").to_pylist()), np.int64)
-    at = np.frombuffer(b"".join(hits.column("at").to_pylist()), np.uint32).astype(np.int64)
-    return key, at
-
-
-def _rows_of(own: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows among `own` and positions of the hits whose key is there."""
-    if not len(own) or not len(key):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(own)
-    place = np.searchsorted(own[order], key)
-    ok = place < len(own)
-    ok[ok] = own[order][place[ok]] == key[ok]
-    return order[place[ok]], at[ok]
