@@ -72,34 +72,39 @@ def known(keys: np.ndarray, at: np.ndarray, blocks: int) -> list[dict]:
              "at": h["at"], "again": None} for h in hits_by_block(keys, at, blocks)]
 
 
+def repeated_in(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and positions among the cells of a bucket whose hash occurs again there, or that are marked."""
+    key, at, again = [], [], []
+    parts: dict[str, list[np.ndarray]] = {"hash": [], "high": [], "low": []}
+    for r in rows:
+        h = np.frombuffer(r["hash"], np.uint32)
+        parts["hash"].append(h)
+        for c in ("high", "low"):
+            if r[c] is not None:
+                parts[c].append(np.frombuffer(r[c], np.uint64))
+        key.append(np.frombuffer(r["row"], np.int64) + r["base"])
+        at.append(np.frombuffer(r["at"], np.uint32))
+        again.append(np.unpackbits(np.frombuffer(r["again"], np.uint8), count=len(h)).astype(bool))
+    columns = [np.concatenate(parts[c]) for c in ("high", "low", "hash") if parts[c]]
+    columns = columns[:2] if len(columns) > 1 else columns
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for c in columns:
+        s = c[order]
+        same &= s[1:] == s[:-1]
+    hit = np.concatenate(again)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    return np.concatenate(key)[hit], np.concatenate(at)[hit]
+
+
 def repeated(packed: DataFrame, blocks: int) -> DataFrame:
     """Hits (by block) among cells: occurrences whose hash occurs again in the bucket or is marked, and known ones."""
     def judge(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         if rows[0]["bucket"] < 0:  # known to be repeated
             return table([{"block": -1 - r["bucket"], "key": r["row"], "at": r["at"]} for r in rows], HIT)
-        key, at, again = [], [], []
-        parts: dict[str, list[np.ndarray]] = {"hash": [], "high": [], "low": []}
-        for r in rows:
-            h = np.frombuffer(r["hash"], np.uint32)
-            parts["hash"].append(h)
-            for c in ("high", "low"):
-                if r[c] is not None:
-                    parts[c].append(np.frombuffer(r[c], np.uint64))
-            key.append(np.frombuffer(r["row"], np.int64) + r["base"])
-            at.append(np.frombuffer(r["at"], np.uint32))
-            again.append(np.unpackbits(np.frombuffer(r["again"], np.uint8), count=len(h)).astype(bool))
-        columns = [np.concatenate(parts[c]) for c in ("high", "low", "hash") if parts[c]]
-        columns = columns[:2] if len(columns) > 1 else columns
-        order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
-        same = np.ones(max(len(order) - 1, 0), bool)
-        for c in columns:
-            s = c[order]
-            same &= s[1:] == s[:-1]
-        hit = np.concatenate(again)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        return table(hits_by_block(np.concatenate(key)[hit], np.concatenate(at)[hit], blocks), HIT)
+        return table(hits_by_block(*repeated_in(rows), blocks), HIT)
 
     return packed.groupBy("bucket").applyInArrow(judge, HIT)
 
