@@ -28,11 +28,12 @@ def difference_cover(period: int) -> np.ndarray:
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry: list[str] | None = None,
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, layout: bool = False) -> DataFrame:
     """Remove every word covered by a window of `window` words whose sequence also starts anywhere else.
 
     docs has doc_id and text; words are runs of bytes other than ASCII white space. Returns doc_id, n_words,
-    n_removed, kept_text (kept words joined by one space) and the columns named in `carry`.
+    n_removed, kept_text (kept words joined by one space) and the columns named in `carry`. With `layout` kept_text
+    has the white space of the text between words that stay together, and is the text itself if nothing goes.
 
     1. Windows of window - period + 1 words are hashed only where the word position modulo the period lies in a
        difference cover. Two equal windows of `window` words always share one such aligned anchor.
@@ -51,14 +52,14 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry:
         raise ValueError("the period must not exceed the window")
     cover = np.zeros(period, bool)
     cover[difference_cover(period)] = True
-    frame = keyed(docs.select("doc_id", "text", *carry))
+    frame = keyed(docs).select("_row_key", "doc_id", "text", *carry)
     blocks = blocks_for(docs)
     buckets = buckets or blocks
-    narrow = frame.select("_key", "text")
+    narrow = frame.select("_row_key", "text")
 
     def anchors(batches):
         for batch in batches:
-            keys = batch.column("_key").to_numpy()
+            keys = batch.column("_row_key").to_numpy()
             for first, last, data, offsets in arrays.chunks(batch.column("text")):
                 words = arrays.Words(data, offsets)
                 starts = words.window_starts(anchor)
@@ -80,7 +81,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry:
         if not hits.num_rows:
             return table(out, CELL)
         key, at = positions(hits)
-        keys = texts.column("_key").to_numpy()
+        keys = texts.column("_row_key").to_numpy()
         for first, last, data, offsets in arrays.chunks(texts.column("text")):
             own = keys[first:last]
             row, pos = rows_of(own, key, at)
@@ -105,7 +106,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry:
 
     def remove(texts: pa.Table, hits: pa.Table) -> pa.Table:
         key, at = positions(hits)
-        keys = texts.column("_key").to_numpy()
+        keys = texts.column("_row_key").to_numpy()
         kept, total, gone = [], [], []
         for first, last, data, offsets in arrays.chunks(texts.column("text")):
             own = keys[first:last]
@@ -114,7 +115,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry:
             if not len(row):
                 for a, b in zip(offsets[:-1], offsets[1:]):
                     words = whole[a:b].split()
-                    kept.append(b" ".join(words))
+                    kept.append(whole[a:b] if layout else b" ".join(words))
                     total.append(len(words))
                     gone.append(0)
                 continue
@@ -123,17 +124,29 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry:
             stay = np.flatnonzero(~drop)
             edge = np.searchsorted(stay, words.first)
             start, end = words.start[stay].tolist(), words.end[stay].tolist()
-            spans = [whole[s:e] for s, e in zip(start, end)]
-            for a, b, f, g in zip(edge[:-1].tolist(), edge[1:].tolist(), words.first[:-1].tolist(),
-                                  words.first[1:].tolist()):
-                kept.append(b" ".join(spans[a:b]))
+            ids, texts_of = stay.tolist(), offsets.tolist()
+            for i, (a, b, f, g) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), words.first[:-1].tolist(),
+                                                 words.first[1:].tolist())):
+                if not layout:
+                    kept.append(b" ".join([whole[s:e] for s, e in zip(start[a:b], end[a:b])]))
+                elif b - a == g - f:
+                    kept.append(whole[texts_of[i]:texts_of[i + 1]])
+                else:
+                    runs, k = [], a
+                    while k < b:
+                        j = k
+                        while j + 1 < b and ids[j + 1] == ids[j] + 1:
+                            j += 1
+                        runs.append(whole[start[k]:end[j]])
+                        k = j + 1
+                    kept.append(b" ".join(runs))
                 total.append(g - f)
                 gone.append(g - f - (b - a))
         return pa.table([texts.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
                          pa.array(kept, pa.binary()).cast(pa.string()), *[texts.column(c) for c in carry]],
                         names=["doc_id", "n_words", "n_removed", "kept_text", *carry])
 
-    by_block = frame.withColumn("_block", block_of("_key", blocks)).groupBy("_block")
+    by_block = frame.withColumn("_block", block_of("_row_key", blocks)).groupBy("_block")
 
     hits = repeated(narrow.mapInArrow(anchors, CELL), blocks)
     packed = by_block.cogroup(hits.groupBy("block")).applyInArrow(full_windows, CELL)

@@ -37,13 +37,18 @@ def blocks_for(df: DataFrame, block_mb: int = 12) -> int:
     return max(least, min(1_000_000, -(-size // (block_mb << 20))))
 
 
-def keyed(docs: DataFrame, key: str = "_key") -> DataFrame:
-    """docs with a unique long `key` per row: doc_id where that is unique and never null, else numbers given
-    to a stored copy of the rows."""
+KEY = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a unique long KEY per row: the column of that name if docs has it, else doc_id where that is unique
+    and never null, else numbers given to a stored copy of the rows. The name is reserved for this."""
+    if KEY in docs.columns:
+        return docs
     again = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1)
     if isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType)) and not again.take(1):
-        return docs.withColumn(key, F.col("doc_id").cast("long"))
-    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+        return docs.withColumn(KEY, F.col("doc_id").cast("long"))
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
 
 
 def block_of(key: str, n: int):

@@ -55,7 +55,7 @@ FROM reach LEFT JOIN c USING (doc_id) GROUP BY doc_id"""
 
 @query("op2_ngram_jaccard", jaccard_sql(4, 85))
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setjoin.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85).drop("_key")
+    return setjoin.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85).drop("kept", "_row_key")
 
 
 @query("op3_substring_dedup", r"""

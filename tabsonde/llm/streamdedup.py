@@ -68,12 +68,12 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, pe
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    frame = keyed(docs.select("doc_id", "text"))
+    frame = keyed(docs).select("_row_key", "doc_id", "text")
     text = normalised(F.col("text"))
     entries = frame.select(
         digest(text).alias("digest"),
         F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").cast("long").alias("doc_id"),
-                 F.col("_key").alias("key"), F.octet_length(text).cast("long").alias("n_bytes"),
+                 F.col("_row_key").alias("key"), F.octet_length(text).cast("long").alias("n_bytes"),
                  F.input_file_name().alias("locator")).alias("keep"))
     entries.write.parquet(f"{folder}/entries")
     rows = spark.read.schema(ENTRY).parquet(f"{folder}/entries")
@@ -82,27 +82,27 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, pe
     else:
         groups = stored(ingest(spark, f"{folder}/entries", f"{folder}/state"), "groups")
     groups = groups.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.key").alias("keep_key"), "size")
-    found = stored(attach(rows.select("digest", F.col("keep.key").alias("_key"), F.col("keep.doc_id").alias("doc_id")),
+    found = stored(attach(rows.select("digest", F.col("keep.key").alias("_row_key"), F.col("keep.doc_id").alias("doc_id")),
                           groups, "digest", "size"), "found")
 
     # full bytes of every hit against its keeper's
-    hits = found.filter("size > 1").select("_key", "digest", "keep_key", "size")
-    texts = hits.join(frame.select("_key", text.alias("bytes")), "_key")
+    hits = found.filter("size > 1").select("_row_key", "digest", "keep_key", "size")
+    texts = hits.join(frame.select("_row_key", text.alias("bytes")), "_row_key")
     parts = F.ceil(F.col("size") / per_copy)
-    keepers = (texts.filter("_key = keep_key")
+    keepers = (texts.filter("_row_key = keep_key")
                .select("keep_key", F.col("bytes").alias("kept_bytes"),
                        F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part")))
-    members = texts.filter("_key <> keep_key").withColumn("part", F.pmod(F.xxhash64("_key"), parts).cast("int"))
+    members = texts.filter("_row_key <> keep_key").withColumn("part", F.pmod(F.xxhash64("_row_key"), parts).cast("int"))
     different = (members.join(keepers, ["keep_key", "part"]).filter("bytes <> kept_bytes")
                  .select("digest").distinct())
     different = stored(different, "different")
     if not different.isEmpty():
-        mixed = stored(texts.join(different, "digest", "left_semi").join(found.select("_key", "doc_id"), "_key")
-                       .select("_key", "doc_id", "digest", "bytes"), "mixed")
+        mixed = stored(texts.join(different, "digest", "left_semi").join(found.select("_row_key", "doc_id"), "_row_key")
+                       .select("_row_key", "doc_id", "digest", "bytes"), "mixed")
         alike = mixed.groupBy("digest", "bytes").agg(
-            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("k"), F.count("*").alias("size"))
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row_key")).alias("k"), F.count("*").alias("size"))
         apart = mixed.join(alike, ["digest", "bytes"]).select(
-            "digest", "_key", "doc_id", F.col("k.doc_id").alias("keep_id"), F.col("k._key").alias("keep_key"), "size")
+            "digest", "_row_key", "doc_id", F.col("k.doc_id").alias("keep_id"), F.col("k._row_key").alias("keep_key"), "size")
         found = found.join(different, "digest", "left_anti").unionByName(apart)
     return found.select("doc_id", "keep_id", F.col("size").alias("group_size"),
-                        (F.col("_key") == F.col("keep_key")).alias("kept"), "digest", "_key")
+                        (F.col("_row_key") == F.col("keep_key")).alias("kept"), "digest", "_row_key")

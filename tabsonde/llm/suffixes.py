@@ -213,13 +213,13 @@ def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list
     one, are separate documents. Strings never cross documents and are judged on the input.
     """
     carry = [c for c in carry or [] if c not in ("doc_id", "text")]
-    frame = keyed(docs.select("doc_id", "text", *carry))
+    frame = keyed(docs).select("_row_key", "doc_id", "text", *carry)
     blocks = blocks_for(docs)
     buckets = blocks
 
     def anchors(batches):
         for batch in batches:
-            keys = batch.column("_key").to_numpy()
+            keys = batch.column("_row_key").to_numpy()
             for first, last, base, data, offsets in stretches(batch.column("text"), size):
                 found = Anchors(data, offsets, size, gram)
                 if len(found.at):
@@ -232,7 +232,7 @@ def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list
         out: list[dict] = []
         if hits.num_rows:
             key, at = positions(hits)
-            keys = texts.column("_key").to_numpy()
+            keys = texts.column("_row_key").to_numpy()
             for first, last, base, data, offsets in stretches(texts.column("text"), size):
                 row, pos = rows_of(keys[first:last], key, at)
                 pos = pos - base
@@ -308,7 +308,7 @@ def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list
     def remove(texts: pa.Table, spans: pa.Table) -> pa.Table:
         key, at = positions(spans)
         count = np.frombuffer(b"".join(spans.column("count").to_pylist()), np.uint32).astype(np.int64)
-        keys = texts.column("_key").to_numpy()
+        keys = texts.column("_row_key").to_numpy()
         out = []
         for first, last, data, offsets in arrays.chunks(texts.column("text")):
             n, rows = len(data), last - first
@@ -339,8 +339,8 @@ def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list
                                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", *carry]))
         return pa.concat_tables(out)
 
-    by_block = frame.withColumn("_block", block_of("_key", blocks)).groupBy("_block")
-    hits = repeated(frame.select("_key", "text").mapInArrow(anchors, CELL), blocks)
+    by_block = frame.withColumn("_block", block_of("_row_key", blocks)).groupBy("_block")
+    hits = repeated(frame.select("_row_key", "text").mapInArrow(anchors, CELL), blocks)
     sent = by_block.cogroup(hits.groupBy("block")).applyInArrow(send, BOTH)
     spans = sent.groupBy("bucket").applyInArrow(judge, SPAN)
     kinds = "".join(f", `{c}` {frame.schema[c].dataType.simpleString()}" for c in carry)
