@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,32 @@ def words(text: Column) -> Column:
     return F.split(_kept(text), f"[{WHITE_SPACE}]+")
 
 
+def cleaned(listed: list[str]) -> list[str]:
+    """Listed words as they read in a cleaned text: don't becomes dont."""
+    return sorted({re.sub(f"[^{KEPT}]+", "", w.lower()) for w in listed} - {""})
+
+
+def is_term(word: Column, stop_words: list[str] = STOP_WORDS) -> Column:
+    """At least two characters and no stop word."""
+    return (F.length(word) >= MIN_WORD) & ~word.isin(*cleaned(stop_words))
+
+
 def terms(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
-    """Words of at least two characters that are not stop words."""
-    return F.filter(words(text), lambda w: (F.length(w) >= MIN_WORD) & ~w.isin(*stop_words))
+    """The terms of a text as an array."""
+    return F.filter(words(text), lambda w: is_term(w, stop_words))
+
+
+def _any_of(listed: list[str]) -> Column:
+    """A pattern that matches any of the listed words as a whole word of a cleaned text."""
+    some = "|".join(cleaned(listed)) or "[^\\s\\S]"
+    return F.lit(f"(?<![^{WHITE_SPACE}])(?:{some})(?![^{WHITE_SPACE}])")
+
+
+def occurrences(text: Column, listed: list[str]) -> Column:
+    """How many words of the text are listed: one pass of a pattern, no array of words."""
+    return F.regexp_count(_kept(text), _any_of(listed))
+
+
+def listed_words(text: Column, listed: list[str]) -> Column:
+    """The listed words among the words of the text, in order."""
+    return F.regexp_extract_all(_kept(text), _any_of(listed), F.lit(0))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,6 @@ from tabsonde.plans.quantiles import column_quantiles, grouped_quantiles
 from tabsonde.schema import as_double, missing, numeric_columns, require_numeric
 
 BINS = 30
-MATRIX_COLUMNS = 20
 
 
 def value_ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float] | None]:
@@ -103,9 +104,22 @@ def scatter_density(df: DataFrame, x: str, y: str, bins: int = BINS, by: Sequenc
             .agg(F.count(F.lit(1)).alias("n"), F.avg(as_double(x)).alias("x_mean"), F.avg(as_double(y)).alias("y_mean")))
 
 
-def scatter_sample(df: DataFrame, axes: Sequence[str], key: Sequence[str], points: int = 5000,
+def scatter_density_3d(df: DataFrame, axes: Sequence[str], bins: int = BINS, by: Sequence[str] = ()) -> DataFrame:
+    """(by, x_bin, y_bin, z_bin, n, x_mean, y_mean, z_mean): all points, counted on a grid of three axes."""
+    require_numeric(df, axes)
+    rows = df.where(reduce(and_, [~missing(df, a) for a in axes]))
+    spans = value_ranges(rows, axes)
+    if spans[axes[0]] is None:
+        raise ValueError("no complete row")
+    names = ["x", "y", "z"]
+    return (rows.groupBy(*by, *[bin_number(a, spans[a], bins).alias(f"{n}_bin") for n, a in zip(names, axes, strict=True)])
+            .agg(F.count(F.lit(1)).alias("n"), *[F.avg(as_double(a)).alias(f"{n}_mean") for n, a in zip(names, axes, strict=True)]))
+
+
+def scatter_sample(df: DataFrame, axes: Sequence[str], key: Sequence[str], points: int | None = None,
                    extra: Sequence[str] = ()) -> DataFrame:
-    """About `points` complete rows picked by a hash of their key: the same rows on every run.
+    """The complete rows as points; if asked for, about `points` of them picked by a hash of their key: the same
+    rows on every run.
 
     Two or three axes; `extra` names the columns for colour, size or hover text.
     """
@@ -113,10 +127,10 @@ def scatter_sample(df: DataFrame, axes: Sequence[str], key: Sequence[str], point
     rows = df
     for a in axes:
         rows = rows.where(~missing(df, a))
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = split_bucket(key, 11, 1 << 20)
-    return rows.where(share * total < F.lit(points * (1 << 20))).select(*key, *[
-        c for c in [*axes, *extra] if c not in key])
+    if points is not None:
+        total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+        rows = rows.where(split_bucket(key, 11, 1 << 20) * total < F.lit(points * (1 << 20)))
+    return rows.select(*key, *[c for c in [*axes, *extra] if c not in key])
 
 
 def scatter_line(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -159,16 +173,20 @@ def density(df: DataFrame, cols: Sequence[str], bins: int = 100, points: int = 5
             .select("column_name", "x", "density"))
 
 
-def qq_points(df: DataFrame, column: str, points: int | None = 1000) -> DataFrame:
+RANKS = 1_000_000  # of one value that are made at once
+
+
+def qq_points(df: DataFrame, column: str, points: int | None = None) -> DataFrame:
     """(i, theoretical, sample): normal quantile of (i - 0.5) / n against the i-th smallest value.
 
-    `points` ranks spread evenly over the n rows, or every rank when None.
+    Every rank, or `points` ranks spread evenly over the n rows.
     """
     require_numeric(df, [column])
     ranked = ranked_frequency(df.select(as_double(column).alias("v")), "v")
     n, start = F.col("n_group"), F.col("upto") - F.col("n")
-    if points is None:
-        picks = F.sequence(start + 1, F.col("upto"))
+    if points is None:  # in stretches: an array cannot hold all ranks of a very frequent value
+        ranked = ranked.select("v", "n_group", "upto", F.explode(F.sequence(start + 1, F.col("upto"), F.lit(RANKS))).alias("_from"))
+        picks = F.sequence("_from", F.least(F.col("_from") + RANKS - 1, F.col("upto")))
     else:
         # Ranks ceil((j - 0.5) * n / points) for j = 1 .. points that this value holds.
         rank = lambda j: F.ceil((j - 0.5) * n / points)
@@ -219,21 +237,19 @@ def parallel_lines(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ())
     for c in cols:
         if c in numeric_columns(df):
             continue
-        codes = category_codes(df, c).drop("n")
-        sizes = df.where(~missing(df, c)).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        coded = attach(out, codes, [c], sizes)
-        empty = out.where(F.col(c).isNull()).withColumn("code", F.lit(None).cast("bigint"))
-        out = coded.unionByName(empty).drop(c).withColumnRenamed("code", c)
+        sizes = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        out = (attach(out, category_codes(df, c).drop("n"), [c], sizes, unmatched=True)
+               .drop(c).withColumnRenamed("code", c))
     return out.select(*keep, *[c for c in cols if c not in keep])
 
 
-def missing_matrix(df: DataFrame, limit: int = MATRIX_COLUMNS) -> DataFrame:
+def missing_matrix(df: DataFrame, limit: int | None = None) -> DataFrame:
     """(pattern columns, n_rows): which columns are missing together, 1 for missing.
 
-    With more than `limit` columns, those with most missing values are kept.
+    All columns, or with `limit` that many of those with most missing values.
     """
     cols = df.columns
-    if len(cols) > limit:
+    if limit is not None and len(cols) > limit:
         top = missing_profile(df).limit(limit).collect()
         cols = [c for c in cols if c in {r["column_name"] for r in top}]
     return df.groupBy(*[missing(df, c).cast("bigint").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("n_rows"))

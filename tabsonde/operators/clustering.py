@@ -16,12 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tabsonde.plans.ordering import sampled_rows
 from tabsonde.plans.parallel import widen
 from tabsonde.plans.quantiles import column_quantiles
 from tabsonde.schema import as_double, numeric_columns, require_numeric
 
-TREES, SUBSAMPLE, POOL = 100, 256, 16384
+TREES, SUBSAMPLE = 100, 256
 EULER = 0.5772156649015329
 
 
@@ -31,7 +30,8 @@ def standardised(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (
     rows = df.select(*keep, *[as_double(c).alias(c) for c in features if c not in keep]).na.drop(subset=list(features))
     assembled = VectorAssembler(inputCols=list(features), outputCol="_raw").transform(rows)
     scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(assembled)
-    return scaler.transform(assembled).drop("_raw")
+    # Iterations read the vectors again and again: spread them over all cores and keep them.
+    return widen(scaler.transform(assembled).drop("_raw")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def kmeans_assign(df: DataFrame, features: Sequence[str], k: int = 3, keep: Sequence[str] = ()):
@@ -90,7 +90,7 @@ def _grow(features: Sequence[str]):
     """Grow one tree from its subsample; nodes as (tree, node, left, right, feature, cut, depth)."""
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        x = pdf[list(features)].to_numpy(float)
+        x = pdf.sort_values("_k")[list(features)].to_numpy(float)
         rng = np.random.default_rng(42 + tree)
         limit = math.ceil(math.log2(max(len(x), 2)))
         nodes: list[list] = []
@@ -113,16 +113,26 @@ def _grow(features: Sequence[str]):
     return grow
 
 
-def grow_forest(df: DataFrame, features: Sequence[str], trees: int = TREES, subsample: int = SUBSAMPLE) -> pd.DataFrame:
+def grow_forest(df: DataFrame, features: Sequence[str], trees: int = TREES, subsample: int = SUBSAMPLE,
+                key: Sequence[str] = ()) -> pd.DataFrame:
     """All nodes of the forest: at most trees * 2 * subsample rows, so they fit on the driver.
 
-    Subsamples come from a pool of about POOL rows picked at random; the trees are grown in
-    parallel.
+    Each tree's rows come from the whole table, in one pass: every row makes a few draws by a hash of its key (of
+    its features without one), and a draw that hits sends the row to one tree. Twice the rows needed are expected
+    per tree; of those the `subsample` with the least hash are taken. So the forest depends on the rows alone, not
+    on how they are spread. The trees are grown in parallel.
     """
-    pool = sampled_rows(df.select(*features), POOL // 2)
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_u", F.rand(42))
-    pick = Window.partitionBy("tree").orderBy("_u")
-    chosen = spread.withColumn("_k", F.row_number().over(pick)).where(F.col("_k") <= subsample).drop("_k", "_u")
+    total = df.count()
+    draws = max(1, math.ceil(2.0 * subsample * trees / max(total, 1)))
+    share = 2.0 * subsample * trees / max(total, 1) / draws
+    big = F.lit(1 << 52)
+    hashed = F.pmod(F.xxhash64(F.lit(42), "_draw", *(key or features)), big)
+    picked = (df.select(*dict.fromkeys([*key, *features]), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
+              .withColumn("_u", hashed / big).where(F.col("_u") < share)
+              .withColumn("tree", F.floor(F.col("_u") / share * trees).cast("int")))
+    order = [F.xxhash64(F.lit(43), "tree", *(key or features)), *(key or features), "_draw"]
+    pick = Window.partitionBy("tree").orderBy(*order)
+    chosen = picked.withColumn("_k", F.row_number().over(pick)).where(F.col("_k") <= subsample).select("tree", "_k", *features)
     return chosen.groupBy("tree").applyInPandas(
         _grow(features), "tree int, node int, l int, r int, feature int, cut double, path double").toPandas()
 
@@ -146,7 +156,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str] | None = None, keep:
     features = list(features or numeric_columns(df))
     require_numeric(df, features)
     rows = df.select(*keep, *[as_double(c).alias(c) for c in features if c not in keep]).na.drop(subset=features)
-    nodes = grow_forest(rows, features)
+    nodes = grow_forest(rows, features, key=[c for c in keep if c in rows.columns])
     rows = widen(rows)
     forest = [g.sort_values("node") for _, g in nodes.groupby("tree")]
     arrays = [_walkable(g) for g in forest]
@@ -173,11 +183,9 @@ def anomalies(df: DataFrame, features: Sequence[str] | None = None, contaminatio
               keep: Sequence[str] = ()) -> DataFrame:
     """Every complete row with its score and whether it is among the `contamination` share
     with the highest scores."""
-    scored = isolation_scores(df, features, keep)
-    # The threshold takes several passes; keep the scores meanwhile, the trees are slow.
-    scores = scored.select("score").persist(StorageLevel.MEMORY_AND_DISK)
-    limit = column_quantiles(scores, ["score"], [1 - contamination])["score", 1 - contamination]
-    scores.unpersist()
+    # Scored once: the threshold takes several passes and the result reads the same rows.
+    scored = isolation_scores(df, features, keep).persist(StorageLevel.MEMORY_AND_DISK)
+    limit = column_quantiles(scored.select("score"), ["score"], [1 - contamination])["score", 1 - contamination]
     return scored.withColumn("is_anomaly", F.col("score") > F.lit(limit))
 
 

@@ -101,9 +101,8 @@ def convert_type(df: DataFrame, column: str, target: str) -> DataFrame:
         return df.withColumn(column, F.col(column).cast("string"))
     if target == "category":
         codes = category_codes(df, column).drop("n").withColumnRenamed("code", f"{column}_code")
-        coded = attach(df, codes, [column], df.groupBy(column).agg(F.count(F.lit(1)).alias("n")))
-        absent = df.where(missing(df, column)).withColumn(f"{column}_code", F.lit(None).cast("bigint"))
-        return coded.unionByName(absent).select(*df.columns, f"{column}_code")
+        sizes = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        return attach(df, codes, [column], sizes, unmatched=True).select(*df.columns, f"{column}_code")
     raise ValueError(f"unknown target type: {target}")
 
 

@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from tabsonde.operators.clustering import anomaly_summary
 from tabsonde.operators.correlation import correlation_matrix, r_p_value
+from tabsonde.operators.duplicates import union_frames
 from tabsonde.operators.missing import missing_profile
 from tabsonde.operators.outliers import flag_outliers
 from tabsonde.operators.profile import frequency_facts, skewness_profile
 from tabsonde.operators.regression import predictive_analysis
 from tabsonde.operators.timeseries import aggregate, trend
 from tabsonde.plans.aggregates import frequency_table
-from tabsonde.schema import categorical_columns, numeric_columns, temporal_columns
+from tabsonde.schema import as_double, categorical_columns, numeric_columns, temporal_columns
 
 COLUMNS = ["type", "columns", "metric", "value", "level", "message"]
 # Thresholds of the rules.
 CORRELATION, STRONG, DOMINANT, RARE, RARE_SHOWN = 0.7, 0.8, 0.7, 0.01, 5
+SERIES = 10  # dates that a trend needs
 HIGH_MISSING, SKEWED, VOLATILE, GOOD_FIT, FAIR_FIT = 20.0, 2.0, 0.1, 0.7, 0.5
 
 
@@ -101,11 +103,23 @@ def anomaly_insights(df: DataFrame, features: Sequence[str] | None = None, conta
 
 def trend_insights(df: DataFrame, ts: str | None = None, value: str | None = None, by: Sequence[str] = (),
                    grain: str = "day") -> DataFrame:
-    """Direction, volatility and seasonality; by default the first date and first numeric column."""
-    dates, numbers = temporal_columns(df), numeric_columns(df)
-    ts, value = ts or (dates or [None])[0], value or (numbers or [None])[0]
-    if ts is None or value is None:
+    """Direction, volatility and seasonality of every date column, or of the one named.
+
+    Each date column goes with the number named, else with the first number that has values on at least
+    SERIES dates; date columns without one have no finding.
+    """
+    dates, numbers = [ts] if ts else temporal_columns(df), [value] if value else numeric_columns(df)
+    if not dates or not numbers:
         raise ValueError("a trend needs a date column and a numeric column")
+    if ts is None or value is None:
+        step = {d: F.date_trunc(grain, F.col(d)) for d in dates}
+        long = df.agg(*[F.count_distinct(F.when(as_double(v).isNotNull(), step[d])).alias(f"{i}_{j}")
+                        for i, d in enumerate(dates) for j, v in enumerate(numbers)]).first()
+        chosen = [(d, next((v for j, v in enumerate(numbers) if long[f"{i}_{j}"] >= SERIES), None)) for i, d in enumerate(dates)]
+        chosen = [(d, v) for d, v in chosen if v is not None]
+        if not chosen:
+            raise ValueError("no series is long enough for a trend")
+        return union_frames([trend_insights(df, d, v, by, grain) for d, v in chosen])
     t = trend(aggregate(df, ts, value, by, grain), by)
     text = F.concat(F.lit(value), F.lit(": trend "), F.col("direction"),
                     F.when(F.col("direction") == "upward", "; room for growth").when(F.col("direction") == "downward", "; needs attention").otherwise(""),

@@ -89,7 +89,7 @@ def evaluate_models(df: DataFrame, target: str, key: Sequence[str], features: Se
     RMSE or the accuracy; performance is 1 / (1 + rmse) or the accuracy. The kernel model is a
     linear model on random Fourier features, an approximation that can be fit on many machines.
     """
-    features = list(features or [c for c in numeric_columns(df) if c != target][:5])
+    features = list(features or [c for c in numeric_columns(df) if c != target])
     task = task or task_type(df, target).first()["task"]
     rows = _prepared(df, target, features, key, task).cache()
     metric = "rmse" if task == "regression" else "accuracy"

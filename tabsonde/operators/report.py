@@ -20,7 +20,7 @@ from tabsonde.schema import categorical_columns, numeric_columns
 
 SECTION_COLUMNS = ["section", "metric", "column_name", "item", "value", "text"]
 STATISTICS = ["n", "mean", "std", "min", "q25", "median", "q75", "max"]
-HISTOGRAM_COLUMNS, HISTOGRAM_BINS = 4, 20
+HISTOGRAM_BINS = 20
 
 
 @dataclass
@@ -89,20 +89,17 @@ def statistics_section(df: DataFrame) -> DataFrame:
 
 
 def chart_section(df: DataFrame) -> DataFrame:
-    """Data of the overview charts: missing patterns, types, histograms (means beyond four
-    numeric columns) and correlations."""
-    flags = df.columns if len(df.columns) <= 20 else [r["column_name"] for r in missing_profile(df).limit(20).collect()]
-    patterns = missing_matrix(df.select(*flags)) if flags else None
+    """Data of the overview charts: missing patterns of all columns, types, histograms and correlations."""
+    flags = df.columns
+    patterns = missing_matrix(df) if flags else None
     parts = [_lines(type_distribution(df), [_line("chart_types", F.lit("columns"), F.col("n_columns"), item=F.col("type"))])]
     if patterns is not None:
         bits = F.concat(*[F.col(c).cast("string") for c in flags])
         parts.append(_lines(patterns, [_line("chart_missing", F.lit("pattern"), F.col("n_rows"), item=bits)]))
     numeric = numeric_columns(df)
-    if 0 < len(numeric) <= HISTOGRAM_COLUMNS:
+    if numeric:
         parts.append(_lines(histogram(df, numeric, HISTOGRAM_BINS), [
             _line("chart_histogram", F.lit("n"), F.col("n"), column=F.col("column_name"), item=F.col("bin").cast("string"))]))
-    elif numeric:
-        parts.append(_described(df, "chart_means").where("metric = 'mean'"))
     if len(numeric) > 1:
         parts.append(_lines(correlation_matrix(df, numeric), [
             _line("chart_correlation", F.lit("r"), F.col("r"), column=F.col("column_1"), item=F.col("column_2"))]))

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsonde.functions.text import NEGATIVE, POSITIVE, STOP_WORDS, clean, terms, words
+from tabsonde.functions.text import NEGATIVE, POSITIVE, STOP_WORDS, clean, is_term, listed_words, occurrences, terms, words
 from tabsonde.plans.parallel import widen
 
 
@@ -20,17 +20,14 @@ def clean_text(df: DataFrame, text: str) -> DataFrame:
     return widen(df).withColumn(text, clean(F.col(text)))
 
 
-def _terms(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
-    texts = widen(df.select(text).where(F.col(text).isNotNull()))
-    return texts.select(terms(F.col(text), list(stop_words)).alias("terms"))
-
-
 def term_counts(df: DataFrame, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """(term, n) over all texts; frequent terms are combined on the map side.
 
     explode_outer, because explode would have the texts split again to test for empty arrays.
     """
-    return (_terms(df, text, stop_words).select(F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    texts = widen(df.select(text).where(F.col(text).isNotNull()))
+    return (texts.select(F.explode_outer(words(F.col(text))).alias("term"))
+            .where(F.col("term").isNotNull() & is_term(F.col("term"), list(stop_words)))
             .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -50,11 +47,10 @@ def keywords_by_tfidf(df: DataFrame, text: str, n: int = 10,
     vocabulary = [r["term"] for r in keywords_by_frequency(df, text, n, stop_words).collect()]  # n rows
     if not vocabulary:
         return df.sparkSession.createDataFrame([], "term string, score double")
-    listed = F.filter(words(F.col(text)), lambda w: w.isin(*vocabulary))
-    rows = widen(df.select(text).where(F.col(text).isNotNull())).select(listed.alias("terms"))
+    rows = widen(df.select(text).where(F.col(text).isNotNull())).select(listed_words(F.col(text), vocabulary).alias("terms"))
 
     def times(term: str):
-        return F.size(F.filter("terms", lambda w: w == F.lit(term))).cast("double")
+        return (F.size("terms") - F.size(F.array_remove("terms", F.lit(term)))).cast("double")
 
     size = range(len(vocabulary))
     # n numbers per text are kept between the two passes, not the texts.
@@ -80,10 +76,8 @@ def word_weights(df: DataFrame, text: str, n: int = 200, stop_words: Sequence[st
 def sentiment(df: DataFrame, text: str, positive: Sequence[str] = POSITIVE,
               negative: Sequence[str] = NEGATIVE) -> DataFrame:
     """Add positive_words, negative_words, sentiment and score in [-1, 1]."""
-    w = words(F.col(text))
-    p = F.size(F.filter("_words", lambda x: x.isin(*positive)))
-    n = F.size(F.filter("_words", lambda x: x.isin(*negative)))
-    out = (widen(df).withColumn("_words", w).withColumn("positive_words", p).withColumn("negative_words", n).drop("_words"))
+    out = (widen(df).withColumn("positive_words", occurrences(F.col(text), list(positive)))
+           .withColumn("negative_words", occurrences(F.col(text), list(negative))))
     p, n = F.col("positive_words"), F.col("negative_words")
     return (out.withColumn("sentiment", F.when(p > n, "positive").when(n > p, "negative").otherwise("neutral"))
             .withColumn("score", F.when(p > n, p / (p + n)).when(n > p, -n / (p + n)).otherwise(0.0)))
@@ -98,13 +92,18 @@ def sentiment_summary(df: DataFrame, text: str, **lexicon: Sequence[str]) -> Dat
                                                          "average_score")
 
 
-def fit_topics(df: DataFrame, text: str, n_topics: int = 5, vocabulary: int = 100,
+def fit_topics(df: DataFrame, text: str, n_topics: int = 5, vocabulary: int = 20_000, least_texts: int = 2,
                iterations: int = 20, stop_words: Sequence[str] = STOP_WORDS):
-    """(model, vocabulary, counted rows) of an LDA over term counts."""
+    """(model, vocabulary, counted rows) of an LDA over term counts; every step reads all texts.
+
+    Terms of at least `least_texts` texts count, at most `vocabulary` of them: the topic matrix is held by the driver.
+    """
     rows = widen(df.where(F.col(text).isNotNull())).withColumn("_terms", terms(F.col(text), list(stop_words)))
-    vectoriser = CountVectorizer(inputCol="_terms", outputCol="features", vocabSize=vocabulary).fit(rows)
-    counted = vectoriser.transform(rows).drop("_terms")
-    model = LDA(k=n_topics, seed=42, maxIter=iterations, optimizer="online").fit(counted)
+    vectoriser = CountVectorizer(inputCol="_terms", outputCol="features", vocabSize=vocabulary,
+                                 minDF=float(least_texts)).fit(rows)
+    # Counts, not texts, are kept for the steps and for what the caller asks of the model.
+    counted = vectoriser.transform(rows).drop("_terms", text).persist(StorageLevel.MEMORY_AND_DISK)
+    model = LDA(k=n_topics, seed=42, maxIter=iterations, optimizer="online", subsamplingRate=1.0).fit(counted)
     return model, vectoriser.vocabulary, counted
 
 

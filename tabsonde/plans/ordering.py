@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -215,16 +217,30 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, tiebreak: Sequen
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str],
-           sizes: DataFrame, hot_share: int = 2000) -> DataFrame:
-    """Inner join of rows with a table that has one row per key.
+           sizes: DataFrame, hot_share: int = 2000, unmatched: bool = False) -> DataFrame:
+    """Join of rows with a table that has one row per key; a null key equals a null key. Rows without
+    a partner go, or stay with nulls if `unmatched`.
 
     `sizes` gives the number of rows `n` of each key. Keys with more than 1 / hot_share of all
     rows number at most hot_share; they are broadcast. The rest is shuffled, and no key of it
-    can be large. A hot key is thus never sent to one task.
+    can be large: rows already served by the broadcast are spread by a salt. `rows` occurs once
+    in the plan, so plans of several attached columns grow linearly.
     """
     keys = list(keys)
+    added = [c for c in table.columns if c not in keys]
     total = sizes.agg(F.sum("n").alias("t")).scalar()
-    hot = F.broadcast(sizes.where(F.col("n") * hot_share > total).select(*keys))
-    hot_table = F.broadcast(table.join(hot, keys, "left_semi"))
-    return (rows.join(hot_table, keys)
-            .unionByName(rows.join(hot, keys, "left_anti").join(table.join(hot, keys, "left_anti"), keys)))
+    joined = [F.col(k).alias(f"_j_{k}") for k in keys]
+    same = lambda: reduce(and_, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys])
+    hot = F.broadcast(sizes.where(F.col("n") * hot_share > total).select(*joined))
+    packed = table.select(*keys, F.struct(F.lit(True).alias("_found"), *added).alias("_hot"))
+    hot_table = F.broadcast(packed.join(hot, same(), "left_semi").select(*joined, "_hot"))
+    names = [f"_j_{k}" for k in keys]
+    served = rows.join(hot_table, same(), "left").drop(*names).withColumn(
+        "_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.monotonically_increasing_id() % 100003 + 1))
+    cold = packed.join(hot, same(), "left_anti").select(*joined, F.lit(0).cast("bigint").alias("_j_salt"),
+                                                        F.col("_hot").alias("_cold"))
+    both = served.join(cold, same() & (F.col("_salt") == F.col("_j_salt")), "left")
+    given = F.coalesce("_hot", "_cold")
+    both = both.withColumn("_given", given)
+    return ((both if unmatched else both.where(F.col("_given").isNotNull()))
+            .select(*rows.columns, *[F.col(f"_given.{c}").alias(c) for c in added]))

@@ -215,7 +215,7 @@ def test_chi_square(spark):
     assert r.dof == 1 and r.chi2 == pytest.approx(n * (ad - n / 2) ** 2 / (30 * 35 * 40 * 25))
     one = hypothesis.chi_square(df.where("q = 'x'"), "p", "q").first()
     assert one.dof == 0 and one.chi2 == 0.0 and one.p_value == 1.0 and one.cramers_v is None
-    grid = grouping.crosstab(df.where("NOT (p = 'a' AND q = 'y')"), "p", "q").collect()
+    grid = grouping.crosstab(df.where("NOT (p = 'a' AND q = 'y')"), "p", "q", zeros=True).collect()
     assert len(grid) == 4 and sum(g.n for g in grid) == 45 and min(g.n for g in grid) == 0
 
 
@@ -435,4 +435,4 @@ def test_group_shares_add_up(odd):
     rows = grouping.group_share(odd, ["s"], "id").collect()
     assert sum(r.percent for r in rows) == pytest.approx(100.0)
     with pytest.raises(ValueError):
-        grouping.group_aggregate(odd, ["s"], {"id": "product"})
+        grouping.group_aggregate(odd, ["s"], {"id": "nonsense"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabsonde.operators import charts as K
 from tabsonde.operators import regression as G
 from workload.common import LINE_NUMERIC, LINE_ORDER, LINE_ORDER_SQL, query, rnd, rounded, union_all
@@ -80,12 +82,20 @@ def scatter_line(t):
     return rounded(K.scatter_line(t.lineitem, *XY))
 
 
-@query("scatter_sample_3d")
+GRID = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("scatter_sample_3d", f"SELECT {', '.join(LINE_ORDER)}, l_quantity, l_discount, l_returnflag FROM lineitem")
 def scatter_sample_3d(t):
-    return K.scatter_sample(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], LINE_ORDER, 5000, ["l_returnflag"])
+    return K.scatter_sample(t.lineitem, GRID, LINE_ORDER, None, ["l_returnflag"])
 
 
-GRID = ["l_quantity", "l_extendedprice", "l_discount"]
+@query("scatter_density_3d", f"""WITH {spans(GRID)} SELECT l_returnflag, {bin_sql(GRID[0])} AS x_bin, {bin_sql(GRID[1])} AS y_bin,
+ {bin_sql(GRID[2])} AS z_bin, count(*) AS n, {rnd('avg(l_quantity)', 6)} AS x_mean, {rnd('sum(l_extendedprice)', 2)} AS y_sum,
+ {rnd('avg(l_discount)', 6)} AS z_mean FROM lineitem, r GROUP BY ALL""")
+def scatter_density_3d(t):
+    out = K.scatter_density_3d(t.lineitem, GRID, by=["l_returnflag"])
+    return rounded(out.withColumn("y_sum", F.col("y_mean") * F.col("n")).drop("y_mean"), 6, y_sum=2)
 
 
 @query("pair_grid", f"WITH {spans(GRID)} " + "\nUNION ALL\n".join(
@@ -109,11 +119,17 @@ def pair_grid_density(t):
 
 
 @query("qq_points", f"""WITH o AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders),
+ p AS (SELECT *, (i - 0.5::DOUBLE) / n AS p FROM o) SELECT i, {rnd(ppf_sql('p'), 6)} AS theoretical, v AS sample FROM p""")
+def qq_points(t):
+    return rounded(K.qq_points(t.orders, "o_totalprice"), 6)
+
+
+@query("qq_points_thinned", f"""WITH o AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders),
  k AS (SELECT DISTINCT CAST(ceil((j - 0.5::DOUBLE) * (SELECT count(*) FROM orders) / 1000) AS BIGINT) AS i FROM range(1, 1001) g(j)),
  p AS (SELECT i, v, (i - 0.5::DOUBLE) / n AS p FROM o JOIN k USING (i))
  SELECT i, {rnd(ppf_sql('p'), 6)} AS theoretical, v AS sample FROM p""")
-def qq_points(t):
-    return rounded(K.qq_points(t.orders, "o_totalprice"), 6)
+def qq_points_thinned(t):
+    return rounded(K.qq_points(t.orders, "o_totalprice", 1000), 6)
 
 
 @query("qq_points_all_ranks", f"""WITH o AS (SELECT l_quantity AS v, row_number() OVER (ORDER BY l_quantity) AS i, count(*) OVER () AS n FROM lineitem),

@@ -9,7 +9,7 @@ from tabsonde.operators import models as M
 from tabsonde.operators import regression as G
 from workload.common import LINE_NUMERIC, LINE_ORDER, query, rounded
 
-VECTOR = [f"e{i}" for i in range(16)]
+VECTOR = [f"e{i}" for i in range(64)]
 
 
 def vectors(t):
@@ -70,4 +70,4 @@ def model_evaluate_regression(t):
 
 @query("model_candidates")
 def model_candidates(t):
-    return rounded(M.evaluate_models(t.customer, "c_mktsegment", ["c_custkey"], ["c_acctbal", "c_nationkey"], models=["linear"]))
+    return rounded(M.evaluate_models(t.customer, "c_mktsegment", ["c_custkey"], ["c_acctbal", "c_nationkey"]))

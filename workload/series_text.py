@@ -134,7 +134,8 @@ def ts_forecast(t):
 
 CLEAN = (f"trim(regexp_replace(regexp_replace(lower(text), '[^{KEPT}\\t\\n\\x0B\\f\\r \\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g'), "
          f"'[\\t\\n\\x0B\\f\\r \\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))")
-STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+# As they read once a text has been cleaned.
+STOPS = ", ".join("'" + w.replace("'", "") + "'" for w in STOP_WORDS)
 TERMS = f"""c AS (SELECT doc_id, {CLEAN} AS text FROM documents), w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM c),
  k AS (SELECT * FROM w WHERE length(term) >= 2 AND term NOT IN ({STOPS})), f AS (SELECT term, count(*) AS n FROM k GROUP BY term),
  top AS (SELECT * FROM f ORDER BY n DESC, term LIMIT 10)"""

@@ -62,7 +62,7 @@ def group_agg(t):
  SELECT l_returnflag, l_linestatus, coalesce(n, 0) AS n, {rnd('sum(coalesce(n, 0)) OVER (PARTITION BY l_returnflag) * sum(coalesce(n, 0)) OVER (PARTITION BY l_linestatus) / sum(coalesce(n, 0)) OVER ()')} AS expected
  FROM g LEFT JOIN c USING (l_returnflag, l_linestatus)""")
 def crosstab(t):
-    return rounded(G.crosstab(t.lineitem, "l_returnflag", "l_linestatus"))
+    return rounded(G.crosstab(t.lineitem, "l_returnflag", "l_linestatus", zeros=True))
 
 
 PAIRS = [(a, b) for i, a in enumerate(LINE_NUMERIC) for b in LINE_NUMERIC[i + 1:]]
