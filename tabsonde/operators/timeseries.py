@@ -1,37 +1,37 @@
 """Time series: aggregation, decomposition, stationarity, periods, trend and forecast.
 
 Every analysis starts from `aggregate`, which reduces a table to one row per series and time
-step. Raw rows are combined in a grouped aggregate; what is windowed or handed to NumPy
-afterwards has at most one row per step of the calendar (a day by default, 366 a year), so a
-series stays small however many rows the table has. Series run in parallel by key.
+step. Raw rows are combined in a grouped aggregate; what is windowed afterwards has at most one
+row per step of the calendar (a day by default, 366 a year), so a series stays small however many
+rows the table has. Tests and forecasts need only sums of lagged products, which are joined and
+added up by Spark; what reaches NumPy is a few numbers per lag of each series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsonde.functions.numeric import adf, adf_p_value, arma_forecast, kpss, kpss_p_value, strongest_periods
+from tabsonde.functions import lagged
 from tabsonde.operators.correlation import r_p_value
 from tabsonde.plans.aggregates import pair_sums, pearson
 from tabsonde.schema import as_double, require_columns, require_numeric
 
-GRAINS = ("hour", "day", "week", "month", "quarter", "year")
+GRAINS = ("second", "minute", "hour", "day", "week", "month", "quarter", "year")
 MIN_TREND, MIN_SEASONAL, TREND_PERIOD = 10, 24, 12
 
 
-def aggregate(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), grain: str = "day") -> DataFrame:
-    """(by, ts, value): mean per time step."""
+def aggregate(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), grain: str | None = "day") -> DataFrame:
+    """(by, ts, value): mean per time step, or per time stamp as it is without a grain."""
     require_columns(df, [ts, *by])
     require_numeric(df, [value])
-    if grain not in GRAINS:
-        raise ValueError(f"grain is one of {GRAINS}")
+    if grain is not None and grain not in GRAINS:
+        raise ValueError(f"grain is None or one of {GRAINS}")
     v = as_double(value)
-    step = F.date_trunc(grain, F.col(ts)).cast(df.schema[ts].dataType)
+    step = F.date_trunc(grain, F.col(ts)).cast(df.schema[ts].dataType) if grain else F.col(ts)
     return (df.where(F.col(ts).isNotNull() & v.isNotNull()).groupBy(*by, step.alias("ts"))
             .agg(F.avg(v).alias("value")))
 
@@ -54,15 +54,24 @@ def _run(df: DataFrame, by: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def decompose(series: DataFrame, period: int = 4, model: str = "additive", by: Sequence[str] = ()) -> DataFrame:
+def usual_period(series: DataFrame, by: Sequence[str] = ()) -> int:
+    """7 for daily steps, 12 for monthly ones, else 4, by the commonest step."""
+    step = F.datediff("ts", F.lag("ts").over(_series(by).orderBy("ts")))
+    days = series.select(step.alias("d")).agg(F.mode("d", True)).first()[0]
+    return 7 if days == 1 else 12 if days is not None and 28 <= days <= 31 else 4
+
+
+def decompose(series: DataFrame, period: int | None = 4, model: str = "additive", by: Sequence[str] = ()) -> DataFrame:
     """(by, ts, pos, value, trend, seasonal, residual) by moving averages.
 
+    Without a period, the usual one of the steps is taken.
     The trend is a centred mean over one period (half weight at both ends when even) and null
     where the window is incomplete; the seasonal part is the centred mean per phase.
     """
     if model not in ("additive", "multiplicative"):
         raise ValueError("model is 'additive' or 'multiplicative'")
     add = model == "additive"
+    period = period or usual_period(series, by)
     k = period // 2
     w = _series(by).orderBy("ts")
     full = w.rowsBetween(-k, k)
@@ -107,72 +116,151 @@ def volatility(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _run(percent_change(series, by), by, [F.stddev_samp("change").alias("volatility")])
 
 
-def _per_series(series: DataFrame, by: Sequence[str], run, fields: str) -> DataFrame:
-    """Apply `run(values, times) -> list of tuples` to each series in time order."""
-    types = {f.name: f.dataType.simpleString() for f in series.schema}
+def _centred(series: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Steps numbered from 0, with the series' length, mean and the value less the mean."""
+    w = _series(by)
+    return (positions(series, by).withColumn("n", F.count("value").over(w)).withColumn("mean", F.avg("value").over(w))
+            .withColumn("e", F.col("value") - F.col("mean")))
+
+
+def _products(x: DataFrame, by: Sequence[str], lags: int) -> DataFrame:
+    """(by, products): sums of e(t) e(t - j) for j = 0 .. lags. Pairs meet by (by, step), not by series."""
+    later = x.select(*by, "pos", F.col("e").alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("_lag"))
+    later = later.select(*by, "_a", "_lag", (F.col("pos") - F.col("_lag")).alias("_pos"))
+    earlier = x.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("pos").alias("_at"), F.col("e").alias("_b"))
+    on = F.col("_pos") == F.col("_at")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    sums = later.join(earlier, on).groupBy(*by, "_lag").agg(F.sum(F.col("_a") * F.col("_b")).alias("_s"))
+    return _run(sums, by, [F.transform(F.array_sort(F.collect_list(F.struct("_lag", "_s"))), lambda v: v["_s"]).alias("products")])
+
+
+def _moments(x: DataFrame, by: Sequence[str], lags: int) -> DataFrame:
+    """One row per series: n, mean, products, first and last values, last time stamp, range of the values."""
+    edge = lags + 2
+    def ordered(near: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(near, F.struct("pos", "e")))), lambda v: v["e"])
+    facts = _run(x, by, [
+        F.first("n").alias("n"), F.first("mean").alias("mean"), (F.max("value") - F.min("value")).alias("spread"),
+        ordered(F.col("pos") < edge).alias("head"), ordered(F.col("pos") >= F.col("n") - edge).alias("tail"),
+        F.max("ts").alias("last")])
+    sums = _products(x, by, lags)
+    return _beside(facts, sums, by)
+
+
+def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Two frames with one row per series, side by side."""
+    if not by:
+        return left.crossJoin(right)
+    names = [f"_r{i}" for i in range(len(by))]
+    other = right.select(*[F.col(c).alias(n) for c, n in zip(by, names)], *[c for c in right.columns if c not in by])
+    on = F.lit(True)
+    for c, n in zip(by, names):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return left.join(other, on).drop(*names)
+
+
+def _solve(moments: DataFrame, by: Sequence[str], run, fields: str) -> DataFrame:
+    """`run(row) -> list of tuples` for the one row of each series."""
+    types = {f.name: f.dataType.simpleString() for f in moments.schema}
     names = [f.split()[0] for f in fields.split(", ")]
-    ddl = ", ".join([*(f"`{k}` {types[k]}" for k in by), fields])
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        out = pd.DataFrame(run(pdf["value"].to_numpy(dtype=float), pdf["ts"]), columns=names)
-        for i, k in enumerate(by):
-            out.insert(i, k, [pdf[k].iloc[0]] * len(out))
-        return out
+    def apply(batches):
+        for pdf in batches:
+            rows = [(*(r[k] for k in by), *t) for r in pdf.to_dict("records") for t in run(r)]
+            yield pd.DataFrame(rows, columns=[*by, *names])
+
+    return moments.mapInPandas(apply, ", ".join([*(f"`{k}` {types[k]}" for k in by), fields]))
 
-    keys = list(by) or [F.lit(0).alias("_all")]
-    return series.groupBy(*keys).applyInPandas(apply, ddl)
+
+def _longest(series: DataFrame, by: Sequence[str]) -> int:
+    """Steps of the longest series."""
+    return (series.groupBy(*by).count() if by else series.agg(F.count(F.lit(1)).alias("count"))).agg(F.max("count")).first()[0] or 0
 
 
 def unit_root_test(series: DataFrame, by: Sequence[str] = (), max_lag: int | None = None,
                    auto: bool = True) -> DataFrame:
     """Augmented Dickey-Fuller test with constant; the lag is chosen by AIC unless fixed."""
-    def run(y: np.ndarray, _) -> list[tuple]:
-        if len(y) < 10 or np.ptp(y) == 0:
-            return [(len(y), None, None, None, None)]
-        t, lags, rows = adf(y, max_lag, auto)
-        p = adf_p_value(t)
-        return [(rows, t, lags, p, p < 0.05)]
-    return _per_series(series, by, run, "n bigint, statistic double, lags int, p_value double, is_stationary boolean")
+    lags = max_lag if max_lag is not None else lagged.default_adf_lag(_longest(series, by))
+
+    def run(r: dict) -> list[tuple]:
+        if r["n"] < 10 or r["spread"] == 0:
+            return [(r["n"], None, None, None, None)]
+        t, used, rows = lagged.adf(lagged.Lagged(r["n"], r["products"], r["head"], r["tail"]), max_lag, auto)
+        p = lagged.adf_p_value(t)
+        return [(rows, t, used, p, p < 0.05)]
+    return _solve(_moments(_centred(series, by), by, lags + 1), by, run,
+                  "n bigint, statistic double, lags int, p_value double, is_stationary boolean")
 
 
 def stationarity_test(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """KPSS test of level stationarity; p is kept inside [0.01, 0.10]."""
-    def run(y: np.ndarray, _) -> list[tuple]:
-        if len(y) < 10 or np.ptp(y) == 0:
-            return [(len(y), None, None, None, None)]
-        stat, lags = kpss(y)
-        p = kpss_p_value(stat)
-        return [(len(y), stat, lags, p, p > 0.05)]
-    return _per_series(series, by, run, "n bigint, statistic double, lags int, p_value double, is_stationary boolean")
+    x = _centred(series, by)
+    running = F.sum("e").over(_series(by).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    squares = _run(x.withColumn("_s", running), by, [F.sum(F.col("_s") ** 2).alias("squares")])
+    first = _moments(x, by, int(_longest(series, by) ** (2.0 / 9.0)))
+
+    def lag(r: dict) -> list[tuple]:
+        return [(None if r["n"] < 10 or r["spread"] == 0 else lagged.kpss_lag(r["n"], r["products"]), r["n"])]
+    chosen = _solve(first, by, lag, "lags int, n bigint")
+    most = chosen.agg(F.max("lags")).first()[0] or 0  # one number
+    facts = _beside(_beside(chosen, squares, by), _products(x, by, most), by)
+
+    def run(r: dict) -> list[tuple]:
+        if pd.isna(r["lags"]):
+            return [(r["n"], None, None, None, None)]
+        stat = lagged.kpss(r["n"], r["products"], int(r["lags"]), r["squares"])
+        p = lagged.kpss_p_value(stat)
+        return [(r["n"], stat, int(r["lags"]), p, p > 0.05)]
+    return _solve(facts, by, run, "n bigint, statistic double, lags int, p_value double, is_stationary boolean")
 
 
 def periodogram(series: DataFrame, top: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """The strongest positive frequencies of the mean-free series, by power."""
-    def run(y: np.ndarray, _) -> list[tuple]:
-        return [(r, k, period, power) for r, (k, period, power) in enumerate(strongest_periods(y, top), 1)]
-    return _per_series(series, by, run, "rank int, frequency int, period double, power double")
+    """(by, rank, frequency, period, power): the strongest positive frequencies of the mean-free series.
+
+    Sums over (by, frequency): steps times half the steps are added up, spread over all tasks.
+    """
+    x = _centred(series, by).where("n > 1")
+    x = x.select(*by, "pos", "n", "e", F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor(F.col("n") / 2))).alias("frequency"))
+    angle = 2 * F.pi() * F.pmod(F.col("frequency") * F.col("pos"), F.col("n")) / F.col("n")
+    power = (x.groupBy(*by, "frequency", "n").agg(F.sum(F.col("e") * F.cos(angle)).alias("c"), F.sum(F.col("e") * F.sin(angle)).alias("s"))
+             .select(*by, F.col("frequency").cast("int").alias("frequency"), (F.col("n") / F.col("frequency")).alias("period"),
+                     (F.col("c") ** 2 + F.col("s") ** 2).alias("power")))
+    best = [F.desc("power"), "frequency"]
+    if not by:
+        power = power.orderBy(*best).limit(top)
+    return (power.withColumn("rank", F.row_number().over(_series(by).orderBy(*best))).where(F.col("rank") <= top)
+            .select(*by, "rank", "frequency", "period", "power"))
 
 
 def forecast(series: DataFrame, order: tuple[int, int, int] = (1, 1, 1), steps: int = 30,
              by: Sequence[str] = (), step: str = "1 day") -> DataFrame:
     """(by, step, ts, forecast, low, high, aic, bic) for each series.
 
-    Conditional least squares (Hannan-Rissanen), not maximum likelihood: coefficients are
-    close to, not equal to, those of a likelihood fit.
+    Conditional least squares (Hannan-Rissanen) on sums of lagged products, not maximum
+    likelihood: coefficients are close to, not equal to, those of a likelihood fit.
     """
     p, d, q = order
-
-    def run(y: np.ndarray, times: pd.Series) -> list[tuple]:
-        if len(y) < d + 3 * (p + q + 2):
+    w = _series(by).orderBy("ts")
+    ends = _run(positions(series, by).withColumn("_n", F.count("value").over(_series(by))).where(F.col("pos") >= F.col("_n") - max(d, 1)),
+                by, [F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"]).alias("ends"),
+                     F.first("_n").alias("steps")])
+    changed = series
+    for _ in range(d):
+        changed = (changed.withColumn("value", F.col("value") - F.lag("value").over(w))
+                   .where(F.col("value").isNotNull()))
+    reach = lagged.long_order(_longest(series, by), p, q) + max(p, q)
+    moments = _beside(_moments(_centred(changed, by), by, reach + 1), ends, by)
+
+    def run(r: dict) -> list[tuple]:
+        if r["steps"] < d + 3 * (p + q + 2):
             return []
-        got = arma_forecast(y, p, d, q, steps)
-        last = times.iloc[-1]
-        return [(i + 1, last, f, f - 1.959963984540054 * s, f + 1.959963984540054 * s, got["aic"], got["bic"])
+        got = lagged.forecast(lagged.Lagged(r["n"], r["products"], r["head"], r["tail"]), r["mean"], r["ends"], p, d, q, steps)
+        return [(i + 1, r["last"], f, f - 1.959963984540054 * s, f + 1.959963984540054 * s, got["aic"], got["bic"])
                 for i, (f, s) in enumerate(zip(got["forecast"].tolist(), got["se"].tolist()))]
 
     kind = series.schema["ts"].dataType.simpleString()
-    out = _per_series(series, by, run, f"step int, last {kind}, forecast double, low double, high double, aic double, bic double")
+    out = _solve(moments, by, run, f"step int, last {kind}, forecast double, low double, high double, aic double, bic double")
     return out.withColumn("ts", F.col("last") + F.col("step") * F.expr(f"INTERVAL {step}")).select(
         *by, "step", "ts", "forecast", "low", "high", "aic", "bic")
 

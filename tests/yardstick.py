@@ -1,4 +1,4 @@
-"""Small numeric helpers for result rows and bounded series."""
+"""Unit root, stationarity, spectrum and ARMA computed from whole arrays: yardsticks for the distributed versions."""
 
 from __future__ import annotations
 
@@ -6,28 +6,6 @@ import math
 
 import numpy as np
 
-# MacKinnon (1994) p-value surface for a unit root with constant, and the
-# critical points of the level stationarity test with their probabilities.
-ADF_SMALL = [2.1659, 1.4412, 0.038269]
-ADF_LARGE = [1.7339, 0.93202, -0.12745, -0.010368]
-ADF_STAR, ADF_MIN, ADF_MAX = -1.61, -18.83, 2.74
-KPSS_CRITICAL = [0.347, 0.463, 0.574, 0.739]
-KPSS_P = [0.10, 0.05, 0.025, 0.01]
-
-
-def adf_p_value(t: float) -> float:
-    if t > ADF_MAX:
-        return 1.0
-    if t < ADF_MIN:
-        return 0.0
-    c = ADF_SMALL if t <= ADF_STAR else ADF_LARGE
-    z = sum(k * t ** i for i, k in enumerate(c))
-    return 0.5 * math.erfc(-z / math.sqrt(2.0))
-
-
-def kpss_p_value(stat: float) -> float:
-    return float(np.interp(stat, KPSS_CRITICAL, KPSS_P))
-
 
 def least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """Coefficients, residual sum of squares and the diagonal of (X'X)^-1."""
