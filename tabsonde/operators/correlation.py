@@ -23,9 +23,12 @@ LEAF_ROWS = 2_000_000
 def pair_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, column_1, column_2, n, mean_x, mean_y, sxx, syy, sxy) for all pairs of columns.
 
-    Every pair uses the rows where both are present; one scan per PAIRS_PER_AGGREGATE pairs.
+    Every pair uses the rows where both are present. Many columns without groups go through one scan
+    of matrix products; else there is one scan per PAIRS_PER_AGGREGATE pairs.
     """
     pairs = list(combinations(cols, 2))
+    if len(pairs) > PAIRS_PER_AGGREGATE and not by:
+        return _gram_pairs(df, cols)
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
         aggs, structs = [], []
@@ -43,6 +46,44 @@ def pair_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Da
     return out
 
 
+def _gram_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The same sums for all pairs from one scan.
+
+    With 0 for missing values and a matrix P of what is present, P'P counts the rows of each pair, X'P and
+    (X*X)'P add up one side over the rows where the other is present, and X'X adds up products. Each partition
+    sends one row per pair. Values are taken from a nearby point first, which changes no result but keeps digits.
+    """
+    p = len(cols)
+    near = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    some = near.limit(1000).agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(p)]).first()
+    shift = np.array([some[f"c{i}"] or 0.0 for i in range(p)])
+    first, second = np.triu_indices(p, 1)
+    names = ["column_1", "column_2", "n", "sx", "sy", "qx", "qy", "qxy"]
+
+    def sums(batches):
+        total = np.zeros((4, p, p))
+        for pdf in batches:
+            x = pdf.to_numpy(float)
+            present = ~np.isnan(x)
+            x, here = np.where(present, x - shift, 0.0), present.astype(float)
+            total += [here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x]
+        n, s, q, c = total
+        yield pd.DataFrame(dict(zip(names, [first, second, n[first, second], s[first, second], s[second, first],
+                                            q[first, second], q[second, first], c[first, second]])))
+
+    parts = near.mapInPandas(sums, "column_1 int, column_2 int, n double, sx double, sy double, qx double, qy double, qxy double")
+    whole = parts.groupBy("column_1", "column_2").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    name = F.array(*[F.lit(c) for c in cols])
+    at = F.array(*[F.lit(float(v)) for v in shift])
+    i, j, n = F.col("column_1"), F.col("column_2"), F.col("n")
+    centred = lambda q, a, b: F.when(n > 0, F.col(q) - F.col(a) * F.col(b) / n)
+    return whole.select(
+        F.get(name, i).alias("column_1"), F.get(name, j).alias("column_2"), n.cast("bigint").alias("n"),
+        (F.get(at, i) + F.try_divide("sx", "n")).alias("mean_x"), (F.get(at, j) + F.try_divide("sy", "n")).alias("mean_y"),
+        F.greatest(centred("qx", "sx", "sx"), F.when(n > 0, 0.0)).alias("sxx"),
+        F.greatest(centred("qy", "sy", "sy"), F.when(n > 0, 0.0)).alias("syy"), centred("qxy", "sx", "sy").alias("sxy"))
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(column_1, column_2, n, r): Pearson for every pair; null where a side is constant."""
     cols = list(cols or numeric_columns(df))

@@ -181,7 +181,9 @@ def chi_square(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFra
     cb = cells.groupBy(*by, b).agg(F.sum("o").alias("c"))
     inv = lambda g, v, k: _agg(g, by, [F.sum(1 / F.col(v)).alias(f"inv_{v}"), F.count(F.lit(1)).alias(k)])
     total = _agg(cells, by, [F.sum("o").alias("n")])
-    grid = cells.join(ra, [*by, a]).join(cb, [*by, b])
+    # A value with very many partners is a hot key of this join.
+    grid = attach(cells, ra, [*by, a], cells.groupBy(*by, a).agg(F.count(F.lit(1)).alias("n")))
+    grid = attach(grid, cb, [*by, b], cells.groupBy(*by, b).agg(F.count(F.lit(1)).alias("n")))
     grid = grid.join(total, list(by)) if by else grid.crossJoin(F.broadcast(total))
     e = F.col("r") * F.col("c") / F.col("n")
     sums = _agg(grid, by, [F.sum(F.col("o") * F.col("o") / e).alias("s"), F.max(F.abs(F.col("o") - e)).alias("d"),
@@ -257,17 +259,19 @@ def _poly(coefficients: Sequence[float], x: Column) -> Column:
 def normality_shapiro(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Shapiro-Wilk (Royston 1995) for groups of 3 to 5,000 values.
 
-    Larger groups get no statistic, as the test is defined only up to that size; the limit
-    also bounds the rows that are ranked in one task.
+    Larger groups get no statistic, as the test is defined only up to that size, and the reason says
+    so; the limit also bounds the rows that are ranked in one task.
     """
     require_numeric(df, [value])
     values = df.select(*by, as_double(value).alias("_v")).where(F.col("_v").isNotNull())
     size = _agg(values, by, [F.count("_v").alias("m"), F.avg("_v").alias("mu"), F.var_pop("_v").alias("var")])
     fit = size.where(F.col("m").between(3, SHAPIRO_LIMIT) & (F.col("var") > 0))
     if by:
-        # Groups of at most 5,000 rows; the bigger ones fall away on the map side when the
-        # sizes are broadcast, and in the shuffle join otherwise.
-        rows = values.join(fit, list(by))
+        # Groups of at most 5,000 rows. Bigger ones go before the join: those with a thousandth of all
+        # rows or more, at most a thousand, by a broadcast of their keys.
+        total = size.agg(F.sum("m").alias("t")).scalar()
+        big = F.broadcast(size.where((F.col("m") > SHAPIRO_LIMIT) & (F.col("m") * 1000 > total)).select(*by))
+        rows = values.join(big, list(by), "left_anti").join(fit, list(by))
         w = Window.partitionBy(*by).orderBy("_v")
     else:
         rows = values.crossJoin(F.broadcast(fit))
@@ -310,7 +314,9 @@ def normality_shapiro(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
         / F.exp(_poly([0.0030302, -0.082676, -0.4803], ln)))
     p3 = F.greatest(F.lit(6 / math.pi) * (F.asin(F.sqrt(wv)) - F.asin(F.sqrt(F.lit(0.75)))), F.lit(0.0))
     done = out.withColumn("p_value", F.when(n == 3, p3).otherwise(normal_upper_col(z)))
-    return size.select(*by, m.alias("n")).join(done, [*by, "n"], "left")
+    reason = (F.when(F.col("n") < 3, "fewer than 3 values").when(F.col("n") > SHAPIRO_LIMIT, "more than 5,000 values")
+              .when(F.col("statistic").isNull(), "constant"))
+    return size.select(*by, m.alias("n")).join(done, [*by, "n"], "left").withColumn("reason", reason)
 
 
 def normality_tests(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

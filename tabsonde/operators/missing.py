@@ -99,19 +99,28 @@ def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _keep_types(df, {c: F.coalesce(as_double(c), F.lit(q[c, 0.5]).cast("double")) for c in cols})
 
 
-def column_mode(df: DataFrame, c: str) -> DataFrame:
-    """One row with the most frequent value, the smallest on ties."""
-    return (df.where(~missing(df, c)).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(c).alias("v"))).alias("b"))
-            .select(F.col("b.v").alias(f"_m_{c}")))
+def column_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row `_m_<column>` with the most frequent value of each column, the smallest on ties.
+
+    One frequency table serves all columns: a cell has a field for each type, of which one is filled.
+    """
+    kinds = list(dict.fromkeys(df.schema[c].dataType.simpleString() for c in cols))
+    own = [kinds.index(df.schema[c].dataType.simpleString()) for c in cols]
+    cells = [F.struct(F.lit(i).alias("c"), *[(F.when(~missing(df, c), F.col(c)) if k == own[i] else F.lit(None).cast(kind)).alias(f"v{k}")
+                                             for k, kind in enumerate(kinds)]) for i, c in enumerate(cols)]
+    values = [f"v{k}" for k in range(len(kinds))]
+    counted = (spread(df, cells).where(F.coalesce(*[F.col(v).isNotNull().cast("int") if len(values) == 1 else
+                                                    F.when(F.col(v).isNotNull(), 1) for v in values]) == 1)
+               .groupBy("c", *values).agg(F.count(F.lit(1)).alias("n")))
+    best = counted.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("m"), *values)).alias("b"))
+    return best.agg(*[F.first(F.when(F.col("c") == i, F.col(f"b.v{own[i]}")), ignorenulls=True).alias(f"_m_{c}")
+                      for i, c in enumerate(cols)])
 
 
 def fill_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     require_columns(df, cols)
     df = normalise(df)
-    out = df
-    for c in cols:
-        out = out.crossJoin(F.broadcast(column_mode(df, c)))  # one row
+    out = df.crossJoin(F.broadcast(column_modes(df, cols)))  # one row
     return out.select(*[F.coalesce(c, f"_m_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 

@@ -114,3 +114,43 @@ def test_models_take_all_features(spark, monkeypatch):
     with pytest.raises(StopIteration):
         models.evaluate_models(df, "c0", ["c1"], task="regression")
     assert seen == [f"c{i}" for i in range(1, 9)]
+
+
+def test_pairs_of_many_columns_in_one_scan(spark):
+    from tabsonde.operators import correlation
+    cols = [f"c{i}" for i in range(12)]
+    df = spark.range(500).select(*[F.when(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(7)) > 0, F.sin(F.col("id") * (i + 1)) * 3 + 1e6 * i).alias(c)
+                                   for i, c in enumerate(cols)]).withColumn("c11", F.lit(None).cast("double")).repartition(5)
+    wide = {(r.column_1, r.column_2): r for r in correlation.correlation_matrix(df, cols).collect()}
+    assert len(wide) == 66
+    assert correlation.correlation_matrix(df, cols)._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    for a, b in (("c0", "c1"), ("c3", "c9"), ("c5", "c11")):
+        narrow = correlation.correlation_matrix(df, [a, b]).first()
+        got = wide[a, b]
+        assert got.n == narrow.n and (got.r is None) == (narrow.r is None)
+        assert narrow.r is None or got.r == pytest.approx(narrow.r, abs=1e-9)
+
+
+def test_modes_of_mixed_types_in_one_scan(spark):
+    from tabsonde.operators import missing
+    df = spark.createDataFrame([(2**60 + 1, "b", 1.5, None), (2**60 + 1, "a", float("nan"), None), (None, "a", 2.5, None),
+                                (7, None, 1.5, None), (7, "b", None, None)], "l long, s string, d double, e int")
+    got = missing.fill_mode(df, ["l", "s", "d", "e"]).collect()
+    assert [r.l for r in got] == [2**60 + 1, 2**60 + 1, 7, 7, 7] and [r.s for r in got] == ["b", "a", "a", "a", "b"]
+    assert [r.d for r in got] == [1.5, 1.5, 2.5, 1.5, 1.5] and [r.e for r in got] == [None] * 5
+
+
+def test_chi_square_of_a_wide_table(spark):
+    from tabsonde.operators import hypothesis
+    df = spark.range(40_000).select((F.col("id") % 2).cast("string").alias("a"), F.floor(F.col("id") / 4).cast("string").alias("b"))
+    got = hypothesis.chi_square(df, "a", "b").first()
+    assert (got.n, got.dof) == (40_000, 9_999) and got.chi2 == pytest.approx(0.0, abs=1e-6)
+
+
+def test_shapiro_gives_reasons(spark):
+    from tabsonde.operators import hypothesis
+    df = spark.range(6000).select(F.lit("big").alias("g"), F.rand(1).alias("v")).unionByName(
+        spark.createDataFrame([("few", 1.0), *[("same", 2.0)] * 5, *[("fine", float(i * i)) for i in range(9)]], "g string, v double"))
+    got = {r.g: r for r in hypothesis.normality_shapiro(df, "v", ["g"]).collect()}
+    assert {k: r.reason for k, r in got.items()} == {"big": "more than 5,000 values", "few": "fewer than 3 values", "same": "constant", "fine": None}
+    assert got["fine"].statistic is not None and got["big"].statistic is None
