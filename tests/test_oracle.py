@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 from oracle import compare, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+entry._load()
+from workload.common import ORACLE, QUERIES  # noqa: E402  queries of tabsonde.llm have their own tests
 # Fits of many models take minutes and are run by tests/oracle.py.
 SLOW = {"model_evaluate_classification", "model_evaluate_regression"}
 
@@ -32,5 +33,9 @@ def test_query(spark, con, name):
         assert QUERIES[name](spark, SF_DIR).count() > 0
 
 
+def test_registry():
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
