@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -13,11 +12,10 @@ from pyspark.sql import functions as F
 
 from tabsonde.functions.special import normal_upper_col, t_two_sided_col
 from tabsonde.plans.aggregates import pair_sums, pearson
-from tabsonde.plans.ordering import average_ranks, bucket_count, count_not_above, sampled_rows
+from tabsonde.plans.ordering import add_bucket, attach, average_ranks, ranked_frequency, running_sums
 from tabsonde.schema import as_double, numeric_columns, require_numeric, spread
 
 PAIRS_PER_AGGREGATE = 30
-LEAF_ROWS = 2_000_000
 
 
 def pair_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -137,101 +135,39 @@ def _spearman(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 # ---- Kendall ---------------------------------------------------------------------------
 
-def _concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
-    """Concordant minus discordant weighted pairs, pairs tied on either side left out.
+def _kendall_s(counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, s): concordant minus discordant pairs of weighted points, pairs tied on either side left out.
 
-    Bottom-up over the bits of the y rank: at every level the rows of one block are in x
-    order, and a row with the low bit sums the rows with the high bit before it.
+    Two values of y differ first in one bit of their dense ranks. For every bit the points are put in blocks that
+    agree in all higher bits; in a block, a point with the bit set is concordant with the points without it at
+    smaller x, and discordant the other way round. Sums before each x are running totals over ranges, so a block
+    with all rows is no single task, and each level halves the blocks whatever the values are.
     """
-    _, xr = np.unique(x, return_inverse=True)
-    _, yr = np.unique(y, return_inverse=True)
-    order = np.lexsort((yr, xr))
-    xr, yr, n = xr[order], yr[order], n[order].astype(np.float64)
-    total = 0.0
-    for bit in range(int(yr.max()).bit_length()):
-        block = yr >> (bit + 1)
-        o = np.argsort(block, kind="stable")
-        b, high, w, xs = block[o], (yr[o] >> bit) & 1, n[o], xr[o]
-        new_run = np.r_[True, (b[1:] != b[:-1]) | (xs[1:] != xs[:-1])]
-        run = np.cumsum(new_run) - 1
-        first = np.flatnonzero(new_run)
-        starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        block_start = starts[np.cumsum(np.r_[True, b[1:] != b[:-1]]) - 1]
-        lows, highs = np.r_[0.0, np.cumsum(w * (1 - high))], np.r_[0.0, np.cumsum(w * high)]
-        before = first[run]  # rows of the block with a smaller x end here
-        low_before = lows[before] - lows[block_start]
-        high_before = highs[before] - highs[block_start]
-        total += float(np.sum(w * np.where(high == 1, low_before, -high_before)))
-    return total
-
-
-def _leaf(keys: Sequence[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = _concordance(pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "s": [s]})
-    return run
-
-
-def _cuts(df: DataFrame, column: str, buckets: int) -> list[float]:
-    s = np.sort(sampled_rows(df.select(column), buckets * 40).toPandas()[column].to_numpy())
-    if not len(s):
-        return []
-    return sorted({float(s[i]) for i in np.linspace(0, len(s) - 1, buckets + 1).astype(int)[1:-1]})
-
-
-def _with_cell(df: DataFrame, column: str, cuts: list[float], name: str) -> DataFrame:
-    """Odd numbers are single values (a cut point), even numbers the gaps between them."""
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    is_cut = F.element_at(F.from_json(F.lit(json.dumps(cuts)), "array<double>"),
-                          F.greatest(F.col(name), F.lit(1))) == F.col(column)
-    return (count_not_above(df, column, cuts, name)
-            .withColumn(name, 2 * F.col(name) - F.when((F.col(name) > 0) & is_cut, 1).otherwise(0)))
-
-
-def _kendall_s(counted: DataFrame, by: Sequence[str], buckets: int, levels: int) -> DataFrame:
-    """(by, s): concordant minus discordant pairs of weighted points.
-
-    Points fall in a grid of value ranges. Pairs apart in both directions are counted from
-    cell totals; pairs in one column or one row are counted inside it (those in one cell
-    were counted twice and are taken off). A cut point is a range of its own, and its pairs
-    are ties, so no range that has to be opened holds a frequent value.
-    """
-    schema_of = {f.name: f.dataType.simpleString() for f in counted.schema}
-    if levels == 0:
-        ddl = ", ".join([*(f"`{k}` {schema_of[k]}" for k in by), "s double"])
-        keys = list(by) or [F.lit(0).alias("_all")]
-        return counted.groupBy(*keys).applyInPandas(_leaf(by), ddl)
-    xs, ys = _cuts(counted, "_x", buckets), _cuts(counted, "_y", buckets)
-    a, b = f"_a{levels}", f"_b{levels}"
-    celled = _with_cell(_with_cell(counted, "_x", xs, a), "_y", ys, b)
-    cells = celled.groupBy(*by, a, b).agg(F.sum("n").alias("n"))
-    ddl = ", ".join([*(f"`{k}` {schema_of[k]}" for k in by), "s double"])
-    keys = list(by) or [F.lit(0).alias("_all")]
-    # At most (2 * buckets + 1) ** 2 cells per group.
-    apart = (cells.withColumnRenamed(a, "_x").withColumnRenamed(b, "_y")
-             .groupBy(*keys).applyInPandas(_leaf(by), ddl))
-    open_a, open_b = F.col(a) % 2 == 0, F.col(b) % 2 == 0
-    one = F.lit(1.0)
-    parts = [(apart, one)]
-    for group, rows, sign in (([a], celled.where(open_a), one), ([b], celled.where(open_b), one),
-                              ([a, b], celled.where(open_a & open_b), -one)):
-        inner = _kendall_s(rows.select(*by, *group, "_x", "_y", "n"), [*by, *group], buckets, levels - 1)
-        parts.append((inner, sign))
-    out = None
-    for frame, sign in parts:
-        f = frame.select(*by, (F.col("s") * sign).alias("s"))
-        out = f if out is None else out.unionByName(f)
-    return out.groupBy(*by).agg(F.sum("s").alias("s")) if by else out.agg(F.sum("s").alias("s"))
+    values = counted.select(*by, "_y").distinct()
+    ranks = ranked_frequency(values, "_y", by).select(*by, "_y", (F.col("upto") - 1).cast("bigint").alias("_rank"))
+    sizes = counted.groupBy(*by, "_y").agg(F.count(F.lit(1)).alias("n"))
+    ranked = attach(counted, ranks, [*by, "_y"], sizes)
+    bits = int(ranks.agg(F.max("_rank")).first()[0] or 0).bit_length()
+    if not bits:
+        none = F.lit(0.0).alias("s")
+        return counted.groupBy(*by).agg(none) if by else counted.agg(F.count(F.lit(1)).alias("_n")).select(none)
+    each = ranked.select(*by, "_x", "n", "_rank", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("_bit"))
+    block = F.call_function("shiftright", F.col("_rank"), F.col("_bit") + 1)
+    high = F.call_function("shiftright", F.col("_rank"), F.col("_bit")) % 2
+    each = each.withColumn("_block", block).withColumn("_high", high)
+    keys = [*by, "_bit", "_block"]
+    # Within a block only bits of its own points count: equal x are ties, so one row per x.
+    sides = each.groupBy(*keys, "_x").agg(F.sum(F.when(F.col("_high") == 0, F.col("n")).otherwise(0)).cast("double").alias("_l"),
+                                          F.sum(F.when(F.col("_high") == 1, F.col("n")).otherwise(0)).cast("double").alias("_h"))
+    both = running_sums(add_bucket(sides, keys, ["_x"]), keys, ["_x"], {"_ls": F.col("_l"), "_hs": F.col("_h")})
+    s = F.sum(F.col("_h") * (F.col("_ls") - F.col("_l")) - F.col("_l") * (F.col("_hs") - F.col("_h"))).alias("s")
+    return both.groupBy(*by).agg(s) if by else both.agg(s)
 
 
 def _kendall(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, n, s, ties...) and tau-b with its normal approximation."""
     counted = pairs.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.count()
-    buckets = min(512, max(8, 4 * bucket_count(pairs)))
-    levels = 0 if rows <= LEAF_ROWS else 1 if rows / buckets <= LEAF_ROWS else 2
-    s = _kendall_s(counted, by, buckets, levels)
+    s = _kendall_s(counted, by)
     n = F.col("n").cast("double")
 
     def margin(v: str) -> DataFrame:

@@ -23,15 +23,18 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
     return spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() == 0
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header. Files that are not UTF-8 are read as CP949.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+             encoding: str | None = None) -> DataFrame:
+    """CSV with a header in the encoding named. Without one, a scan finds out whether the files are
+    UTF-8; if not they are read as CP949.
 
-    Spark reads CP949 only with spark.sql.legacy.javaCharsets=true, which is set for the read.
+    Spark reads CP949 only with spark.sql.legacy.javaCharsets=true. Rows are read when a plan runs, so
+    the setting is left on; it allows more encodings and changes no other read.
     """
-    if is_utf8(spark, path):
-        return _csv(spark, path, schema, "UTF-8")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return _csv(spark, path, schema, FALLBACK_ENCODING)
+    encoding = encoding or ("UTF-8" if is_utf8(spark, path) else FALLBACK_ENCODING)
+    if encoding == FALLBACK_ENCODING:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return _csv(spark, path, schema, encoding)
 
 
 def read_csv_narrow(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -40,15 +43,17 @@ def read_csv_narrow(spark: SparkSession, path: str, schema: T.StructType | None
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
-              multi_line: bool = True) -> DataFrame:
-    """A JSON document holding an array of records, or one record per line."""
+              multi_line: bool = False) -> DataFrame:
+    """One record per line, or with multi_line one document per file holding an array of records (one
+    task per file)."""
     reader = spark.read.option("multiLine", multi_line)
     return reader.schema(schema).json(path) if schema else reader.json(path)
 
 
 def load(source: DataFrame | str, spark: SparkSession | None = None,
-         schema: T.StructType | None = None) -> DataFrame:
-    """A frame as it is, or a path by its extension. Unknown or empty input raises ValueError."""
+         schema: T.StructType | None = None, encoding: str | None = None, multi_line: bool = False) -> DataFrame:
+    """A frame as it is, or a path by its extension, with trimmed column names. Unknown or empty input
+    raises ValueError."""
     if isinstance(source, DataFrame):
         return source
     if not isinstance(source, str):
@@ -58,12 +63,18 @@ def load(source: DataFrame | str, spark: SparkSession | None = None,
     if not path.endswith(READABLE):
         raise ValueError(f"unsupported file: {source}; readable: {', '.join(READABLE)}")
     if path.endswith(".csv"):
-        out = read_csv(spark, source, schema)
+        out = read_csv(spark, source, schema, encoding)
     elif path.endswith(".json"):
-        out = read_json(spark, source, schema)
+        out = read_json(spark, source, schema, multi_line)
     else:
         out = (spark.read.schema(schema) if schema else spark.read).parquet(source)
-    return require_rows(out)
+    return require_rows(trimmed(out))
+
+
+def trimmed(df: DataFrame) -> DataFrame:
+    """Column names without white space around them; names that would then be equal stay as they are."""
+    names = [c.strip() for c in df.columns]
+    return df.toDF(*[n if names.count(n) == 1 else c for n, c in zip(names, df.columns)])
 
 
 def require_rows(df: DataFrame) -> DataFrame:

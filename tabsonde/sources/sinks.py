@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabsonde.operators.report import ReportConfig, report_tables, sections
 
@@ -48,7 +49,8 @@ def result_key(name: str, df: DataFrame, params: dict | None = None) -> str:
     state = []
     if files:
         found = df.sparkSession.read.format("binaryFile").load(files).select("path", "modificationTime", "length")
-        state = sorted((r["path"], str(r["modificationTime"]), r["length"]) for r in found.collect())  # one row per file
+        one = F.xxhash64("path", F.unix_micros("modificationTime"), "length").cast("decimal(38,0)")
+        state = [str(v) for v in found.agg(F.count(F.lit(1)), F.sum("length"), F.sum(one)).first()]  # one row for all files
     plan = [df.schema.json(), df.semanticHash()]
     text = json.dumps([name, params or {}, plan, state], sort_keys=True, default=str)
     return hashlib.sha256(text.encode()).hexdigest()

@@ -121,15 +121,21 @@ def brute_kendall(x, y):
     return float(np.sum(np.sign(x[:, None] - x[None]) * np.sign(y[:, None] - y[None])) / 2)
 
 
-@pytest.mark.parametrize("levels", [0, 1, 2])
-def test_kendall_levels(spark, levels):
-    rng = np.random.default_rng(0)
-    x = rng.integers(0, 40, 1500).astype(float)
-    x[:500] = 7
-    y = np.round(x * 0.3 + rng.normal(size=1500), 1)
-    df = (spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "_x double, _y double")
-          .groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("n")))
-    assert correlation._kendall_s(df, [], 8, levels).first()["s"] == brute_kendall(x, y)
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_kendall_sums(spark, monkeypatch, buckets):
+    """With and without ties, by key, for any ranges of the running sums."""
+    monkeypatch.setattr(ordering, "bucket_count", lambda df: buckets)
+    rng = np.random.default_rng(3)
+    parts = {"ties": (rng.integers(0, 9, 300), rng.integers(0, 7, 300)), "smooth": (rng.normal(size=200), rng.normal(size=200)),
+             "one": (np.arange(5), np.zeros(5)), "line": (np.arange(40), np.arange(40) * 2)}
+    rows = [(k, float(a), float(b)) for k, (x, y) in parts.items() for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "k string, _x double, _y double").repartition(4)
+    counted = df.groupBy("k", "_x", "_y").count().withColumnRenamed("count", "n")
+    got = {r["k"]: r["s"] for r in correlation._kendall_s(counted, ["k"]).collect()}
+    for k, (x, y) in parts.items():
+        assert got.get(k, 0.0) == brute_kendall(x, y), k
+    whole = correlation._kendall_s(counted.where("k = 'ties'").drop("k"), []).first()["s"]
+    assert whole == brute_kendall(*parts["ties"])
 
 
 def plan(df) -> str:

@@ -114,3 +114,16 @@ def test_cached_result_is_built_once(spark, tmp_path):
     assert key != sinks.result_key("counts", df.where("n > 1"), {"by": "k"})
     df.write.mode("append").parquet(src)
     assert key != sinks.result_key("counts", spark.read.parquet(src), {"by": "k"})
+
+
+def test_named_encoding_names_and_lines(spark, tmp_path, monkeypatch):
+    path = write(tmp_path / "t.csv", " a , b,a\n1,x,2\n")
+    assert readers.load(path, spark).columns[1] == "b"
+    monkeypatch.setattr(readers, "is_utf8", lambda *a: 1 / 0)
+    assert readers.load(path, spark, encoding="UTF-8").count() == 1
+    lines = write(tmp_path / "l.json", '{"a": 1}\n{"a": 2}\n')
+    assert readers.load(lines, spark).count() == 2
+    pretty = write(tmp_path / "p.json", json.dumps([{"a": 1}, {"a": 2}], indent=1))
+    assert readers.load(pretty, spark, multi_line=True).count() == 2
+    df = spark.createDataFrame([(1, 2)], "` x ` int, x int")
+    assert readers.trimmed(df).columns == [" x ", "x"] and readers.trimmed(df.select("` x `")).columns == ["x"]
