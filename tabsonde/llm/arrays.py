@@ -7,12 +7,13 @@ random table of byte values, so a window's hash is a difference of running sums.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20  # bytes of text handled at once
+CHUNK = 1 << 20  # bytes of text handled at once
 _rng = np.random.default_rng(20260101)
 LANES = 2
 BYTE_VALUE = _rng.integers(1, 2**63, (LANES, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -23,6 +24,15 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def kept_by_worker(kind: type, path: str):
+    """kind(path), kept by this Python worker from task to task; of such objects only the last one used."""
+    have = getattr(sys, "_tabsonde_kept", None)
+    if have is None or type(have).__name__ != kind.__name__ or have.path != path:
+        sys._tabsonde_kept = None  # free the last one first
+        have = sys._tabsonde_kept = kind(path)
+    return have
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

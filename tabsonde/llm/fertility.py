@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from tabsonde.llm import arrays
 from tabsonde.llm.exchange import stored
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 # Scripts by the first byte of a UTF-8 character; ASCII letters and Latin supplements are one script.
@@ -50,10 +48,7 @@ class Pieces(dict):
 
     @staticmethod
     def of(path: str) -> Pieces:
-        have = getattr(sys, "_tabsonde_pieces", None)
-        if have is None or have.path != path:
-            have = sys._tabsonde_pieces = Pieces(path)
-        return have
+        return arrays.kept_by_worker(Pieces, path)
 
 
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:

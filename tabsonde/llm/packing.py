@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import zlib
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 from tabsonde.llm import arrays
 from tabsonde.llm.exchange import stored
 
-CACHED_WORDS = 800_000  # words a Python worker remembers
+CACHED_WORDS = 600_000  # words a Python worker remembers
 
 
 class WordIds(dict):
@@ -31,11 +30,7 @@ class WordIds(dict):
 
     @staticmethod
     def of(path: str) -> WordIds:
-        """The one of this Python worker, kept from task to task."""
-        have = getattr(sys, "_tabsonde_word_ids", None)
-        if have is None or have.path != path:
-            have = sys._tabsonde_word_ids = WordIds(path)
-        return have
+        return arrays.kept_by_worker(WordIds, path)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")

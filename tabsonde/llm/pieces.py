@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import zlib
 
 import numpy as np
@@ -13,7 +12,7 @@ from tabsonde.llm import arrays
 
 SPACE = "\u2581"
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much below the worst piece
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 CELLS = 400_000  # word positions handled at once
 _BASE = 0xD6E8FEB86659FD93
 
@@ -85,11 +84,7 @@ class Vocabulary:
 
     @staticmethod
     def of(path: str) -> Vocabulary:
-        """The one of this Python worker, kept from task to task."""
-        have = getattr(sys, "_tabsonde_vocabulary", None)
-        if have is None or have.path != path:
-            have = sys._tabsonde_vocabulary = Vocabulary(path)
-        return have
+        return arrays.kept_by_worker(Vocabulary, path)
 
     def _key(self, points: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, int]:
         """Hashes [word, start, length] of the substrings that start from `first` to `last`; 0 where they would
