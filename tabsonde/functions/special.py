@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsonde.functions.normal import norm_cdf
+
 _TINY = 1e-300
 _EPS = 1e-15
 
@@ -211,5 +213,9 @@ t_upper_col = _row_udf(t_upper, 2)
 t_ppf_col = _row_udf(t_ppf, 2)
 f_upper_col = _row_udf(f_upper, 3)
 chi2_upper_col = _row_udf(chi2_upper, 2)
-normal_upper_col = _row_udf(normal_upper, 1)
 kolmogorov_upper_col = _row_udf(kolmogorov_upper, 2)
+
+
+def normal_upper_col(z):
+    """P(Z > z) as a column expression."""
+    return F.when(z.isNotNull() & ~F.isnan(z), norm_cdf(-z))

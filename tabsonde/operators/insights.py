@@ -21,7 +21,7 @@ from tabsonde.schema import as_double, categorical_columns, numeric_columns, tem
 COLUMNS = ["type", "columns", "metric", "value", "level", "message"]
 # Thresholds of the rules.
 CORRELATION, STRONG, DOMINANT, RARE, RARE_SHOWN = 0.7, 0.8, 0.7, 0.01, 5
-SERIES = 10  # dates that a trend needs
+SERIES, TOP_FEATURES = 10, 3  # dates that a trend needs, predictors that a finding names
 HIGH_MISSING, SKEWED, VOLATILE, GOOD_FIT, FAIR_FIT = 20.0, 2.0, 0.1, 0.7, 0.5
 
 
@@ -129,9 +129,11 @@ def trend_insights(df: DataFrame, ts: str | None = None, value: str | None = Non
 
 
 def predictive_insights(df: DataFrame, predictors: Sequence[str], target: str, key: Sequence[str]) -> DataFrame:
-    top = predictive_analysis(df, predictors, target, key).where("rank = 1")
+    ranked = predictive_analysis(df, predictors, target, key).where(F.col("rank") <= TOP_FEATURES)
+    top = ranked.groupBy("r2").agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))),
+                                                                 lambda v: v["feature"])).alias("feature"))
     quality = F.when(F.col("r2") > GOOD_FIT, "high").when(F.col("r2") > FAIR_FIT, "adequate").otherwise("limited")
-    text = F.concat(F.lit(f"{target} is predicted with "), quality, F.lit(" accuracy; strongest predictor "), F.col("feature"))
+    text = F.concat(F.lit(f"{target} is predicted with "), quality, F.lit(" accuracy; strongest predictors: "), F.col("feature"))
     return finding(top, "predictive", F.lit(target), "r2", F.col("r2"), quality, text)
 
 
