@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from tabsonde.llm import arrays
 
 SPACE = "\u2581"
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much below the worst piece
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 CELLS = 400_000  # word positions handled at once
 _BASE = 0xD6E8FEB86659FD93
 
@@ -60,8 +61,8 @@ class Vocabulary:
         kinds = np.array(kinds)
         normal = np.flatnonzero(kinds == self.NORMAL)
         for i in normal:
-            if SPACE in pieces[i].lstrip(SPACE):
-                raise ValueError("pieces that reach over a word's start are not supported")
+            if SPACE in pieces[i].lstrip(SPACE) or "\n" in pieces[i]:
+                raise ValueError("pieces that reach over a word's start or hold a line feed are not supported")
         self.byte_id = np.full(256, -1, np.int64)
         for i in np.flatnonzero(kinds == self.BYTE):
             self.byte_id[int(pieces[i][3:5], 16)] = i
@@ -105,8 +106,8 @@ class Vocabulary:
                     + np.uint64(length))
         return out, longest
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of the best segmentation of words of one length; of equal scores the longer piece wins.
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """Packed ids of the best segmentation of words of one length; of equal scores the longer piece wins.
 
         The words advance together, one position at a time: each position offers its score plus that of every
         piece starting there to the piece's end, and vectorised maxima keep the best offer and its length.
@@ -141,7 +142,6 @@ class Vocabulary:
                 best[:, ends] = np.where(better, offer, best[:, ends])
                 back[:, ends] = np.where(better, lengths, back[:, ends])
                 piece[:, ends] = np.where(better, ids[:, s - first], piece[:, ends])
-        out: list[list[np.ndarray]] = []
         place = np.full(k, n)
         rows = np.arange(k)
         steps = []
@@ -151,14 +151,13 @@ class Vocabulary:
             place = place - np.where(live, back[rows, place], 0)
         chosen = np.stack([s[0] for s in steps[::-1]], axis=1) if steps else np.zeros((k, 0), np.int64)
         where = np.stack([s[1] for s in steps[::-1]], axis=1) if steps else chosen
-        out = []
-        for word, ids, at in zip(words, chosen, where):
-            real = ids != -2
-            ids, at = ids[real], at[real]
-            if (ids < 0).any():  # unknown characters, as bytes
-                ids = np.concatenate([[i] if i >= 0 else self.byte_id[list(word[p].encode())]
-                                      for i, p in zip(ids, at)])
-            out.append(ids)
+        real = chosen != -2
+        raw = chosen[real].astype("<u4").tobytes()
+        edges = [0, *(4 * np.cumsum(real.sum(1))).tolist()]
+        out = [raw[a:b] for a, b in zip(edges, edges[1:])]
+        for i in np.flatnonzero((chosen == -1).any(1)).tolist():  # unknown characters, as bytes
+            out[i] = np.concatenate([[x] if x >= 0 else self.byte_id[list(words[i][p].encode())]
+                                     for x, p in zip(chosen[i][real[i]], where[i][real[i]])]).astype("<u4").tobytes()
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -173,15 +172,14 @@ class Vocabulary:
             most = max(1, CELLS // (4 * n))
             for at in range(0, len(group), most):
                 part = group[at:at + most]
-                for word, ids in zip(part, self.viterbi(part)):
-                    self.known[word] = ids.astype("<u4").tobytes()
+                self.known.update(zip(part, self.viterbi(part)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as 4-byte little-endian integers."""
         split = []
         for text in texts:
             words = text.replace(" ", SPACE)
-            # a word is a run of spaces and what follows; the text gets one space in front
+            # the text gets one space in front
             split.append(_words(SPACE + words) if text else [])
         self.learn(set().union(*split))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
@@ -192,9 +190,8 @@ class Vocabulary:
         return found[1:].decode("utf-8", "replace") if found[:1] == b" " else found.decode("utf-8", "replace")
 
 
-def _words(text: str) -> list[str]:
-    import re
-    return re.findall(f"{SPACE}+[^{SPACE}]*", text)
+#: Spaces and what follows them up to a line feed. No piece holds a line feed, so it always stands alone.
+_words = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
 
 
 def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
