@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabsonde.llm import arrays
 from tabsonde.llm.exchange import stored
+from tabsonde.plans.ordering import attach
 
 CACHED_WORDS = 300_000
 SYMBOLS = np.zeros(256, bool)
@@ -134,31 +135,46 @@ SPREAD = 3.5  # interquartile ranges that a band reaches beyond the quartiles
 ENTROPY_TOKENS = 256  # entropy is taken relative to log2 of the tokens, this many at most
 
 
+LEAST = 100  # texts a band is fitted on, whatever the size of the corpus
+BANDED = {"chars": "chars_per_token", "entropy": "_ratio"}
+
+
 def _deviations(df: DataFrame) -> DataFrame:
     scale = F.sqrt(1 + F.lit(float(SHORT)) / F.greatest("n_tokens", F.lit(1)))
-    return (df.withColumn("_chars", F.round((F.col("chars_per_token") - F.col("mid_chars")) / scale, 4))
-            .withColumn("_entropy", F.round((F.col("_ratio") - F.col("mid_entropy")) / scale, 4)))
+    for name, c in BANDED.items():
+        df = df.withColumn(f"_{name}", F.round((F.col(c) - F.col(f"mid_{name}")) / scale, 4))
+    return df
+
+
+def _beside(rows: DataFrame, table: DataFrame, group: str) -> DataFrame:
+    """Rows with the columns that `table` has for their group. Scripts are seven, so they are broadcast; languages
+    may be as many as there are, so only those with more than 1/2000 of all rows are."""
+    if group == "script":
+        return rows.join(F.broadcast(table.drop("n")), group, "left")
+    return attach(rows, table.drop("n"), [group], table.select(group, "n"), unmatched=True)
 
 
-def bands(measured: DataFrame, group: str, least: int, spread: float = SPREAD) -> DataFrame:
+def bands(found: DataFrame, group: str, spread: float = SPREAD) -> DataFrame:
     """Rejection bands per value of `group`: medians, and limits of the scaled deviations from them.
 
-    Fitted on all rows that pass the base rules; groups with fewer than `least` of them get none. Values are
-    rounded before their exact quantiles are taken, so the state of a group is bounded.
+    Fitted on all rows that pass the base rules. Each value has a row with its number `n` of rows; the rest is null
+    for the null value and for those with fewer than LEAST rows to fit. Values are rounded before their exact
+    quantiles are taken, so the state of a group is bounded.
     """
-    mids = (measured.groupBy(group).agg(
-        F.percentile(F.round("chars_per_token", 4), 0.5).alias("mid_chars"),
-        F.percentile(F.round("_ratio", 4), 0.5).alias("mid_entropy"), F.count("*").alias("_rows"))
-        .filter(F.col("_rows") >= least).drop("_rows"))
-    around = _deviations(measured.join(F.broadcast(mids), group))
-    out = around.groupBy(group).agg(F.first("mid_chars").alias("mid_chars"),
-                                    F.first("mid_entropy").alias("mid_entropy"),
-                                    *(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c)
-                                      for c in ("_chars", "_entropy")))
-    for c in ("_chars", "_entropy"):
+    passed = ~F.col("base_failed")
+    mids = found.groupBy(group).agg(
+        F.count("*").alias("n"), F.count(F.when(passed, 1)).alias("_rows"),
+        *(F.percentile(F.when(passed, F.round(c, 4)), 0.5).alias(f"mid_{name}") for name, c in BANDED.items()))
+    fit = F.col(group).isNotNull() & (F.col("_rows") >= LEAST)
+    mids = stored(mids.select(group, "n", *(F.when(fit, F.col(f"mid_{name}")).alias(f"mid_{name}") for name in BANDED)),
+                  "middles")
+    around = _deviations(_beside(found.filter(passed), mids, group))
+    out = around.groupBy(group).agg(*(F.percentile(f"_{name}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{name}")
+                                      for name in BANDED))
+    for c in (f"_{name}" for name in BANDED):
         wide = (F.col(c)[1] - F.col(c)[0]) * spread
         out = out.withColumn(f"low{c}", F.col(c)[0] - wide).withColumn(f"high{c}", F.col(c)[1] + wide)
-    return out.drop("_chars", "_entropy")
+    return stored(mids.join(out.drop(*(f"_{name}" for name in BANDED)), group, "left"), "bands")
 
 
 def quality(docs: DataFrame, tokenizer: str, language: str | None = "lang", most_bytes: float = 0.5,
@@ -172,8 +188,8 @@ def quality(docs: DataFrame, tokenizer: str, language: str | None = "lang", most
     base_failed: fewer than 20 words, or more than 30 % of the words in 8-word windows that occur twice or more.
     Other texts are rejected if byte tokens exceed `most_bytes` in a script of letters that the vocabulary covers
     (latin, greek, cyrillic), or if characters per token or relative entropy lie outside the band of their
-    language; languages with under 100 texts, or under a ten-thousandth of all (so at most 10,000 bands are
-    broadcast), use the band of their script, and scripts with under 100 texts have none.
+    language; languages with under 100 texts use the band of their script, and scripts with under 100 texts have
+    none. Both limits count texts that pass the base rules and hold at every size of the corpus.
 
     A null or empty text has no words: all counts 0, base_failed. Rows that repeat are judged each on its own.
     """
@@ -185,16 +201,16 @@ def quality(docs: DataFrame, tokenizer: str, language: str | None = "lang", most
     found = (found.withColumn("base_failed", failed).withColumn("_language", group.cast("string"))
              .withColumn("_ratio", F.col("token_entropy") / F.log2(
                  F.greatest(F.least("n_tokens", F.lit(ENTROPY_TOKENS)), F.lit(2)).cast("double"))))
-    passed = found.filter(~F.col("base_failed"))
-    by_language = bands(passed, "_language", max(100, passed.count() // 10_000), spread)
-    by_script = bands(passed, "script", 100, spread)
-    limits = [c for c in by_language.columns if c != "_language"]
-    both = (found.join(F.broadcast(by_language.select("_language", F.struct(*limits).alias("_own"))), "_language", "left")
-            .join(F.broadcast(by_script.select("script", F.struct(*limits).alias("_script"))), "script", "left")
-            .withColumn("_band", F.coalesce("_own", "_script")).select("*", *(F.col(f"_band.{c}") for c in limits)))
+    both = found
+    for c, name in (("_language", "_own"), ("script", "_script")):
+        table = bands(found, c, spread)
+        limits = [x for x in table.columns if x not in (c, "n")]
+        both = _beside(both, table.select(c, "n", F.when(F.col("mid_chars").isNotNull(), F.struct(*limits)).alias(name)), c)
+    both = both.withColumn("_band", F.coalesce("_own", "_script")).select("*", *(F.col(f"_band.{c}") for c in limits))
     judged = _deviations(both)
-    inside = F.coalesce(F.col("_chars").between(F.col("low_chars"), F.col("high_chars"))
-                        & F.col("_entropy").between(F.col("low_entropy"), F.col("high_entropy")), F.lit(True))
+    inside = F.lit(True)
+    for name in BANDED:
+        inside &= F.coalesce(F.col(f"_{name}").between(F.col(f"low_{name}"), F.col(f"high_{name}")), F.lit(True))
     bytes_fit = (F.col("byte_share") <= most_bytes) | ~F.col("script").isin("latin", "greek", "cyrillic")
     names = [f.split()[0] for f in MEASURES.split(", ")]
     return judged.withColumn("kept", ~F.col("base_failed") & bytes_fit & inside).select(

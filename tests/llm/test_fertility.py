@@ -73,6 +73,38 @@ def test_bands(spark):
     assert quality(frame.limit(0), vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def measured(spark, parts):
+    """Measured rows: (number of them, language, script, characters per token, byte share), each spread a little."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+    fixed = {c: 300 for c in ("n_words", "word_chars", "n_tokens")} | {
+        c: 0 for c in ("n_symbols", "n_dup_lines", "n_repeat_words", "n_byte_tokens")}
+    return reduce(DataFrame.unionByName, [
+        spark.range(n).select(
+            (F.col("id") + 10_000_000 * i).alias("doc_id"), F.lit(lang).cast("string").alias("lang"),
+            *(F.lit(v).cast("long").alias(c) for c, v in fixed.items()),
+            (F.lit(chars) + F.col("id") % 10 / 50).alias("chars_per_token"), F.lit(byte).cast("double").alias("byte_share"),
+            (F.lit(6.0) + F.col("id") % 7 / 20).alias("token_entropy"), F.lit(script).alias("script"))
+        for i, (n, lang, script, chars, byte) in enumerate(parts)])
+
+
+def judged(spark, monkeypatch, parts):
+    """Rows kept of each part."""
+    from tabsonde.llm import fertility
+    monkeypatch.setattr(fertility, "measures", lambda docs, tokenizer, carry: docs)
+    got = quality(measured(spark, parts), "").filter("kept").selectExpr("doc_id div 10000000 AS part").groupBy("part").count()
+    kept = {r["part"]: r["count"] for r in got.collect()}
+    return [kept.get(i, 0) for i in range(len(parts))]
+
+
+def test_band_of_a_rare_language_in_a_large_corpus(spark, monkeypatch):
+    parts = [(1_200_000, "aa", "latin", 4.0, 0), (110, "rare", "latin", 2.0, 0), (3, "rare", "latin", 4.0, 0),
+             (90, "few", "latin", 2.0, 0), (500, None, "latin", 4.0, 0)]
+    assert judged(spark, monkeypatch, parts) == [1_200_000, 110, 0, 0, 500]
+
+
 def test_registered_query(spark):
     import __spark_entry__ as entry
     sf = "/root/testdata/sf0.01"
