@@ -136,7 +136,8 @@ ENTROPY_TOKENS = 256  # entropy is taken relative to log2 of the tokens, this ma
 
 
 LEAST = 100  # texts a band is fitted on, whatever the size of the corpus
-BANDED = {"chars": "chars_per_token", "entropy": "_ratio"}
+BANDED = {"chars": "chars_per_token", "entropy": "_ratio", "bytes": "byte_share"}
+FLOOR = {"bytes": 0.05}  # what a band reaches beyond the quartiles at least: most texts have no byte token at all
 
 
 def _deviations(df: DataFrame) -> DataFrame:
@@ -171,8 +172,9 @@ def bands(found: DataFrame, group: str, spread: float = SPREAD) -> DataFrame:
     around = _deviations(_beside(found.filter(passed), mids, group))
     out = around.groupBy(group).agg(*(F.percentile(f"_{name}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{name}")
                                       for name in BANDED))
-    for c in (f"_{name}" for name in BANDED):
-        wide = (F.col(c)[1] - F.col(c)[0]) * spread
+    for name in BANDED:
+        c = f"_{name}"
+        wide = F.greatest((F.col(c)[1] - F.col(c)[0]) * spread, F.lit(FLOOR.get(name, 0.0)))
         out = out.withColumn(f"low{c}", F.col(c)[0] - wide).withColumn(f"high{c}", F.col(c)[1] + wide)
     return stored(mids.join(out.drop(*(f"_{name}" for name in BANDED)), group, "left"), "bands")
 
@@ -187,8 +189,8 @@ def quality(docs: DataFrame, tokenizer: str, language: str | None = "lang", most
 
     base_failed: fewer than 20 words, or more than 30 % of the words in 8-word windows that occur twice or more.
     Other texts are rejected if byte tokens exceed `most_bytes` in a script of letters that the vocabulary covers
-    (latin, greek, cyrillic), or if characters per token or relative entropy lie outside the band of their
-    language; languages with under 100 texts use the band of their script, and scripts with under 100 texts have
+    (latin, greek, cyrillic), or if characters per token, relative entropy or the share of byte tokens lie outside
+    the band of their language; languages with under 100 texts use the band of their script, and scripts with under 100 texts have
     none. Both limits count texts that pass the base rules and hold at every size of the corpus.
 
     A null or empty text has no words: all counts 0, base_failed. Rows that repeat are judged each on its own.

@@ -105,6 +105,13 @@ def test_band_of_a_rare_language_in_a_large_corpus(spark, monkeypatch):
     assert judged(spark, monkeypatch, parts) == [1_200_000, 110, 0, 0, 500]
 
 
+def test_band_of_byte_share(spark, monkeypatch):
+    parts = [(500, "aa", "latin", 4.0, 0), (3, "aa", "latin", 4.0, 0.4), (3, "aa", "latin", 4.0, 0.02),
+             (300, "zz", "three_byte", 1.0, 0.1), (2, "zz", "three_byte", 1.0, 1.0), (200, "ru", "four_byte", 0.3, 1.0),
+             (2, "few", "three_byte", 1.0, 1.0)]
+    assert judged(spark, monkeypatch, parts) == [500, 0, 3, 300, 0, 200, 0]
+
+
 def test_registered_query(spark):
     import __spark_entry__ as entry
     sf = "/root/testdata/sf0.01"
