@@ -7,12 +7,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabsonde.llm import arrays
 from tabsonde.llm.exchange import block_of, blocks_for, blocks_of, keyed
 from tabsonde.llm.repeats import CELL, cells, known, positions, repeated, repeated_in, rows_of, table
 
 LEAD = 4  # bytes before an anchor that belong to its suffix
+HOT = 2000  # anchors above which a gram is hot: its windows are hashed one by one
 STRETCH = 8 << 20  # longer texts are cut into overlapping stretches
 BOTH = CELL + ", run binary, before binary, sizes binary, nearest binary, farthest binary, count binary"
 SPAN = "block int, key binary, at binary, count binary"
@@ -193,29 +195,43 @@ def judge_group(suffixes: list[bytes], before: list[bytes], nearest: list[int],
     return out
 
 
-def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list[str] | None = None) -> DataFrame:
-    """Remove every byte covered by a string of `size` bytes that also starts anywhere else.
-
-    docs has doc_id and text (string or binary). Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept (the remaining bytes, binary: cuts may split characters), spans (from, to) and the columns in `carry`.
+def hot_grams(texts: DataFrame, size: int, gram: int, hot: int = HOT) -> list[int]:
+    """Hashes of the grams with more than `hot` anchors (a share of 1 / hot of all anchors at most, so 8 bytes for
+    every 170 KB of text come to the driver). A task leaves out grams that it has seen once; that only moves the
+    border between hot and other grams, not a result."""
+    def count(batches):
+        def merged(parts):
+            grams, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return grams, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
-    1. Sampled anchors (see Anchors), about one in 85 bytes, meet by hash; those seen once go.
-    2. Suffixes that start LEAD bytes before the other anchors are sorted within a chunk, front-coded and exchanged
-       by the hash of their first bytes. A bucket merges its runs with a loser tree that never compares known
-       prefixes again, and gets the common prefixes of neighbours, so groups of equal gram and lead, for free.
-    3. In a group, suffixes are sorted once more from where anchors' preceding bytes part (see judge_group); shared
-       prefixes of neighbours tell which windows repeat.
-    4. Windows that start fewer than LEAD bytes before their anchor are compared by 128-bit hash. So a group is
-       split by LEAD bytes that vary where a common passage begins, and inside a passage equal suffixes of a chunk
-       travel once.
+        def rows(part):
+            grams, times = part
+            return pa.RecordBatch.from_arrays([pa.array(grams[times > 1].view(np.int64)), pa.array(times[times > 1])],
+                                              names=["gram", "times"])
 
-    Null and empty texts have no bytes. Texts shorter than a window stay whole. Rows that repeat a doc_id, or lack
-    one, are separate documents. Strings never cross documents and are judged on the input.
-    """
-    carry = [c for c in carry or [] if c not in ("doc_id", "text")]
-    frame = keyed(docs).select("_row_key", "doc_id", "text", *carry)
-    blocks = blocks_for(docs)
+        pending, held = [], 0
+        for batch in batches:
+            for _, _, _, data, offsets in stretches(batch.column("text"), size):
+                pending.append(np.unique(Anchors(data, offsets, size, gram).hash, return_counts=True))
+                held += len(pending[-1][0])
+                if held > 1_000_000:
+                    pending = [merged(pending)]
+                    held = len(pending[0][0])
+                    if held > 500_000:
+                        yield rows(pending[0])
+                        pending, held = [], 0
+        if pending:
+            yield rows(merged(pending))
+
+    counts = texts.select("text").mapInArrow(count, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("n"))
+    return [r["gram"] for r in counts.filter(F.col("n") > hot).select("gram").collect()]
+
+
+def exchanged(frame: DataFrame, size: int, gram: int, blocks: int, hot: int = HOT) -> DataFrame:
+    """Steps 1 and 2 of repeated_bytes up to the exchange: rows of BOTH by bucket."""
     buckets = blocks
+    known_hot = frame.sparkSession.sparkContext.broadcast(
+        np.sort(np.array(hot_grams(frame, size, gram, hot), np.int64).view(np.uint64)))
 
     def anchors(batches):
         for batch in batches:
@@ -228,7 +244,7 @@ def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list
                     yield from table(packed + known(own[found.row[later]], at[later], blocks), CELL).to_batches()
 
     def send(texts: pa.Table, hits: pa.Table) -> pa.Table:
-        """Cells of near windows, runs of suffixes, and spans that a chunk finds by itself (negative buckets)."""
+        """Cells of single windows, runs of suffixes, and spans that a chunk finds by itself (negative buckets)."""
         out: list[dict] = []
         if hits.num_rows:
             key, at = positions(hits)
@@ -241,15 +257,18 @@ def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list
                 if found is None or not len(found.at):
                     continue
                 wanted = np.isin(found.at, offsets[row] + pos)
-                out += near(found, np.flatnonzero(wanted), data, offsets, keys[first:last], base)
-                out += far(found, np.flatnonzero(wanted & (found.farthest >= LEAD)), data, offsets, keys[first:last], base)
+                often = np.isin(found.hash, known_hot.value)
+                out += single(found, np.flatnonzero(wanted), often, data, offsets, keys[first:last], base)
+                out += far(found, np.flatnonzero(wanted & ~often & (found.farthest >= LEAD)), data, offsets,
+                           keys[first:last], base)
         return table(out, BOTH)
 
-    def near(found, chosen, data, offsets, own, base) -> list[dict]:
-        """Windows that start fewer than LEAD bytes before their anchor."""
-        pick = [chosen[(found.nearest[chosen] <= d) & (found.farthest[chosen] >= d)] for d in range(LEAD)]
-        start = np.concatenate([found.at[has] - d for d, has in enumerate(pick)])
-        row = np.concatenate([found.row[has] for has in pick])
+    def single(found, chosen, often, data, offsets, own, base) -> list[dict]:
+        """Windows compared one by one: those that start fewer than LEAD bytes before their anchor, and all of hot
+        grams."""
+        farthest = np.where(often[chosen], found.farthest[chosen], np.minimum(found.farthest[chosen], LEAD - 1))
+        count = np.maximum(farthest - found.nearest[chosen] + 1, 0)
+        start, row = arrays.ranges(found.at[chosen] - farthest, count), np.repeat(found.row[chosen], count)
         if not len(start):
             return []
         lanes = [arrays.between(arrays.running(arrays.BYTE_VALUE[lane][data], arrays.BASE[lane]), start, start + size,
@@ -291,6 +310,37 @@ def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list
         return [{"bucket": -1 - s["block"], "row": s["key"], "at": s["at"], "count": s["count"]}
                 for s in spans_by_block(key, at, count, blocks)]
 
+    by_block = frame.withColumn("_block", block_of("_row_key", blocks)).groupBy("_block")
+    hits = repeated(frame.select("_row_key", "text").mapInArrow(anchors, CELL), blocks)
+    return by_block.cogroup(hits.groupBy("block")).applyInArrow(send, BOTH)
+
+
+def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list[str] | None = None,
+                   hot: int = HOT) -> DataFrame:
+    """Remove every byte covered by a string of `size` bytes that also starts anywhere else.
+
+    docs has doc_id and text (string or binary). Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
+    kept (the remaining bytes, binary: cuts may split characters), spans (from, to) and the columns in `carry`.
+
+    1. Sampled anchors (see Anchors), about one in 85 bytes, meet by hash; those seen once go.
+    2. Suffixes that start LEAD bytes before the other anchors are sorted within a chunk, front-coded and exchanged
+       by the hash of their first bytes. A bucket merges its runs with a loser tree that never compares known
+       prefixes again, and gets the common prefixes of neighbours, so groups of equal gram and lead, for free.
+    3. In a group, suffixes are sorted once more from where anchors' preceding bytes part (see judge_group); shared
+       prefixes of neighbours tell which windows repeat.
+    4. Windows that start fewer than LEAD bytes before their anchor are compared by 128-bit hash. So a group is
+       split by LEAD bytes that vary where a common passage begins, and inside a passage equal suffixes of a chunk
+       travel once.
+    5. Grams with more than `hot` anchors (a line in many rows, shorter than a window) form no group: all windows of
+       their anchors are compared as in 4, spread by their hash, equal ones of a chunk once.
+
+    Null and empty texts have no bytes. Texts shorter than a window stay whole. Rows that repeat a doc_id, or lack
+    one, are separate documents. Strings never cross documents and are judged on the input.
+    """
+    carry = [c for c in carry or [] if c not in ("doc_id", "text")]
+    frame = keyed(docs).select("_row_key", "doc_id", "text", *carry)
+    blocks = blocks_for(docs)
+
     def judge(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         if rows[0]["bucket"] < 0:
@@ -340,9 +390,7 @@ def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list
         return pa.concat_tables(out)
 
     by_block = frame.withColumn("_block", block_of("_row_key", blocks)).groupBy("_block")
-    hits = repeated(frame.select("_row_key", "text").mapInArrow(anchors, CELL), blocks)
-    sent = by_block.cogroup(hits.groupBy("block")).applyInArrow(send, BOTH)
-    spans = sent.groupBy("bucket").applyInArrow(judge, SPAN)
+    spans = exchanged(frame, size, gram, blocks, hot).groupBy("bucket").applyInArrow(judge, SPAN)
     kinds = "".join(f", `{c}` {frame.schema[c].dataType.simpleString()}" for c in carry)
     return by_block.cogroup(spans.groupBy("block")).applyInArrow(
         remove, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, "

@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabsonde.llm import suffixes
 from tabsonde.llm.suffixes import common, depths, front_code, front_decode, judge_group, merge, repeated_bytes
@@ -94,6 +95,26 @@ def test_texts(spark, size, gram):
         assert r["n_spans"] == len(want[2])
 
 
+def test_hot_line(spark):
+    """A line in every row: no bucket gets an entry for each row, and windows across its borders are found."""
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    line = "".join(rnd.choice("KLMNOPQRST") for _ in range(150))
+    rows = [(i, noise(250) + line + noise(250)) for i in range(400)]
+    rows += [(400 + i, noise(30) + rows[i][1][200 + i:480] + noise(30)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("_row_key", F.col("doc_id"))
+    buckets = [0] * 64
+    for r in suffixes.exchanged(frame, 200, 32, 64, hot=50).filter("run IS NOT NULL").select("bucket", "sizes").collect():
+        buckets[r["bucket"]] += len(r["sizes"]) // 4
+    assert max(buckets) <= 60
+    wanted = brute([t.encode() for _, t in rows], 200)
+    assert sum(w[1] for w in wanted) > 10_000
+    for hot in (50, 10_000):
+        got = {r["doc_id"]: r for r in repeated_bytes(frame.drop("_row_key"), 200, 32, hot=hot).collect()}
+        for (i, _), want in zip(rows, wanted):
+            assert (got[i]["n_removed"], [tuple(s) for s in got[i]["spans"]], bytes(got[i]["kept"])) == want[1:], i
+
+
 def test_long_rows_in_stretches(spark, monkeypatch):
     rnd = random.Random(8)
     long = "".join(rnd.choice("abcdefgh") for _ in range(5000))
