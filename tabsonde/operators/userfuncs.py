@@ -44,3 +44,15 @@ def apply_grouped(df: DataFrame, by: Sequence[str], partial: Piece, schema: str,
         raise ValueError(f"partial results combine by sum, min or max, not {unfit}")
     parts = df.mapInPandas(_on_batches(partial, None), schema)
     return parts.groupBy(*by).agg(*[AGGREGATES[f](c).alias(c) for c, f in combine.items()])
+
+
+def apply_groups(df: DataFrame, by: Sequence[str], func: Piece, schema: str, most: int = 1_000_000) -> DataFrame:
+    """Apply any `func` to all rows of each key at once (a null key is a key).
+
+    A group is held by one task, so keys with more than `most` rows are refused after a count, not cut;
+    `apply_grouped` takes those.
+    """
+    largest = df.groupBy(*by).count().agg({"count": "max"}).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a group has {largest} rows, more than {most}: use apply_grouped")
+    return df.groupBy(*by).applyInPandas(func, schema)

@@ -431,6 +431,14 @@ def test_user_functions(spark):
     assert out.count() == 5000
 
 
+def test_user_function_sees_whole_groups(spark):
+    df = spark.range(1000).selectExpr("id", "nullif(id % 3, 2) AS k").repartition(7)
+    out = userfuncs.apply_groups(df, ["k"], lambda p: p.head(1)[["k"]].assign(middle=p.id.median()), "k long, middle double")
+    assert {r.k: r.middle for r in out.collect()} == {0: 499.5, 1: 499.0, None: 500.0}
+    with pytest.raises(ValueError):
+        userfuncs.apply_groups(df, ["k"], lambda p: p, "id long, k long", most=300)
+
+
 def test_group_shares_add_up(odd):
     rows = grouping.group_share(odd, ["s"], "id").collect()
     assert sum(r.percent for r in rows) == pytest.approx(100.0)
