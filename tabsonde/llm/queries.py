@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsonde.llm import (chat, cover, extract, fertility, language, packing, pieces, setjoin, streamdedup, suffixes,
-                          tokencounts)
+                          tokencounts, variants)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -129,3 +129,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_token_counts")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.vocabulary_of(table(spark, sf_dir, "documents")))
