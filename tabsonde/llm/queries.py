@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsonde.llm import (chat, cover, extract, fertility, language, packing, pieces, setjoin, streamdedup, suffixes,
-                          tokencounts, variants)
+                          tokencounts, variants, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +134,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_spelling_variants")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(variants.vocabulary_of(table(spark, sf_dir, "documents")))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=8).withColumn(
+        "deviation", F.expr("try_cast(deviation AS BIGINT)"))
