@@ -1,8 +1,9 @@
 """Texts as flat byte arrays: words, hashes of words and of word or byte windows.
 
 A chunk is the UTF-8 bytes of some texts, one after another, with their offsets. White space is ASCII
-0x20 and 0x09-0x0D everywhere; all other bytes belong to words. Hashes are polynomials modulo 2**64 over a
-random table of byte values, so a window's hash is a difference of running sums.
+0x20 and 0x09-0x0D everywhere; all other bytes belong to words. Hashes are polynomials modulo the prime 2**61 - 1,
+so a window's hash is a difference of running sums. (Modulo a power of two some
+sequences, such as those of Thue and Morse, would collide for every base.)
 """
 
 from __future__ import annotations
@@ -14,11 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20  # bytes of text handled at once
-_rng = np.random.default_rng(20260101)
-LANES = 2
-BYTE_VALUE = _rng.integers(1, 2**63, (LANES, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
-WINDOW_BASE = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
+BASE = [0x1E3779B97F4A7C15, 0x11342543DE82EF95]
+WINDOW_BASE = [0x1F58476D1CE4E5B9, 0x14D049BB133111EB]
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -85,16 +83,69 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+PRIME = np.uint64((1 << 61) - 1)
+_LOW30, _LOW31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _u(n: int) -> np.uint64:
+    return np.uint64(n)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo PRIME."""
+    x = (x & PRIME) + (x >> _u(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it, from halves of 30 and 31 bits."""
+    a_high, a_low, b_high, b_low = a >> _u(31), a & _LOW31, b >> _u(31), b & _LOW31
+    middle = a_high * b_low + a_low * b_high
+    # 2**62 is 2, and 2**31 times the upper part of the middle is that part itself, twice shifted
+    return _reduced(_reduced((a_high * b_high << _u(1)) + (middle >> _u(30)) + ((middle & _LOW30) << _u(31)))
+                    + a_low * b_low)
+
+
+def prime_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo PRIME for i below n at least."""
+    have = _prime_powers.get(base)
+    if have is None or len(have[0]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        out = []
+        for b in (base, pow(base, -1, int(PRIME))):
+            p = np.ones(size, np.uint64)
+            filled = 1
+            while filled < size:
+                p[filled:2 * filled] = times(p[:filled], np.uint64(pow(b, filled, int(PRIME))))
+                filled *= 2
+            out.append(p)
+        _prime_powers[base] = have = (out[0], out[1])
+    return have
+
+
 def running(values: np.ndarray, base: int) -> np.ndarray:
-    """Sums of values[i] * base**i before each i; one longer than values."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values) + 1)[0][:len(values)], out=out[1:])
+    """Sums of value * base**i before each i, modulo PRIME each; one longer than values. The sums are kept in two
+    rows, with factors 1 and 2**31, that do not overflow. Bytes count one more than they are."""
+    n = len(values)
+    power = prime_powers(base, n + 1)[0][:n]
+    out = np.zeros((2, n + 1), np.uint64)
+    if values.dtype == np.uint8 and n < 1 << 23:
+        few = values + np.uint64(1)
+        low, high = few * (power & _LOW31), few * (power >> _u(31))  # below 2**40
+    else:
+        terms = times(_reduced(values.astype(np.uint64) + _u(values.dtype == np.uint8)), power)
+        low, high = terms & _LOW31, terms >> _u(31)
+    np.cumsum(low, out=out[0, 1:])
+    np.cumsum(high, out=out[1, 1:])
     return out
 
 
 def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Hashes of the values from start to end, equal for equal sequences of values of equal length."""
-    return mix((sums[end] - sums[start]) * powers(base, len(sums))[1][start])
+    low, high = (_reduced(s[end] - s[start]) for s in sums)
+    whole = _reduced(low + times(high, np.uint64(1 << 31)))
+    return mix(times(whole, prime_powers(base, sums.shape[1])[1][start]))
 
 
 class Words:
@@ -118,7 +169,7 @@ class Words:
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        sums = running(BYTE_VALUE[lane][self.data], BASE[lane])
+        sums = running(self.data, BASE[lane])
         length = (self.end - self.start).astype(np.uint64)
         return mix(between(sums, self.start, self.end, BASE[lane]) + length)
 

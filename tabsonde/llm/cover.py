@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsonde.llm import arrays
-from tabsonde.llm.exchange import block_of, blocks_for, keyed
+from tabsonde.llm.exchange import block_of, blocks_for, carried, keyed, with_fields
 from tabsonde.llm.repeats import CELL, cells, known, positions, repeated, rows_of, table
 
 def difference_cover(period: int) -> np.ndarray:
@@ -44,15 +44,16 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry:
 
     A null or blank text has no words and comes back as an empty text. Texts shorter than a window stay whole.
     Rows that repeat a doc_id, or lack one, are separate documents. Windows never cross documents and are
-    judged on the input.
+    judged on the input. Other columns are not read; one named like a result cannot be carried (ValueError).
     """
-    carry = [c for c in carry or [] if c not in ("doc_id", "text")]
+    results = "n_words long, n_removed long, kept_text string"
+    carry, more = carried(docs, carry, ["n_words", "n_removed", "kept_text"])
     anchor = window - period + 1
     if anchor < 1:
         raise ValueError("the period must not exceed the window")
     cover = np.zeros(period, bool)
     cover[difference_cover(period)] = True
-    frame = keyed(docs).select("_row_key", "doc_id", "text", *carry)
+    frame, extra = keyed(docs, **more), list(more)
     blocks = blocks_for(docs)
     buckets = buckets or blocks
     narrow = frame.select("_row_key", "text")
@@ -143,7 +144,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry:
                 total.append(g - f)
                 gone.append(g - f - (b - a))
         return pa.table([texts.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
-                         pa.array(kept, pa.binary()).cast(pa.string()), *[texts.column(c) for c in carry]],
+                         pa.array(kept, pa.binary()).cast(pa.string()), *[texts.column(c) for c in extra]],
                         names=["doc_id", "n_words", "n_removed", "kept_text", *carry])
 
     by_block = frame.withColumn("_block", block_of("_row_key", blocks)).groupBy("_block")
@@ -151,7 +152,5 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int = 21, carry:
     hits = repeated(narrow.mapInArrow(anchors, CELL), blocks)
     packed = by_block.cogroup(hits.groupBy("block")).applyInArrow(full_windows, CELL)
     hits = repeated(packed, blocks)
-    kinds = "".join(f", `{c}` {frame.schema[c].dataType.simpleString()}" for c in carry)
-    doc_kind = frame.schema["doc_id"].dataType.simpleString()
     return by_block.cogroup(hits.groupBy("block")).applyInArrow(
-        remove, f"doc_id {doc_kind}, n_words long, n_removed long, kept_text string{kinds}")
+        remove, with_fields(results, frame, dict(zip(more, carry))))

@@ -12,12 +12,35 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the place all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """A new folder in the place all executors share: spark.checkpoint.dir. Where that is unset and all runs on this
+    machine, a local one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tabsonde-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+_made: list[str] = []
+
+
+def scratch() -> int:
+    """A mark for release(): how many folders have been made so far."""
+    return len(_made)
+
+
+def release(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Remove the folders made since the mark, but for those that `keep` reads. Nothing may need them any more."""
+    files = keep.inputFiles()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in _made[mark:]:
+        if not any(folder.split(":", 1)[-1].lstrip("/") in f for f in files):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    _made[mark:] = [f for f in _made[mark:] if any(f.split(":", 1)[-1].lstrip("/") in x for x in files)]
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
@@ -40,15 +63,33 @@ def blocks_for(df: DataFrame, block_mb: int = 12) -> int:
 KEY = "_row_key"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a unique long KEY per row: the column of that name if docs has it, else doc_id where that is unique
-    and never null, else numbers given to a stored copy of the rows. The name is reserved for this."""
-    if KEY in docs.columns:
-        return docs
+def keyed(docs: DataFrame, key: str | None = None, **more) -> DataFrame:
+    """KEY, doc_id and text of every row, and the columns given by name in `more`. Nothing else of docs remains, so
+    no column of it can clash. KEY is a unique long: the column `key` where the caller has made one, else doc_id
+    where that is unique and never null, else numbers given to a stored copy of the rows."""
+    wanted = docs.select("doc_id", "text", *([F.col(key).alias(KEY)] if key else []), *(c.alias(n) for n, c in more.items()))
+    if key:
+        return wanted
     again = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1)
     if isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType)) and not again.take(1):
-        return docs.withColumn(KEY, F.col("doc_id").cast("long"))
-    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+        return wanted.withColumn(KEY, F.col("doc_id").cast("long"))
+    return stored(wanted.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def carried(docs: DataFrame, carry: list[str] | None, results: list[str]) -> tuple[list[str], dict]:
+    """Columns to carry along other than doc_id and text, and what keyed() takes for them, under names of their own.
+    A column named like a result cannot come along."""
+    carry = [c for c in dict.fromkeys(carry or []) if c not in ("doc_id", "text")]
+    if clash := sorted(set(carry) & set(results)):
+        raise ValueError(f"columns named like results cannot be carried: {clash}")
+    return carry, {f"_c{i}": docs[f"`{c}`"] for i, c in enumerate(carry)}
+
+
+def with_fields(ddl: str, frame: DataFrame, names: dict[str, str]) -> T.StructType:
+    """The columns of `ddl`, after doc_id and before the columns `names` of frame, under their new names."""
+    fields = T._parse_datatype_string(ddl).fields
+    return T.StructType([T.StructField("doc_id", frame.schema["doc_id"].dataType), *fields,
+                         *(T.StructField(new, frame.schema[old].dataType) for old, new in names.items())])
 
 
 def block_of(key: str, n: int):

@@ -41,6 +41,7 @@ _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z|</?\Z", re.DOTALL)
 _attribute = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))", re.DOTALL)
+_digit = re.compile(r"\d")
 _word = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _raw_end = {name: re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.IGNORECASE) for name in RAW}
 STATS = ["depth", "subtree_chars", "own_chars", "link_share", "subtree_nodes", "chars_per_node", "own_words", "stops",
@@ -168,7 +169,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 own[e + node] += n
                 words[e + node] += text.count(" ") + 1
                 stops[e + node] += text.count(".") + text.count(",") + text.count("?") + text.count("!")
-                digits[e + node] += sum(map(str.isdigit, text[:200]))
+                digits[e + node] += len(_digit.findall(text))
     links = np.array([x for p in pages for x in p.links], float)
     inputs = np.array([x for p in pages for x in p.inputs], float)
     depth = np.zeros(total)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsonde.llm import arrays
-from tabsonde.llm.exchange import stored
+from tabsonde.llm.exchange import carried, stored, with_fields
 from tabsonde.plans.ordering import attach
 
 CACHED_WORDS = 300_000
@@ -81,7 +81,7 @@ def _measure(data: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> dict[str,
     filled = np.concatenate([[0], np.cumsum(inside)])
     some = filled[end] > filled[begin]
     begin, end = begin[some], end[some]
-    line = arrays.mix(arrays.between(arrays.running(arrays.BYTE_VALUE[0][data], arrays.BASE[0]), begin, end,
+    line = arrays.mix(arrays.between(arrays.running(data, arrays.BASE[0]), begin, end,
                                      arrays.BASE[0]) + (end - begin).astype(np.uint64))
     line_row = np.searchsorted(offsets, begin, "right") - 1
     order = np.lexsort((line, line_row))
@@ -111,10 +111,10 @@ def _measure(data: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> dict[str,
 
 
 def measures(docs: DataFrame, tokenizer: str, carry: list[str] | None = None) -> DataFrame:
-    """Base counts and fertility of every text, one pass, no shuffle."""
-    carry = [c for c in carry or [] if c not in ("doc_id", "text")]
+    """Base counts and fertility of every text, one pass, no shuffle. Columns named like results cannot be carried."""
     names = [f.split()[0] for f in MEASURES.split(", ")]
-    kept = ["doc_id", *carry]
+    carry, more = carried(docs, carry, names)
+    frame, extra = docs.select("doc_id", "text", *(c.alias(n) for n, c in more.items())), list(more)
 
     def run(batches):
         pieces = Pieces.of(tokenizer)
@@ -122,11 +122,10 @@ def measures(docs: DataFrame, tokenizer: str, carry: list[str] | None = None) ->
             for first, last, data, offsets in arrays.chunks(batch.column("text")):
                 got = _measure(data, offsets, pieces)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(first, last - first) for c in kept), *(pa.array(got[c]) for c in names)],
-                    names=[*kept, *names])
+                    [batch.column("doc_id").slice(first, last - first), *(pa.array(got[c]) for c in names),
+                     *(batch.column(c).slice(first, last - first) for c in extra)], names=["doc_id", *names, *carry])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"{kinds}, {MEASURES}")
+    return frame.mapInArrow(run, with_fields(MEASURES, frame, dict(zip(more, carry))))
 
 
 #: A band's half-width grows for short texts, whose means scatter more, by sqrt(1 + SHORT / tokens).
@@ -193,15 +192,15 @@ def quality(docs: DataFrame, tokenizer: str, language: str | None = "lang", most
     the band of their language; languages with under 100 texts use the band of their script, and scripts with under 100 texts have
     none. Both limits count texts that pass the base rules and hold at every size of the corpus.
 
-    A null or empty text has no words: all counts 0, base_failed. Rows that repeat are judged each on its own.
+    A null or empty text has no words: all counts 0, base_failed. Rows that repeat are judged each on its own. Other
+    columns are not read; one named like a result cannot be carried (ValueError).
     """
-    own = [c for c in {language, *(carry or [])} if c and c not in ("doc_id", "text")]
-    own = [c for c in own if c in docs.columns]
-    found = stored(measures(docs, tokenizer, own), "measures")
-    group = F.col(language) if language in own else F.lit(None).cast("string")
+    group = F.col(language).cast("string") if language in docs.columns else F.lit(None).cast("string")
+    carry, more = carried(docs, carry, [*(f.split()[0] for f in MEASURES.split(", ")), "base_failed", "kept"])
+    rows = docs.select("doc_id", "text", group.alias("_language"), *(c.alias(n) for n, c in more.items()))
+    found = stored(measures(rows, tokenizer, ["_language", *more]), "measures")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    found = (found.withColumn("base_failed", failed).withColumn("_language", group.cast("string"))
-             .withColumn("_ratio", F.col("token_entropy") / F.log2(
+    found = (found.withColumn("base_failed", failed).withColumn("_ratio", F.col("token_entropy") / F.log2(
                  F.greatest(F.least("n_tokens", F.lit(ENTROPY_TOKENS)), F.lit(2)).cast("double"))))
     both = found
     for c, name in (("_language", "_own"), ("script", "_script")):
@@ -216,4 +215,4 @@ def quality(docs: DataFrame, tokenizer: str, language: str | None = "lang", most
     bytes_fit = (F.col("byte_share") <= most_bytes) | ~F.col("script").isin("latin", "greek", "cyrillic")
     names = [f.split()[0] for f in MEASURES.split(", ")]
     return judged.withColumn("kept", ~F.col("base_failed") & bytes_fit & inside).select(
-        "doc_id", *names, "base_failed", "kept", *(c for c in (carry or []) if c in own))
+        "doc_id", *names, "base_failed", "kept", *(F.col(n).alias(c) for n, c in zip(more, carry)))

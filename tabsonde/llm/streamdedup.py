@@ -53,10 +53,12 @@ def ingest(spark: SparkSession, source: str, state: str, files_per_batch: int =
     return changes.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("size").alias("size"))
 
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, per_copy: int = 1000) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, per_copy: int = 1000,
+                key: str | None = None) -> DataFrame:
     """Group equal texts; of each group the row with the smallest doc_id stays.
 
-    docs has doc_id (integer) and text. Returns one row per document: doc_id, keep_id, group_size, kept, digest.
+    docs has doc_id (integer), text and, if the caller has one, a unique long column named by `key`; other columns
+    are not read. Returns one row per document: doc_id, keep_id, group_size, kept, digest, and the key as _row_key.
     Texts are equal when identical after replacing runs of ASCII white space by one space; null counts as empty.
 
     A stream takes in digest, identifier and locator of every row. Rows that hit a digest already held are then
@@ -68,7 +70,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, pe
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    frame = keyed(docs).select("_row_key", "doc_id", "text")
+    frame = keyed(docs, key)
     text = normalised(F.col("text"))
     entries = frame.select(
         digest(text).alias("digest"),

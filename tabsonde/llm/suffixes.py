@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsonde.llm import arrays
-from tabsonde.llm.exchange import block_of, blocks_for, blocks_of, keyed
+from tabsonde.llm.exchange import block_of, blocks_for, blocks_of, carried, keyed, with_fields
 from tabsonde.llm.repeats import CELL, cells, known, positions, repeated, repeated_in, rows_of, table
 
 LEAD = 4  # bytes before an anchor that belong to its suffix
@@ -20,6 +20,20 @@ BOTH = CELL + ", run binary, before binary, sizes binary, nearest binary, farthe
 SPAN = "block int, key binary, at binary, count binary"
 
 
+#: Odd numbers for bytes; a gram is too short for the sequences that collide modulo 2**64, and windows are compared
+#: modulo a prime.
+_BYTE = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_GRAM_BASE = 0x9E3779B97F4A7C15
+
+
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the `gram` bytes at every place, from running sums modulo 2**64."""
+    power, back = arrays.powers(_GRAM_BASE, len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[:len(data)], out=sums[1:])
+    return arrays.mix((sums[gram:] - sums[:-gram]) * back[:len(data) - gram + 1])
+
+
 class Anchors:
     """Sampled positions of a chunk of texts. A window of `size` bytes samples, of its grams of `gram` bytes, the
     leftmost with the least hash, so equal windows sample at equal distances. An anchor serves the windows that
@@ -32,9 +46,8 @@ class Anchors:
         room = np.diff(offsets) - size + 1
         if n < size or room.max(initial=0) <= 0:
             return
-        self.sums = arrays.running(arrays.BYTE_VALUE[0][data], arrays.BASE[0])
         i = np.arange(n - gram + 1)
-        h = arrays.between(self.sums, i, i + gram, arrays.BASE[0])
+        h = _gram_hashes(data, gram)
         least = (h & ~np.uint64(0xFFFFFF)) | i.astype(np.uint64)  # equal hashes: the leftmost
         width, have = size - gram + 1, 1
         while 2 * have <= width:
@@ -271,7 +284,7 @@ def exchanged(frame: DataFrame, size: int, gram: int, blocks: int, hot: int = HO
         start, row = arrays.ranges(found.at[chosen] - farthest, count), np.repeat(found.row[chosen], count)
         if not len(start):
             return []
-        lanes = [arrays.between(arrays.running(arrays.BYTE_VALUE[lane][data], arrays.BASE[lane]), start, start + size,
+        lanes = [arrays.between(arrays.running(data, arrays.BASE[lane]), start, start + size,
                                 arrays.BASE[lane]) for lane in range(2)]
         place = start - offsets[row] + base
         packed, later = cells(own, row, place, lanes[0], lanes, buckets)
@@ -335,10 +348,12 @@ def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list
        their anchors are compared as in 4, spread by their hash, equal ones of a chunk once.
 
     Null and empty texts have no bytes. Texts shorter than a window stay whole. Rows that repeat a doc_id, or lack
-    one, are separate documents. Strings never cross documents and are judged on the input.
+    one, are separate documents. Strings never cross documents and are judged on the input. Other columns are not
+    read; one named like a result cannot be carried (ValueError).
     """
-    carry = [c for c in carry or [] if c not in ("doc_id", "text")]
-    frame = keyed(docs).select("_row_key", "doc_id", "text", *carry)
+    results = "n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
+    carry, more = carried(docs, carry, ["n_bytes", "n_removed", "n_spans", "kept", "spans"])
+    frame, extra = keyed(docs, **more), list(more)
     blocks = blocks_for(docs)
 
     def judge(group: pa.Table) -> pa.Table:
@@ -385,16 +400,14 @@ def repeated_bytes(docs: DataFrame, size: int = 200, gram: int = 32, carry: list
                                                                    pa.py_buffer(np.ascontiguousarray(data[~drop]))])
             out.append(pa.table([texts.column("doc_id").slice(first, rows), pa.array(np.diff(offsets)),
                                  pa.array(np.diff(offsets) - np.diff(left)), pa.array(np.diff(of)), kept.cast(pa.binary()),
-                                 spans_of, *[texts.column(c).slice(first, rows) for c in carry]],
+                                 spans_of, *[texts.column(c).slice(first, rows) for c in extra]],
                                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", *carry]))
         return pa.concat_tables(out)
 
     by_block = frame.withColumn("_block", block_of("_row_key", blocks)).groupBy("_block")
     spans = exchanged(frame, size, gram, blocks, hot).groupBy("bucket").applyInArrow(judge, SPAN)
-    kinds = "".join(f", `{c}` {frame.schema[c].dataType.simpleString()}" for c in carry)
     return by_block.cogroup(spans.groupBy("block")).applyInArrow(
-        remove, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, "
-                f"kept binary, spans array<struct<start:long,end:long>>{kinds}")
+        remove, with_fields(results, frame, dict(zip(more, carry))))
 
 
 def merged_spans(runs: list[dict], size: int, same: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import collections
 import random
+import zlib
 
 import numpy as np
 
-from tabsonde.llm.language import SlicedBloom, learn, ngrams, predict
+import __spark_entry__ as entry
+from tabsonde.llm.language import LEAST, SlicedBloom, learn, ngrams, predict
 
 
 def test_ngrams():
@@ -58,7 +61,6 @@ def test_planted_languages(spark):
 
 
 def test_registered_query(spark):
-    import __spark_entry__ as entry
     sf = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = entry.queries()["op10_language_id"](spark, sf).collect()
@@ -66,3 +68,29 @@ def test_registered_query(spark):
     held = [r for r in got if r["held_out"]]
     right = sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held)
     assert len(held) > 200 and right / len(held) > 0.97
+
+
+def test_verdicts_against_plain_sets(spark):
+    """Shares of n-grams by Python sets; false positives of the filters bound the difference."""
+    sf = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+
+    def grams(text):
+        folded = " " + "".join(c.lower() if c.isascii() and c.isalpha() else c if not c.isascii() else " " for c in text) + " "
+        raw = folded.encode()
+        return [raw[i:i + n] for n in (3, 4) for i in range(len(raw) - n + 1) if b" " not in raw[i + 1:i + n - 1]]
+
+    learnt = collections.defaultdict(collections.Counter)
+    for i, text, lang in docs:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learnt[lang].update(grams(text))
+    sets = {k: {g for g, n in c.items() if n >= LEAST * c.total()} for k, c in learnt.items()}
+    got = {r["doc_id"]: r for r in entry.queries()["op10_language_id"](spark, sf).collect()}
+    for i, text, _ in docs:
+        found = grams(text or "")
+        if not any(map(str.isalpha, text or "")):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        share = {k: sum(g in s for g in found) / len(found) for k, s in sets.items()}
+        best = max(share.values())
+        assert abs(got[i]["score"] - best) < 0.02 + 1 / len(found) and share[got[i]["lang_pred"]] > best - 0.02
