@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabsonde.functions import ranks
 from tabsonde.functions.special import normal_upper_col, t_two_sided_col
 from tabsonde.plans.aggregates import pair_sums, pearson
-from tabsonde.plans.ordering import add_bucket, attach, average_ranks, ranked_frequency, running_sums
+from tabsonde.plans.ordering import BUCKET, add_bucket, attach, bucket_count, crossing, null_safe, ranked_frequency
 from tabsonde.schema import as_double, numeric_columns, require_numeric, spread
 
 PAIRS_PER_AGGREGATE = 30
@@ -123,70 +129,186 @@ def _weighted_r(weighted: DataFrame, x: str, y: str, by: Sequence[str]) -> DataF
     return g.where(n > 0).select(*by, "n", pearson(cxy, cxx, cyy).alias("r"))
 
 
+#: Distinct pairs of values that one task takes in whole; groups with more are ranked by ranges.
+TOGETHER = 1 << 19
+
+
+def _counted(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    return pairs.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _by_size(pairs: DataFrame, by: Sequence[str], whole, spread_out) -> DataFrame:
+    """`whole` for groups with at most TOGETHER distinct pairs, `spread_out` for the others; both take counted pairs."""
+    counted = _counted(pairs, by)
+    sizes = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else counted.agg(F.count(F.lit(1)).alias("_n"))
+    least, most = sizes.agg(F.min("_n"), F.max("_n")).first()  # two numbers
+    if (most or 0) <= TOGETHER:
+        return whole(counted, by)
+    if least > TOGETHER:
+        return spread_out(counted, pairs, by)
+    return whole(_of_sizes(counted, sizes.where(F.col("_n") <= TOGETHER), by), by).unionByName(
+        spread_out(_of_sizes(counted, sizes.where(F.col("_n") > TOGETHER), by),
+                   _of_sizes(pairs, sizes.where(F.col("_n") > TOGETHER), by), by))
+
+
+def _of_sizes(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    names = [f"_g{i}" for i in range(len(by))]
+    keys = groups.select(*[F.col(b).alias(n) for b, n in zip(by, names)])
+    return rows.join(keys, reduce(and_, [F.col(b).eqNullSafe(F.col(n)) for b, n in zip(by, names)]), "left_semi")
+
+
+def _in_one_task(counted: DataFrame, by: Sequence[str], run, fields: str) -> DataFrame:
+    """`run(x, y, n) -> values` for the counted pairs of each group, all in one task."""
+    schema = T.StructType([*(counted.schema[b] for b in by), *T._parse_datatype_string(fields).fields])
+    names = [f.name for f in schema]
+
+    def apply(table: pa.Table) -> pa.Table:
+        x, y, n = (table.column(c).to_numpy() for c in ("_x", "_y", "n"))
+        return pa.table([*(table.column(b).slice(0, 1) for b in by), *(pa.array([v]) for v in run(x, y, n))], names=names)
+
+    grouped = counted.groupBy(*by) if by else counted.withColumn("_one", F.lit(0)).groupBy("_one")
+    return grouped.applyInArrow(apply, schema)
+
+
 def _spearman(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Pearson of average ranks; equal pairs are counted first and ranked as one row."""
-    rows = pairs.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n"))
-    for v, other in (("_x", "_y"), ("_y", "_x")):
-        rows = average_ranks(rows, by, v, [other], "n", f"{v}_rank", f"{v}_total", sample_from=pairs)
-    half = (F.col("_x_total") + 1) / 2
-    shifted = rows.select(*by, "n", (F.col("_x_rank") - half).alias("u"), (F.col("_y_rank") - half).alias("v"))
-    return _weighted_r(shifted, "u", "v", by)
+    """Pearson of average ranks; equal pairs are counted first."""
+    return _by_size(pairs, by, _spearman_whole, _spearman_spread)
+
+
+def _spearman_whole(counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    def run(x, y, n):
+        u, v = (ranks.average_ranks(c, n) - (n.sum() + 1) / 2 for c in (x, y))
+        return int(n.sum()), float((n * u * v).sum()), float((n * u * u).sum()), float((n * v * v).sum())
+    got = _in_one_task(counted, by, run, "n bigint, cxy double, cxx double, cyy double")
+    return got.select(*by, "n", pearson(F.col("cxy"), F.col("cxx"), F.col("cyy")).alias("r"))
+
+
+def _spearman_spread(counted: DataFrame, pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each margin's frequency table is put in order, and its ranks go back to the pairs by value: pairs are joined,
+    never sorted."""
+    rows = counted
+    for v in ("_x", "_y"):
+        table = ranked_frequency(pairs, v, by)
+        half = (F.col("n_group") + 1) / 2
+        rank = table.select(*by, v, (F.col("upto") - (F.col("n") - 1) / 2 - half).alias(f"{v}_rank"))
+        sizes = counted.groupBy(*by, v).agg(F.count(F.lit(1)).alias("n"))
+        rows = attach(rows, rank, [*by, v], sizes)
+    return _weighted_r(rows.select(*by, "n", F.col("_x_rank").alias("u"), F.col("_y_rank").alias("v")), "u", "v", by)
 
 
 # ---- Kendall ---------------------------------------------------------------------------
 
-def _kendall_s(counted: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, s): concordant minus discordant pairs of weighted points, pairs tied on either side left out.
+TIES = "s double, n_x bigint, t_x double, c_x double, d_x double, t_y double, c_y double, d_y double"
 
-    Two values of y differ first in one bit of their dense ranks. For every bit the points are put in blocks that
-    agree in all higher bits; in a block, a point with the bit set is concordant with the points without it at
-    smaller x, and discordant the other way round. Sums before each x are running totals over ranges, so a block
-    with all rows is no single task, and each level halves the blocks whatever the values are.
-    """
-    values = counted.select(*by, "_y").distinct()
-    ranks = ranked_frequency(values, "_y", by).select(*by, "_y", (F.col("upto") - 1).cast("bigint").alias("_rank"))
-    sizes = counted.groupBy(*by, "_y").agg(F.count(F.lit(1)).alias("n"))
-    ranked = attach(counted, ranks, [*by, "_y"], sizes)
-    bits = int(ranks.agg(F.max("_rank")).first()[0] or 0).bit_length()
-    if not bits:
-        none = F.lit(0.0).alias("s")
-        return counted.groupBy(*by).agg(none) if by else counted.agg(F.count(F.lit(1)).alias("_n")).select(none)
-    each = ranked.select(*by, "_x", "n", "_rank", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("_bit"))
-    block = F.call_function("shiftright", F.col("_rank"), F.col("_bit") + 1)
-    high = F.call_function("shiftright", F.col("_rank"), F.col("_bit")) % 2
-    each = each.withColumn("_block", block).withColumn("_high", high)
-    keys = [*by, "_bit", "_block"]
-    # Within a block only bits of its own points count: equal x are ties, so one row per x.
-    sides = each.groupBy(*keys, "_x").agg(F.sum(F.when(F.col("_high") == 0, F.col("n")).otherwise(0)).cast("double").alias("_l"),
-                                          F.sum(F.when(F.col("_high") == 1, F.col("n")).otherwise(0)).cast("double").alias("_h"))
-    both = running_sums(add_bucket(sides, keys, ["_x"]), keys, ["_x"], {"_ls": F.col("_l"), "_hs": F.col("_h")})
-    s = F.sum(F.col("_h") * (F.col("_ls") - F.col("_l")) - F.col("_l") * (F.col("_hs") - F.col("_h"))).alias("s")
-    return both.groupBy(*by).agg(s) if by else both.agg(s)
 
+def _kendall_whole(counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, s, n_x, ties of both margins) of groups that one task takes in."""
+    def run(x, y, n):
+        return ranks.kendall_sum(x, y, n), int(n.sum()), *ranks.tie_sums(x, n), *ranks.tie_sums(y, n)
+    return _in_one_task(counted, by, run, TIES)
 
-def _kendall(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, n, s, ties...) and tau-b with its normal approximation."""
-    counted = pairs.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n"))
-    s = _kendall_s(counted, by)
+
+def _kendall_spread(counted: DataFrame, pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same for groups of any size."""
     n = F.col("n").cast("double")
 
     def margin(v: str) -> DataFrame:
         g = counted.groupBy(*by, v).agg(F.sum("n").alias("n"))
         aggs = [F.sum(n * (n - 1) / 2).alias(f"t{v}"), F.sum(n * (n - 1) * (n - 2)).alias(f"c{v}"),
-                F.sum(n * (n - 1) * (2 * n + 5)).alias(f"d{v}"), F.sum("n").alias(f"n{v}")]
+                F.sum(n * (n - 1) * (2 * n + 5)).alias(f"d{v}"), *([F.sum("n").alias("n_x")] if v == "_x" else [])]
         return g.groupBy(*by).agg(*aggs) if by else g.agg(*aggs)
 
-    mx, my = margin("_x"), margin("_y")
-    joined = (mx.join(my, list(by)).join(s, list(by)) if by
-              else mx.crossJoin(my).crossJoin(s))  # one row each
+    mx, my, s = margin("_x"), margin("_y"), _kendall_s(counted, by)
+    if not by:
+        return mx.crossJoin(my).crossJoin(s)  # one row each
+    for other in (my, s):
+        names = [f"_k{i}" for i in range(len(by))]
+        right = other.select(*[F.col(b).alias(k) for b, k in zip(by, names)], *[c for c in other.columns if c not in by])
+        mx = mx.join(right, reduce(and_, [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, names)])).drop(*names)
+    return mx
+
+
+def _kendall_s(counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, s): concordant minus discordant pairs of weighted points, pairs tied on either side left out.
+
+    Dense ranks of y have at most seven digits of base 32 below 2**35 values, so a point makes at most seven rows, one
+    for each digit. Rows of a digit that agree in all higher digits form a block; in the order (digit, block, x) they
+    are cut into ranges, and each range runs through its rows with a vector of 32 counts (see functions.ranks). A
+    block that began in an earlier range finds its counts so far in a summary of the ranges' borders.
+    """
+    values = counted.select(*by, "_y").distinct()
+    table = ranked_frequency(values, "_y", by).select(*by, "_y", (F.col("upto") - 1).cast("bigint").alias("_rank"))
+    sizes = counted.groupBy(*by, "_y").agg(F.count(F.lit(1)).alias("n"))
+    ranked = attach(counted, table, [*by, "_y"], sizes)
+    last = ranks.levels(table.agg(F.max("_rank")).first()[0] or 0) - 1
+    shift = lambda places: F.call_function("shiftright", F.col("_rank"), places)
+    each = (ranked.select(*by, "_x", "n", "_rank", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_level"))
+            .select(*by, "_level", shift((F.col("_level") + 1) * ranks.BITS).alias("_block"), "_x",
+                    (shift(F.col("_level") * ranks.BITS) % ranks.BASE).cast("int").alias("_digit"), "n"))
+    keys = [*by, "_level", "_block"]
+    placed = add_bucket(each, keys, ["_x", "_digit"])
+    # what each block holds ahead of a range, by digit; blocks that lie in one range need nothing
+    per_digit = placed.groupBy(*keys, BUCKET, "_digit").agg(F.sum("n").alias("n"))
+    cells = per_digit.groupBy(*keys, BUCKET).agg(F.map_from_entries(F.collect_list(F.struct("_digit", "n"))).alias("_m"))
+    run = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = crossing(cells, keys).select(*keys, BUCKET, F.array(*[
+        F.coalesce(F.sum(F.coalesce(F.col("_m")[g], F.lit(0))).over(run), F.lit(0)).cast("double")
+        for g in range(ranks.BASE)]).alias("_before"))
+    # Equal x of a block may be cut by a border; what is tied ahead of the range is not earlier.
+    border = placed.groupBy(*keys, BUCKET).agg(F.min("_x").alias("_first"), F.max("_x").alias("_x"))
+    starts = null_safe(border.select(*keys, BUCKET, "_first"), ahead, [*keys, BUCKET], "inner")
+    tied = (placed.join(F.broadcast(starts.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)],
+                                                  F.col(BUCKET).alias("_tb"), F.col("_first").alias("_tx"))),
+                        reduce(and_, [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)])
+                        & (F.col("_x") == F.col("_tx")) & (F.col(BUCKET) < F.col("_tb")))
+            .groupBy(*keys, F.col("_tb").alias(BUCKET), "_digit").agg(F.sum("n").alias("n"))
+            .groupBy(*keys, BUCKET).agg(F.map_from_entries(F.collect_list(F.struct("_digit", "n"))).alias("_tm")))
+    ties = tied.select(*keys, BUCKET, F.array(*[F.coalesce(F.col("_tm")[g], F.lit(0)).cast("double")
+                                                for g in range(ranks.BASE)]).alias("_tied"))
+    rows = null_safe(null_safe(placed, ahead, [*keys, BUCKET]), ties, [*keys, BUCKET])
+    parts = bucket_count(placed)
+    rows = rows.repartition(parts, BUCKET).sortWithinPartitions(BUCKET, *keys, "_x")
+    schema = T.StructType([*(counted.schema[b] for b in by), T.StructField("s", T.DoubleType())])
+
+    def sums(batches):
+        state = None  # last key and x, counts ahead of the next row, those of them tied with the last x
+        for batch in batches:
+            columns = [pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy().astype(np.int64)
+                       for c in [BUCKET, *keys]]
+            x, digit, n = (batch.column(c).to_numpy() for c in ("_x", "_digit", "n"))
+            start = ranks.runs(*columns)
+            out = []
+            for a, b in zip(start, np.append(start[1:], batch.num_rows)):
+                key = tuple(batch.column(c)[a].as_py() for c in [BUCKET, *keys])
+                if state is not None and state[0] == key:
+                    _, at, before, held = state
+                    held = held if at == x[a] else None
+                else:
+                    before, held = (np.array(v) if (v := batch.column(c)[a].as_py()) is not None else None
+                                    for c in ("_before", "_tied"))
+                block = np.zeros(b - a, np.int64)
+                s, before, held = ranks.signs(block, x[a:b], digit[a:b], n[a:b], before, held)
+                state = (key, x[b - 1], before, held)
+                out.append((a, s))
+            first = pa.array([a for a, _ in out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(first) for c in by), pa.array([s for _, s in out])],
+                                             names=[*by, "s"])
+
+    whole = rows.mapInArrow(sums, schema)
+    total = F.sum("s").alias("s")
+    return whole.groupBy(*by).agg(total) if by else whole.agg(total)
+
+
+def _kendall(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, n, r, z): tau-b and its normal approximation with tie correction."""
+    found = _by_size(pairs, by, _kendall_whole, _kendall_spread)
     m = F.col("n_x").cast("double")
     pairs_all = m * (m - 1) / 2
     tau = F.try_divide(F.col("s"), F.sqrt(pairs_all - F.col("t_x")) * F.sqrt(pairs_all - F.col("t_y")))
     var = ((m * (m - 1) * (2 * m + 5) - F.col("d_x") - F.col("d_y")) / 18
            + F.coalesce(F.try_divide(F.col("c_x") * F.col("c_y"), 9 * m * (m - 1) * (m - 2)), F.lit(0.0))
            + F.coalesce(F.try_divide(F.lit(2.0) * F.col("t_x") * F.col("t_y"), m * (m - 1)), F.lit(0.0)))
-    return joined.select(*by, F.col("n_x").alias("n"), tau.alias("r"),
-                         F.try_divide(F.col("s"), F.sqrt(var)).alias("z"))
+    return found.select(*by, F.col("n_x").alias("n"), tau.alias("r"), F.try_divide(F.col("s"), F.sqrt(var)).alias("z"))
 
 
 def correlation_test(df: DataFrame, x: str, y: str, method: str = "pearson",

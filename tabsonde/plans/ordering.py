@@ -86,7 +86,7 @@ def count_not_above(df: DataFrame, column: str, points: Sequence[float], name: s
     return _search(df, F.col(column), array, len(points), name)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on null-safe equality of `keys`, keeping the left copies."""
     renamed = right.select(*[F.col(k).alias(f"_j_{k}") for k in keys],
                            *[c for c in right.columns if c not in keys])
@@ -97,7 +97,7 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(F.broadcast(renamed), cond, how).drop(*[f"_j_{k}" for k in keys])
 
 
-def _crossing(summary: DataFrame, by: Sequence[str]) -> DataFrame:
+def crossing(summary: DataFrame, by: Sequence[str]) -> DataFrame:
     """Keep only keys that lie in several ranges.
 
     A range is contiguous in (by, order), so it holds at most two keys that go on in
@@ -126,12 +126,12 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str],
     names, totals = list(sums), totals or {}
     summary = df.groupBy(*by, BUCKET).agg(*[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()])
     before = _by_window(by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = _crossing(summary, by).select(
+    offsets = crossing(summary, by).select(
         *by, BUCKET, *[F.sum(f"_s_{n}").over(before).alias(f"_o_{n}") for n in names],
         *[F.sum(f"_s_{n}").over(_by_window(by)).alias(f"_t_{n}") for n in totals])
     rows = df.select("*", *[F.sum(e).over(w).alias(f"_i_{n}") for n, e in sums.items()],
                      *[F.sum(sums[n]).over(whole).alias(f"_w_{n}") for n in totals])
-    out = _null_safe(rows, offsets, [*by, BUCKET])
+    out = null_safe(rows, offsets, [*by, BUCKET])
     zero = F.lit(0)
     return out.select(
         *df.columns,
@@ -154,10 +154,10 @@ def carry(df: DataFrame, by: Sequence[str], order: Sequence[str],
     ends = [end(e, F.when(e.isNotNull(), key)).alias(f"_s_{n}") for n, e in values.items()]
     beyond = (_by_window(by).orderBy(BUCKET) if forward else _by_window(by).orderBy(F.desc(BUCKET))).rowsBetween(
         Window.unboundedPreceding, -1)
-    summary = _crossing(df.groupBy(*by, BUCKET).agg(*ends), by).select(
+    summary = crossing(df.groupBy(*by, BUCKET).agg(*ends), by).select(
         *by, BUCKET, *[F.last(f"_s_{n}", ignorenulls=True).over(beyond).alias(f"_o_{n}") for n in names])
     rows = df.select("*", *[e.alias(f"_i_{n}") for n, e in near.items()])
-    out = _null_safe(rows, summary, [*by, BUCKET])
+    out = null_safe(rows, summary, [*by, BUCKET])
     return out.select(*df.columns, *[F.coalesce(f"_i_{n}", f"_o_{n}").alias(n) for n in names])
 
 
@@ -195,7 +195,7 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, tiebreak: Sequen
     before = _by_window(by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     placed = (summary.withColumn("o", F.coalesce(F.sum("s").over(before), F.lit(0)))
               .withColumn("t", F.sum("s").over(_by_window(by))))
-    offsets = _crossing(placed, by).select(*by, BUCKET, F.col("o").alias("_o"), F.col("t").alias("_t"))
+    offsets = crossing(placed, by).select(*by, BUCKET, F.col("o").alias("_o"), F.col("t").alias("_t"))
     edges = F.array_distinct(F.array(
         F.struct(F.col("a.v").alias("v"), F.col("o").alias("lo"), (F.col("o") + F.col("a.w")).alias("hi")),
         F.struct(F.col("b.v").alias("v"), (F.col("o") + F.col("s") - F.col("b.w")).alias("lo"),
@@ -209,7 +209,7 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, tiebreak: Sequen
     ties = Window.partitionBy(*by, BUCKET, value)
     rows = df.select("*", F.sum(w).over(run).alias("_i"), F.sum(w).over(whole).alias("_w"))
     rows = rows.select("*", F.min(F.col("_i") - w).over(ties).alias("_lo"), F.max("_i").over(ties).alias("_hi"))
-    out = _null_safe(_null_safe(rows, offsets, [*by, BUCKET]), borders, [*by, value])
+    out = null_safe(null_safe(rows, offsets, [*by, BUCKET]), borders, [*by, value])
     shift = F.coalesce("_o", F.lit(0))
     lo, hi = F.coalesce("_glo", F.col("_lo") + shift), F.coalesce("_ghi", F.col("_hi") + shift)
     keep = [c for c in df.columns if c != BUCKET]

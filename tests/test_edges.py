@@ -62,7 +62,7 @@ def test_fills(odd):
 
 def test_mode_takes_the_smallest_on_ties(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "v string")
-    assert missing.column_mode(df, "v").first()[0] == "a"
+    assert missing.column_modes(df, ["v"]).first()[0] == "a"
 
 
 def test_interpolation(spark):
