@@ -1,23 +1,29 @@
 """Time series: aggregation, decomposition, stationarity, periods, trend and forecast.
 
 Every analysis starts from `aggregate`, which reduces a table to one row per series and time
-step. Raw rows are combined in a grouped aggregate; what is windowed afterwards has at most one
-row per step of the calendar (a day by default, 366 a year), so a series stays small however many
-rows the table has. Tests and forecasts need only sums of lagged products, which are joined and
-added up by Spark; what reaches NumPy is a few numbers per lag of each series.
+step. With calendar steps of a day or more a series stays small however many rows the table has; with
+seconds or raw time stamps it grows with the table. What fits in one task is windowed there, and longer
+series are cut into stretches that know their neighbours (plans.neighbours). Tests and forecasts need sums
+of lagged products, which are joined and added up by Spark, and the periodogram, which is a Fourier
+transform in one task or spread over all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tabsonde.functions import lagged
+from tabsonde.functions import fourier, lagged
 from tabsonde.operators.correlation import r_p_value
 from tabsonde.plans.aggregates import pair_sums, pearson
+from tabsonde.plans.neighbours import STRETCH, fits, framed, known_rows, numbered, short
 from tabsonde.schema import as_double, require_columns, require_numeric
 
 GRAINS = ("second", "minute", "hour", "day", "week", "month", "quarter", "year")
@@ -32,8 +38,9 @@ def aggregate(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), grain:
         raise ValueError(f"grain is None or one of {GRAINS}")
     v = as_double(value)
     step = F.date_trunc(grain, F.col(ts)).cast(df.schema[ts].dataType) if grain else F.col(ts)
-    return (df.where(F.col(ts).isNotNull() & v.isNotNull()).groupBy(*by, step.alias("ts"))
-            .agg(F.avg(v).alias("value")))
+    out = (df.where(F.col(ts).isNotNull() & v.isNotNull()).groupBy(*by, step.alias("ts"))
+           .agg(F.avg(v).alias("value")))
+    return short(out) if grain in GRAINS[3:] else out
 
 
 def line(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), grain: str = "day") -> DataFrame:
@@ -41,13 +48,9 @@ def line(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), grain: str
     return aggregate(df, ts, value, by, grain).orderBy(*by, "ts")
 
 
-def _series(by: Sequence[str]):
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-
-
 def positions(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Number the steps of each series from 0."""
-    return series.withColumn("pos", (F.row_number().over(_series(by).orderBy("ts")) - 1).cast("bigint"))
+    return numbered(series, by, "ts")
 
 
 def _run(df: DataFrame, by: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
@@ -56,8 +59,8 @@ def _run(df: DataFrame, by: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
 
 def usual_period(series: DataFrame, by: Sequence[str] = ()) -> int:
     """7 for daily steps, 12 for monthly ones, else 4, by the commonest step."""
-    step = F.datediff("ts", F.lag("ts").over(_series(by).orderBy("ts")))
-    days = series.select(step.alias("d")).agg(F.mode("d", True)).first()[0]
+    x = framed(positions(series, by), by, 1, lambda w: {"d": F.datediff("ts", F.lag("ts").over(w))})
+    days = x.agg(F.mode("d", True)).first()[0]
     return 7 if days == 1 else 12 if days is not None and 28 <= days <= 31 else 4
 
 
@@ -73,13 +76,15 @@ def decompose(series: DataFrame, period: int | None = 4, model: str = "additive"
     add = model == "additive"
     period = period or usual_period(series, by)
     k = period // 2
-    w = _series(by).orderBy("ts")
-    full = w.rowsBetween(-k, k)
-    total = F.sum("value").over(full)
-    if period % 2 == 0:
-        total = total - (F.lag("value", k).over(w) + F.lead("value", k).over(w)) / 2
-    trend = F.when(F.count("value").over(full) == 2 * k + 1, total / period)
-    x = positions(series, by).withColumn("trend", trend).withColumn("phase", F.pmod("pos", F.lit(period)))
+
+    def trend(w) -> dict[str, Column]:
+        full = w.rowsBetween(-k, k)
+        total = F.sum("value").over(full)
+        if period % 2 == 0:
+            total = total - (F.lag("value", k).over(w) + F.lead("value", k).over(w)) / 2
+        return {"trend": F.when(F.count("value").over(full) == 2 * k + 1, total / period)}
+
+    x = framed(positions(series, by), by, k, trend).withColumn("phase", F.pmod("pos", F.lit(period)))
     x = x.withColumn("detrended", F.col("value") - F.col("trend") if add
                      else F.try_divide("value", "trend"))
     # One row per phase; the phases of a series are averaged without weights.
@@ -106,10 +111,17 @@ def seasonality_strength(series: DataFrame, period: int = 4, by: Sequence[str] =
         F.coalesce(F.try_divide(F.var_samp("seasonal"), F.var_samp("value")), F.lit(0.0)).alias("strength")])
 
 
+def _changes(series: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Steps with their position and the relative change to the step before."""
+    def change(w) -> dict[str, Column]:
+        before = F.lag("value").over(w)
+        return {"change": F.try_divide(F.col("value") - before, before)}
+    return framed(positions(series, by), by, 1, change)
+
+
 def percent_change(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, ts, value, change): relative change to the step before."""
-    before = F.lag("value").over(_series(by).orderBy("ts"))
-    return series.withColumn("change", F.try_divide(F.col("value") - before, before)).select(*by, "ts", "value", "change")
+    return _changes(series, by).select(*by, "ts", "value", "change")
 
 
 def volatility(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -118,9 +130,8 @@ def volatility(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def _centred(series: DataFrame, by: Sequence[str]) -> DataFrame:
     """Steps numbered from 0, with the series' length, mean and the value less the mean."""
-    w = _series(by)
-    return (positions(series, by).withColumn("n", F.count("value").over(w)).withColumn("mean", F.avg("value").over(w))
-            .withColumn("e", F.col("value") - F.col("mean")))
+    x = numbered(series, by, "ts", {"v": (F.col("value"), None, "_total")}, n="n")
+    return known_rows(x.withColumn("mean", F.col("_total") / F.col("n")).withColumn("e", F.col("value") - F.col("mean")).drop("_total"), x)
 
 
 def _products(x: DataFrame, by: Sequence[str], lags: int) -> DataFrame:
@@ -196,8 +207,8 @@ def unit_root_test(series: DataFrame, by: Sequence[str] = (), max_lag: int | Non
 def stationarity_test(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """KPSS test of level stationarity; p is kept inside [0.01, 0.10]."""
     x = _centred(series, by)
-    running = F.sum("e").over(_series(by).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    squares = _run(x.withColumn("_s", running), by, [F.sum(F.col("_s") ** 2).alias("squares")])
+    running = numbered(x.drop("pos"), by, "ts", {"e": (F.col("e"), "_s", None)})
+    squares = _run(running, by, [F.sum(F.col("_s") ** 2).alias("squares")])
     first = _moments(x, by, int(_longest(series, by) ** (2.0 / 9.0)))
 
     def lag(r: dict) -> list[tuple]:
@@ -215,21 +226,115 @@ def stationarity_test(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _solve(facts, by, run, "n bigint, statistic double, lags int, p_value double, is_stationary boolean")
 
 
+def _transformed(x: DataFrame, by: Sequence[str], forward: bool) -> DataFrame:
+    """Four-step Fourier transform of every column pair: rows (by, n, length, idx, re, im, re2, im2), idx below the
+    length, a power of two; missing idx count as zero. A task takes whole columns of the matrix, then whole rows."""
+    keys = [*by, "n", "length"]
+    fields = T.StructType([*(x.schema[k] for k in keys), *T._parse_datatype_string(
+        "idx bigint, re double, im double, re2 double, im2 double").fields])
+    own = [f.name for f in fields]
+    many = 1 << 20  # values of a group
+
+    def side(table: pa.Table, first: bool) -> pa.Table:
+        length = table.column("length")[0].as_py()
+        columns, rows = fourier.sides(length)
+        idx = table.column("idx").to_numpy()
+        # element j1 * rows + j2 lies in line j2 at j1; element k1 + columns * j2 in line k1 at j2
+        line, at = (idx % rows, idx // rows) if first else (idx % columns, idx // columns)
+        lines, which = np.unique(line, return_inverse=True)
+        out = []
+        for re, im in (("re", "im"), ("re2", "im2")):
+            m = np.zeros((len(lines), columns if first else rows), complex)
+            value = table.column(re).to_numpy() + 1j * table.column(im).to_numpy()
+            m[which, at] = value if forward or not first else np.conj(value)
+            m = fourier.first_side(m, lines, length) if first else np.fft.fft(m, axis=1)
+            out += [m.real.ravel(), m.imag.ravel()]
+        # first: k1 of line j2 goes to k1 + columns * j2; then k2 of line k1 to k1 + columns * k2
+        step = np.arange(columns if first else rows)
+        new = (step + columns * lines[:, None]) if first else (lines[:, None] + columns * step)
+        size = new.size
+        return pa.table([*(pa.repeat(table.column(k)[0], size) for k in keys), pa.array(new.ravel()),
+                         *(pa.array(v) for v in out)], schema=to_arrow_schema(fields))
+
+    def on_first(table: pa.Table) -> pa.Table:
+        return side(table, True)
+
+    def on_second(table: pa.Table) -> pa.Table:
+        return side(table, False)
+
+    for first in (True, False):
+        bits = F.log2(F.col("length").cast("double")).cast("int")
+        half = F.shiftright(bits, 1)
+        columns, rows = F.pow(F.lit(2.0), half).cast("bigint"), F.pow(F.lit(2.0), bits - half).cast("bigint")
+        lines, wide = (rows, columns) if first else (columns, rows)
+        group = F.floor(F.pmod("idx", lines) / F.greatest(F.lit(1), F.floor(F.lit(many) / wide)))
+        x = (x.select(*own).withColumn("_group", group).groupBy(*keys, "_group")
+             .applyInArrow(on_first if first else on_second, fields))
+    return x
+
+
+def _powers(x: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, n, frequency, power) of centred series of any length, from (by, n, pos, e). The chirp turns the transform
+    into a convolution of power-of-two length: two transforms, a product, one back; n log n work, four exchanges."""
+    schema = T.StructType([*(x.schema[k] for k in by), *T._parse_datatype_string(
+        "n bigint, length bigint, idx bigint, re double, im double, re2 double, im2 double").fields])
+    names = [f.name for f in schema]
+
+    def spread(batches):
+        for batch in batches:
+            n_of, pos, e = (batch.column(c).to_numpy() for c in ("n", "pos", "e"))
+            for n in np.unique(n_of).tolist():
+                at = np.flatnonzero(n_of == n)
+                length, j = fourier.power_of_two(n), pos[at]
+                w = fourier.chirp(j, n)
+                a, b = e[at] * w, np.conj(w)
+                rows = [(at, j, a, b)]
+                back = at[j > 0]  # the chirp of negative places wraps around
+                rows.append((back, length - pos[back], np.zeros(len(back)), np.conj(fourier.chirp(pos[back], n))))
+                for where, idx, one, two in rows:
+                    if len(where):
+                        yield pa.RecordBatch.from_arrays(
+                            [*(batch.column(k).take(pa.array(where)) for k in by), pa.array(np.full(len(where), n)),
+                             pa.array(np.full(len(where), length)), pa.array(idx),
+                             *(pa.array(np.ascontiguousarray(v, float)) for v in (np.real(one), np.imag(one), np.real(two), np.imag(two)))],
+                            names=names)
+
+    there = _transformed(x.select(*by, F.col("n").cast("bigint").alias("n"), "pos", "e").mapInArrow(spread, schema), by, True)
+    product = there.select(*by, "n", "length", "idx", (F.col("re") * F.col("re2") - F.col("im") * F.col("im2")).alias("re"),
+                           (F.col("re") * F.col("im2") + F.col("im") * F.col("re2")).alias("im"),
+                           F.lit(0.0).alias("re2"), F.lit(0.0).alias("im2"))
+    back = _transformed(product, by, False)
+    # the chirp's factor has size one, and a transform back is divided by its length
+    power = (F.col("re") ** 2 + F.col("im") ** 2) / F.col("length") ** 2
+    return back.where("idx BETWEEN 1 AND n div 2").select(*by, "n", F.col("idx").alias("frequency"), power.alias("power"))
+
+
 def periodogram(series: DataFrame, top: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """(by, rank, frequency, period, power): the strongest positive frequencies of the mean-free series.
 
-    Sums over (by, frequency): steps times half the steps are added up, spread over all tasks.
+    Series that fit in one task are transformed there; others by a Fourier transform over all tasks.
     """
-    x = _centred(series, by).where("n > 1")
-    x = x.select(*by, "pos", "n", "e", F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor(F.col("n") / 2))).alias("frequency"))
-    angle = 2 * F.pi() * F.pmod(F.col("frequency") * F.col("pos"), F.col("n")) / F.col("n")
-    power = (x.groupBy(*by, "frequency", "n").agg(F.sum(F.col("e") * F.cos(angle)).alias("c"), F.sum(F.col("e") * F.sin(angle)).alias("s"))
-             .select(*by, F.col("frequency").cast("int").alias("frequency"), (F.col("n") / F.col("frequency")).alias("period"),
-                     (F.col("c") ** 2 + F.col("s") ** 2).alias("power")))
-    best = [F.desc("power"), "frequency"]
+    fields = "frequency int, period double, power double"
+    schema = T.StructType([*(series.schema[b] for b in by), *T._parse_datatype_string(f"rank int, {fields}").fields])
+    if fits(series):
+        def best(table: pa.Table) -> pa.Table:
+            table = table.sort_by("ts")
+            values = table.column("value").to_numpy()
+            frequency, power = fourier.strongest(values, top) if len(values) > 1 else (np.zeros(0, int), np.zeros(0))
+            return pa.table([*(pa.repeat(table.column(b)[0], len(power)) for b in by), pa.array(np.arange(1, len(power) + 1)),
+                             pa.array(frequency), pa.array(len(values) / frequency), pa.array(power)],
+                            names=[f.name for f in schema]).cast(to_arrow_schema(schema))
+        grouped = series.groupBy(*by) if by else series.withColumn("_one", F.lit(0)).groupBy("_one")
+        return grouped.applyInArrow(best, schema)
+    power = _powers(_centred(series, by).where("n > 1"), by).select(
+        *by, F.col("frequency").cast("int").alias("frequency"), (F.col("n") / F.col("frequency")).alias("period"), "power")
+    order = [F.desc("power"), "frequency"]
+    part = Window.partitionBy(*by, F.floor(F.col("frequency") / STRETCH))
+    power = power.withColumn("_r", F.row_number().over(part.orderBy(*order))).where(F.col("_r") <= top).drop("_r")
     if not by:
-        power = power.orderBy(*best).limit(top)
-    return (power.withColumn("rank", F.row_number().over(_series(by).orderBy(*best))).where(F.col("rank") <= top)
+        power = power.orderBy(*order).limit(top)
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # `top` rows of each stretch
+    return (power.withColumn("rank", F.row_number().over(w.orderBy(*order))).where(F.col("rank") <= top)
             .select(*by, "rank", "frequency", "period", "power"))
 
 
@@ -241,14 +346,13 @@ def forecast(series: DataFrame, order: tuple[int, int, int] = (1, 1, 1), steps:
     likelihood: coefficients are close to, not equal to, those of a likelihood fit.
     """
     p, d, q = order
-    w = _series(by).orderBy("ts")
-    ends = _run(positions(series, by).withColumn("_n", F.count("value").over(_series(by))).where(F.col("pos") >= F.col("_n") - max(d, 1)),
+    ends = _run(numbered(series, by, "ts", n="_n").where(F.col("pos") >= F.col("_n") - max(d, 1)),
                 by, [F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"]).alias("ends"),
                      F.first("_n").alias("steps")])
     changed = series
     for _ in range(d):
-        changed = (changed.withColumn("value", F.col("value") - F.lag("value").over(w))
-                   .where(F.col("value").isNotNull()))
+        moved = framed(positions(changed, by), by, 1, lambda w: {"value": F.col("value") - F.lag("value").over(w)})
+        changed = known_rows(moved.where(F.col("value").isNotNull()).drop("pos"), changed)
     reach = lagged.long_order(_longest(series, by), p, q) + max(p, q)
     moments = _beside(_moments(_centred(changed, by), by, reach + 1), ends, by)
 
@@ -268,9 +372,7 @@ def forecast(series: DataFrame, order: tuple[int, int, int] = (1, 1, 1), steps:
 def trend(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Slope, fit, direction, strength and volatility of each series with at least ten steps;
     with 24 or more also unit root test and seasonal strength at period 12."""
-    x = positions(series, by)
-    x = x.withColumn("change", F.try_divide(
-        F.col("value") - F.lag("value").over(_series(by).orderBy("ts")), F.lag("value").over(_series(by).orderBy("ts"))))
+    x = _changes(series, by)
     s = pair_sums(F.col("pos").cast("double"), F.col("value"))
     g = _run(x, by, [*[e.alias(k) for k, e in s.items()], F.stddev_samp("change").alias("volatility")])
     g = g.where(F.col("n") >= MIN_TREND).withColumn("r", pearson(F.col("sxy"), F.col("sxx"), F.col("syy")))
