@@ -144,10 +144,14 @@ def arma(series: Lagged, mean: float, p: int, q: int) -> tuple[np.ndarray, float
     return b, rss / max(1, rows), rows, np.array(last)
 
 
-def forecast(series: Lagged, mean: float, last_values, p: int, d: int, q: int, steps: int) -> dict:
+def forecast(series: Lagged, mean: float, last_values, p: int, d: int, q: int, steps: int, fitted=None) -> dict:
     """Forecast of an ARIMA(p, d, q) whose d-th difference has these moments; `last_values` are the last d values
-    before differencing (newest last)."""
+    before differencing (newest last). `fitted` has (AR, MA, variance, log-likelihood) found otherwise."""
     b, var, rows, errors = arma(series, mean, p, q)
+    loglik = -0.5 * rows * (math.log(2 * math.pi * max(var, 1e-300)) + 1)
+    if fitted is not None:
+        ar, ma, var, loglik = fitted
+        b, rows = np.concatenate([[mean * (1 - np.sum(ar))], ar, ma]), series.n
     const, ar, ma = b[0], b[1:1 + p], b[1 + p:]
     hist = [mean + series._at(series.n - k) for k in range(p, 0, -1)]
     err, out = list(errors), []
@@ -164,6 +168,5 @@ def forecast(series: Lagged, mean: float, last_values, p: int, d: int, q: int, s
         f = np.cumsum(f) + np.diff(np.asarray(last_values, float), d - 1 - k)[-1]
         psi = np.cumsum(psi)
     k = p + q + 2
-    loglik = -0.5 * rows * (math.log(2 * math.pi * max(var, 1e-300)) + 1)
     return {"forecast": f, "se": np.sqrt(var * np.cumsum(psi ** 2)), "aic": 2 * k - 2 * loglik,
             "bic": k * math.log(rows) - 2 * loglik, "coefficients": b}

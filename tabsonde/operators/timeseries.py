@@ -11,6 +11,8 @@ transform in one task or spread over all.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tabsonde.functions import fourier, lagged
+from tabsonde.functions import fourier, lagged, whittle
 from tabsonde.operators.correlation import r_p_value
 from tabsonde.plans.aggregates import pair_sums, pearson
 from tabsonde.plans.neighbours import STRETCH, fits, framed, known_rows, numbered, short
@@ -338,28 +340,146 @@ def periodogram(series: DataFrame, top: int = 10, by: Sequence[str] = ()) -> Dat
             .select(*by, "rank", "frequency", "period", "power"))
 
 
+def _differenced(series: DataFrame, by: Sequence[str], d: int) -> DataFrame:
+    for _ in range(d):
+        moved = framed(positions(series, by), by, 1, lambda w: {"value": F.col("value") - F.lag("value").over(w)})
+        series = known_rows(moved.where(F.col("value").isNotNull()).drop("pos"), series)
+    return series
+
+
+def _angles(series: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, n, angle, power): the frequencies that count for a likelihood, of series of any length."""
+    power = _powers(_centred(series, by).where("n > 1"), by).where("frequency <= (n - 1) div 2")
+    return power.select(*by, "n", (2 * F.pi() * F.col("frequency") / F.col("n")).alias("angle"),
+                        (F.col("power") / F.col("n")).alias("power"))
+
+
+def likelihood_fit(series: DataFrame, order: tuple[int, int, int] = (1, 0, 0), by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, ar, ma, variance, loglik): ARMA coefficients of the d-th difference that maximise Whittle's likelihood.
+
+    Series that fit in one task are fitted there. Of longer ones the periodogram is made once; each scoring step is
+    one job that adds up sums over its frequencies for all of them, and only coefficients and sums, one row for each
+    such series, meet on the driver. Series with fewer than 3 * (p + q + 2) steps after differencing have no row.
+    """
+    p, d, q = order
+    least = 3 * (p + q + 2)
+    changed = _differenced(series, by, d)
+    fields = "n bigint, ar array<double>, ma array<double>, variance double, loglik double"
+    schema = T.StructType([*(series.schema[b] for b in by), *T._parse_datatype_string(fields).fields])
+    names = [f.name for f in schema]
+    if fits(series):
+        def fitted(table: pa.Table) -> pa.Table:
+            values = table.sort_by("ts").column("value").to_numpy()
+            rows = []
+            if len(values) >= least and np.ptp(values) > 0:
+                ar, ma, variance, loglik = whittle.fit(values, p, q)
+                rows = [[len(values)], [ar.tolist()], [ma.tolist()], [variance], [loglik]]
+            own = [table.column(b).slice(0, bool(rows)) for b in by]
+            return pa.table([*own, *(rows or [[]] * 5)], names=names).cast(to_arrow_schema(schema))
+        grouped = changed.groupBy(*by) if by else changed.withColumn("_one", F.lit(0)).groupBy("_one")
+        return grouped.applyInArrow(fitted, schema)
+    return _fit_spread(changed, p, q, least, by, schema)
+
+
+def _fit_spread(changed: DataFrame, p: int, q: int, least: int, by: Sequence[str], schema: T.StructType) -> DataFrame:
+    spark = changed.sparkSession
+    reach = lagged.long_order(_longest(changed, by), p, q) + max(p, q)
+    found = [r for r in _moments(_centred(changed, by), by, reach + 1).collect() if r["n"] >= least and r["spread"] > 0]
+    if not found:
+        return spark.createDataFrame([], schema)
+    runs = []
+    for r in found:
+        b = lagged.arma(lagged.Lagged(r["n"], r["products"], r["head"], r["tail"]), r["mean"], p, q)[0]
+        runs.append(whittle.Climb(r["n"], b[1:1 + p], b[1 + p:]))
+    table = spark.createDataFrame([(i, *(r[b] for b in by)) for i, r in enumerate(found)],
+                                  T.StructType([T.StructField("_run", T.IntegerType()), *(changed.schema[b] for b in by)]))
+    names = [f"_k{i}" for i in range(len(by))]
+    keys = F.broadcast(table.select("_run", *[F.col(b).alias(k) for b, k in zip(by, names)]))  # one row for each series
+    powers = _angles(changed, by)
+    on = reduce(and_, [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, names)], F.lit(True))
+    powers = powers.join(keys, on).select("_run", "angle", "power").persist()
+    try:
+        while any(not c.done for c in runs):
+            at = {i: c.parts() for i, c in enumerate(runs) if not c.done}
+
+            def part(batches, at=at):
+                total = {}
+                for batch in batches:
+                    run, angle, power = (c.to_numpy() for c in batch.columns)
+                    for i in np.unique(run).tolist():
+                        if i in at:
+                            own = run == i
+                            total[i] = total.get(i, 0) + whittle.sums(angle[own], power[own], *at[i])
+                rows = [(i, j, float(v)) for i, s in total.items() for j, v in enumerate(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.int32(), pa.int32(), pa.float64()))],
+                                                 names=["_run", "j", "v"])
+
+            got = {}
+            for r in powers.mapInArrow(part, "_run int, j int, v double").groupBy("_run", "j").agg(F.sum("v").alias("v")).collect():
+                got.setdefault(r["_run"], {})[r["j"]] = r["v"]
+            for i, s in got.items():
+                runs[i].take(np.array([s[j] for j in range(len(s))]))
+    finally:
+        powers.unpersist()
+    return spark.createDataFrame([(*(r[b] for b in by), r["n"], c.best[:p].tolist(), c.best[p:].tolist(), float(c.variance), float(c.value))
+                                  for r, c in zip(found, runs)], schema)
+
+
+def likelihood(series: DataFrame, ar: Sequence[float], ma: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, variance, loglik) of ARMA models with the coefficients given, by Whittle's likelihood."""
+    ar, ma = (np.array(c, float) for c in (ar, ma))
+    x = _angles(series, by) if not fits(series) else None
+    schema = T.StructType([*(series.schema[b] for b in by), *T._parse_datatype_string("n bigint, variance double, loglik double").fields])
+    if x is None:
+        def valued(table: pa.Table) -> pa.Table:
+            v = table.sort_by("ts").column("value").to_numpy()
+            n, m = len(v), whittle.frequencies(len(v))
+            rows = [[], [], []]
+            if m > 0:
+                power = np.abs(np.fft.rfft(v - v.mean())[1:m + 1]) ** 2 / n
+                value, variance = whittle.log_likelihood(n, whittle.sums(2 * np.pi * np.arange(1, m + 1) / n, power, ar, ma))
+                rows = [[n], [variance], [value]]
+            return pa.table([*(table.column(b).slice(0, len(rows[0])) for b in by), *rows],
+                            names=[f.name for f in schema]).cast(to_arrow_schema(schema))
+        grouped = series.groupBy(*by) if by else series.withColumn("_one", F.lit(0)).groupBy("_one")
+        return grouped.applyInArrow(valued, schema)
+    # |1 + sum of c e^(-i k angle)|^2 as squares of its real and imaginary parts
+    def size(sign: int, c: np.ndarray) -> Column:
+        real = sum((F.lit(sign * float(v)) * F.cos((k + 1) * F.col("angle")) for k, v in enumerate(c)), F.lit(1.0))
+        imaginary = sum((F.lit(sign * float(v)) * F.sin((k + 1) * F.col("angle")) for k, v in enumerate(c)), F.lit(0.0))
+        return real * real + imaginary * imaginary
+    x = x.withColumn("g", size(1, ma) / size(-1, ar))
+    got = x.groupBy(*by, "n").agg(F.avg(F.col("power") / F.col("g")).alias("variance"), F.sum(F.log("g")).alias("_g"))
+    value = -0.5 * F.col("n") * (F.log(2 * F.pi() * F.col("variance")) + 1) - F.col("_g")
+    return got.select(*by, "n", "variance", value.alias("loglik"))
+
+
 def forecast(series: DataFrame, order: tuple[int, int, int] = (1, 1, 1), steps: int = 30,
-             by: Sequence[str] = (), step: str = "1 day") -> DataFrame:
+             by: Sequence[str] = (), step: str = "1 day", method: str = "likelihood") -> DataFrame:
     """(by, step, ts, forecast, low, high, aic, bic) for each series.
 
-    Conditional least squares (Hannan-Rissanen) on sums of lagged products, not maximum
-    likelihood: coefficients are close to, not equal to, those of a likelihood fit.
+    Coefficients maximise Whittle's likelihood (likelihood_fit), or come from conditional least squares
+    (Hannan-Rissanen) on sums of lagged products with method="least_squares". Series with fewer than
+    d + 3 * (p + q + 2) steps, and constant ones under the likelihood, have no rows.
     """
     p, d, q = order
+    if method not in ("likelihood", "least_squares"):
+        raise ValueError("method is 'likelihood' or 'least_squares'")
     ends = _run(numbered(series, by, "ts", n="_n").where(F.col("pos") >= F.col("_n") - max(d, 1)),
                 by, [F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"]).alias("ends"),
                      F.first("_n").alias("steps")])
-    changed = series
-    for _ in range(d):
-        moved = framed(positions(changed, by), by, 1, lambda w: {"value": F.col("value") - F.lag("value").over(w)})
-        changed = known_rows(moved.where(F.col("value").isNotNull()).drop("pos"), changed)
+    changed = _differenced(series, by, d)
     reach = lagged.long_order(_longest(series, by), p, q) + max(p, q)
     moments = _beside(_moments(_centred(changed, by), by, reach + 1), ends, by)
+    likely = method == "likelihood"
+    if likely:
+        moments = _beside(moments, likelihood_fit(series, order, by).select(*by, "ar", "ma", "variance", "loglik"), by)
 
     def run(r: dict) -> list[tuple]:
         if r["steps"] < d + 3 * (p + q + 2):
             return []
-        got = lagged.forecast(lagged.Lagged(r["n"], r["products"], r["head"], r["tail"]), r["mean"], r["ends"], p, d, q, steps)
+        fitted = tuple(np.array(r[c], float) for c in ("ar", "ma")) + (r["variance"], r["loglik"]) if likely else None
+        got = lagged.forecast(lagged.Lagged(r["n"], r["products"], r["head"], r["tail"]), r["mean"], r["ends"], p, d, q, steps, fitted)
         return [(i + 1, r["last"], f, f - 1.959963984540054 * s, f + 1.959963984540054 * s, got["aic"], got["bic"])
                 for i, (f, s) in enumerate(zip(got["forecast"].tolist(), got["se"].tolist()))]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabsonde.functions.text import KEPT, NEGATIVE, POSITIVE, STOP_WORDS
 from tabsonde.operators import text as X
 from tabsonde.operators import timeseries as S
@@ -132,6 +134,36 @@ def ts_forecast(t):
     return rounded(S.forecast(hourly(t), (1, 1, 1), 24, ["event_type"], "1 hour"))
 
 
+RAW = "s AS (SELECT event_type, ts::TIMESTAMP AS ts, avg(value) AS value FROM events GROUP BY ALL), " \
+      "p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS pos FROM s)"
+
+
+def raw(t):
+    return S.aggregate(t.events, "ts", "value", ["event_type"], None)
+
+
+@query("pct_change_raw", f"""WITH {RAW} SELECT event_type, ts, {rnd('value', 6)} AS value,
+ {rnd('(value - lag(value) OVER w) / lag(value) OVER w', 4, NUDGE)} AS change FROM s WINDOW w AS (PARTITION BY event_type ORDER BY ts)""")
+def pct_change_raw(t):
+    return rounded(S.percent_change(raw(t), ["event_type"]), 4, NUDGE).withColumn("value", F.round("value", 6) + 0.0)
+
+
+@query("ts_decompose_raw", f"WITH {decomposition(5, True, RAW, 'event_type')} SELECT event_type, ts, pos, {PARTS} FROM dc")
+def ts_decompose_raw(t):
+    return rounded(S.decompose(raw(t), 5, by=["event_type"]), 6, NUDGE)
+
+
+@query("ts_likelihood", f"""WITH {DAILY}, c AS (SELECT pos, n, value - avg(value) OVER () AS v FROM p), f AS (SELECT unnest(range(1, CAST((max(n) - 1) // 2 AS BIGINT) + 1)) AS k FROM p),
+ w AS (SELECT k, n, (power(sum(v * cos(2 * pi() * k * pos / n)), 2) + power(sum(v * sin(2 * pi() * k * pos / n)), 2)) / n AS i FROM c, f GROUP BY k, n),
+ g AS (SELECT *, (power(1 + 0.2 * cos(2 * pi() * k / n), 2) + power(0.2 * sin(2 * pi() * k / n), 2))
+  / (power(1 - 0.4 * cos(2 * pi() * k / n) + 0.1 * cos(4 * pi() * k / n), 2) + power(0.4 * sin(2 * pi() * k / n) - 0.1 * sin(4 * pi() * k / n), 2)) AS g FROM w),
+ l AS (SELECT max(n) AS n, avg(i / g) AS variance, sum(ln(g)) AS lg FROM g)
+ SELECT n, {rnd('variance / 1e6', 3)} AS variance, {rnd('-0.5 * n * (ln(2 * pi() * variance) + 1) - lg', 3)} AS loglik FROM l""")
+def ts_likelihood(t):
+    out = S.likelihood(daily(t), [0.4, -0.1], [0.2])
+    return rounded(out.withColumn("variance", out.variance / 1e6), 3)
+
+
 CLEAN = (f"trim(regexp_replace(regexp_replace(lower(text), '[^{KEPT}\\t\\n\\x0B\\f\\r \\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g'), "
          f"'[\\t\\n\\x0B\\f\\r \\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))")
 # As they read once a text has been cleaned.
