@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from tabsonde.operators.grouping import AGGREGATES
 
 Piece = Callable[[pd.DataFrame], pd.DataFrame]
+Stream = Callable[[tuple, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 def _on_batches(func: Piece, rows: int | None):
@@ -50,9 +52,25 @@ def apply_groups(df: DataFrame, by: Sequence[str], func: Piece, schema: str, mos
     """Apply any `func` to all rows of each key at once (a null key is a key).
 
     A group is held by one task, so keys with more than `most` rows are refused after a count, not cut;
-    `apply_grouped` takes those.
+    `apply_group_batches` and `apply_grouped` take those.
     """
     largest = df.groupBy(*by).count().agg({"count": "max"}).first()[0] or 0
     if largest > most:
-        raise ValueError(f"a group has {largest} rows, more than {most}: use apply_grouped")
+        raise ValueError(f"a group has {largest} rows, more than {most}: use apply_group_batches or apply_grouped")
     return df.groupBy(*by).applyInPandas(func, schema)
+
+
+def apply_group_batches(df: DataFrame, by: Sequence[str], func: Stream, schema: str, order: Sequence[str] = ()) -> DataFrame:
+    """Apply `func(key, batches)` to the rows of each key as they stream by (a null key is a key).
+
+    Batches are Arrow batches (spark.sql.execution.arrow.maxRecordsPerBatch rows at most), in the order of `order` if
+    given; `func` yields frames as it goes. A group of any size needs the memory of a batch and of what `func` keeps:
+    rows are dealt by key and sorted once by key and order, on disk where they do not fit.
+    """
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from func(key, batches)
+
+    # typed by hand: as text, annotations could not be told apart
+    run.__annotations__ = {"key": tuple[Any, ...], "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    rows = df.repartition(*by).sortWithinPartitions(*by, *order)
+    return rows.groupBy(*by).applyInPandas(run, schema)

@@ -439,6 +439,29 @@ def test_user_function_sees_whole_groups(spark):
         userfuncs.apply_groups(df, ["k"], lambda p: p, "id long, k long", most=300)
 
 
+def test_user_function_streams_through_groups(spark):
+    """Order inside groups, a null key, and a group of five million rows that is never held whole."""
+    def check(key, batches):
+        last, n, most = -1, 0, 0
+        for pdf in batches:
+            ids = pdf.id.to_numpy()
+            assert ids[0] > last and (np.diff(ids) > 0).all()
+            last, n, most = ids[-1], n + len(pdf), max(most, len(pdf))
+        yield pd.DataFrame({"k": [key[0]], "n": [n]})
+        yield pd.DataFrame({"k": [key[0]], "n": [most]})
+
+    df = spark.range(5_001_000).selectExpr("id", "CASE WHEN id < 5000000 THEN 1 WHEN id % 3 = 0 THEN 2 END AS k")
+    out = userfuncs.apply_group_batches(df.repartition(9), ["k"], check, "k int, n long", ["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "hashpartitioning(k" in plan
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.k, []).append(r.n)
+    assert {k: max(v) for k, v in got.items()} == {1: 5_000_000, 2: 333, None: 667}
+    assert min(got[1]) <= 10_000
+    assert userfuncs.apply_group_batches(df.limit(0), ["k"], check, "k int, n long").count() == 0
+
+
 def test_group_shares_add_up(odd):
     rows = grouping.group_share(odd, ["s"], "id").collect()
     assert sum(r.percent for r in rows) == pytest.approx(100.0)

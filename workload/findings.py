@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from tabsonde.operators import columns as C
 from tabsonde.operators import insights as I
 from tabsonde.operators import report as R
 from tabsonde.operators import userfuncs as U
-from workload.common import query, rnd, rounded
+from workload.common import LINE_ORDER, LINE_ORDER_SQL, query, rnd, rounded
 
 SEGMENT_FREQ = "f AS (SELECT 'segment' AS column_name, segment AS value, count(*) AS n FROM fx_segments GROUP BY ALL UNION ALL SELECT 'event_type', event_type, count(*) FROM fx_segments GROUP BY ALL), " \
                "s AS (SELECT *, n / sum(n) OVER (PARTITION BY column_name) AS ratio, count(*) OVER (PARTITION BY column_name) AS k FROM f)"
@@ -204,6 +205,22 @@ def apply_grouped(t):
                            {"quantity": "sum", "rows": "sum", "best": "max"})
 
 
+def deepest_fall(key, batches):
+    """The largest fall of the price below what it has been, and the rows seen, in one run over a group."""
+    top, fall, n = float("-inf"), 0.0, 0
+    for pdf in batches:
+        highest = np.maximum(np.maximum.accumulate(pdf.l_extendedprice.to_numpy()), top)
+        top, fall, n = highest[-1], max(fall, (highest - pdf.l_extendedprice).max()), n + len(pdf)
+    yield pd.DataFrame({"l_returnflag": [key[0]], "n": [n], "fall": [fall]})
+
+
+@query("apply_group_batches", f"""WITH f AS (SELECT l_returnflag, max(l_extendedprice) OVER (PARTITION BY l_returnflag ORDER BY {LINE_ORDER_SQL} ROWS UNBOUNDED PRECEDING)
+  - l_extendedprice AS fall FROM lineitem) SELECT l_returnflag, count(*) AS n, {rnd('max(fall)')} AS fall FROM f GROUP BY l_returnflag""")
+def apply_group_batches(t):
+    return rounded(U.apply_group_batches(t.lineitem.select("l_returnflag", *LINE_ORDER), ["l_returnflag"], deepest_fall,
+                                         "l_returnflag string, n bigint, fall double", LINE_ORDER))
+
+
 @query("optimise_table", "SELECT DISTINCT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM fx_dupes")
 def optimise_table(t):
     return rounded(C.optimise_table(t.dupes, ["c_custkey"]))
