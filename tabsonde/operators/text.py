@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsonde.functions.text import NEGATIVE, POSITIVE, STOP_WORDS, clean, is_term, listed_words, occurrences, terms, words
+from tabsonde.plans.ordering import attach
 from tabsonde.plans.parallel import widen
+from tabsonde.plans.storage import Scratch
 
 
 def clean_text(df: DataFrame, text: str) -> DataFrame:
@@ -92,33 +92,106 @@ def sentiment_summary(df: DataFrame, text: str, **lexicon: Sequence[str]) -> Dat
                                                          "average_score")
 
 
-def fit_topics(df: DataFrame, text: str, n_topics: int = 5, vocabulary: int = 20_000, least_texts: int = 2,
-               iterations: int = 20, stop_words: Sequence[str] = STOP_WORDS):
-    """(model, vocabulary, counted rows) of an LDA over term counts; every step reads all texts.
-
-    Terms of at least `least_texts` texts count, at most `vocabulary` of them: the topic matrix is held by the driver.
+ALPHA, ETA = 0.1, 0.01  # what every topic has in every text, and every term in every topic, to begin with
+
+
+class Topics:
+    """A topic model as tables: `words` (term, n, w0 ..) and `texts` (_text, t0 .., kept columns) with the counts of
+    every topic in them, `postings` (_text, term, n), the totals of the topics and the number of terms."""
+
+    def __init__(self, words: DataFrame, texts: DataFrame, postings: DataFrame, k: int, scratch: Scratch):
+        self.words, self.texts, self.postings, self.k, self.scratch = words, texts, postings, k, scratch
+        self.totals: list[float] = []
+        self.terms = 0
+
+    def measure(self) -> None:
+        row = self.words.agg(F.count(F.lit(1)), *[F.sum(f"w{i}") for i in range(self.k)]).first()  # k + 1 numbers
+        self.terms, self.totals = row[0], [float(v or 0.0) for v in row[1:]]
+
+    def weight(self, i: int) -> Column:
+        """Share of a term in topic i."""
+        return (F.col(f"w{i}") + ETA) / (self.totals[i] + self.terms * ETA)
+
+    def shares(self, i: int) -> Column:
+        """Share of topic i in a text."""
+        total = sum((F.col(f"t{j}") for j in range(1, self.k)), F.col("t0"))
+        return (F.col(f"t{i}") + ALPHA) / (total + self.k * ALPHA)
+
+    def joined(self) -> DataFrame:
+        """Postings with the weights of their term (p0 ..) and the counts of their text (t0 ..). Frequent terms are
+        spread by attach(); a text's own terms are bounded by its length."""
+        sizes = self.words.select("term", F.col("texts").alias("n"))
+        weights = self.words.select("term", *[self.weight(i).alias(f"p{i}") for i in range(self.k)])
+        with_words = attach(self.postings, weights, ["term"], sizes)
+        return with_words.join(self.texts.select("_text", *[f"t{i}" for i in range(self.k)]).hint("merge"), "_text")
+
+    def step(self) -> None:
+        """Each posting is shared out among the topics, by the weight of its term times the count in its text; the
+        shares make the new counts of texts and terms."""
+        total = sum((F.col(f"p{i}") * (F.col(f"t{i}") + ALPHA) for i in range(1, self.k)), F.col("p0") * (F.col("t0") + ALPHA))
+        given = self.joined().withColumn("_all", total).select("_text", "term", "n", *[
+            (F.col("n") * F.col(f"p{i}") * (F.col(f"t{i}") + ALPHA) / F.col("_all")).alias(f"r{i}") for i in range(self.k)])
+        given = self.scratch.keep(given, "given")
+        texts = given.groupBy("_text").agg(*[F.sum(f"r{i}").alias(f"t{i}") for i in range(self.k)])
+        others = self.texts.drop(*[f"t{i}" for i in range(self.k)])
+        texts = others.join(texts.hint("merge"), "_text", "left").na.fill(0.0, [f"t{i}" for i in range(self.k)])
+        words = given.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"),
+                                          *[F.sum(f"r{i}").alias(f"w{i}") for i in range(self.k)])
+        self.texts, self.words = self.scratch.keep(texts, "texts"), self.scratch.keep(words, "words")
+        self.scratch.drop("given")
+        self.measure()
+
+    def perplexity(self) -> float:
+        fit = sum((F.col(f"p{i}") * self.shares(i) for i in range(1, self.k)), F.col("p0") * self.shares(0))
+        row = self.joined().agg(F.sum(F.col("n") * F.log(fit)), F.sum("n")).first()
+        return math.exp(-row[0] / row[1]) if row[1] else math.nan
+
+
+def fit_topics(df: DataFrame, text: str, n_topics: int = 5, iterations: int = 20,
+               stop_words: Sequence[str] = STOP_WORDS, keep: Sequence[str] = ()) -> Topics:
+    """A topic model of all terms of all texts, by expectation and maximisation on tables.
+
+    Counts of topics per term are a table with one row per term, joined to the postings (text, term, n) in each step;
+    so the vocabulary has no bound, and only the topics' totals are known to the driver. A step shuffles the postings
+    with n_topics numbers each twice and writes them once. Steps begin from fractions of MD5 digests of the terms,
+    so the model depends on neither partitions nor the order of rows.
     """
-    rows = widen(df.where(F.col(text).isNotNull())).withColumn("_terms", terms(F.col(text), list(stop_words)))
-    vectoriser = CountVectorizer(inputCol="_terms", outputCol="features", vocabSize=vocabulary,
-                                 minDF=float(least_texts)).fit(rows)
-    # Counts, not texts, are kept for the steps and for what the caller asks of the model.
-    counted = vectoriser.transform(rows).drop("_terms", text).persist(StorageLevel.MEMORY_AND_DISK)
-    model = LDA(k=n_topics, seed=42, maxIter=iterations, optimizer="online", subsamplingRate=1.0).fit(counted)
-    return model, vectoriser.vocabulary, counted
+    scratch = Scratch(df.sparkSession)
+    names = [f"_k{i}" for i in range(len(keep))]
+    rows = widen(df.where(F.col(text).isNotNull()).select(text, *[F.col(c).alias(n) for c, n in zip(keep, names)]))
+    rows = rows.select(F.monotonically_increasing_id().alias("_text"), terms(F.col(text), list(stop_words)).alias("_terms"), *names)
+    rows = scratch.keep(rows, "rows")  # one pass over the texts
+    postings = scratch.keep(rows.select("_text", F.explode("_terms").alias("term")).groupBy("_text", "term")
+                            .agg(F.count(F.lit(1)).cast("double").alias("n")), "postings")
+    texts = rows.select("_text", *names, *[(F.size("_terms") / n_topics).alias(f"t{i}") for i in range(n_topics)])
+
+    def fraction(i: int) -> Column:
+        code = F.conv(F.substring(F.md5(F.concat("term", F.lit(f":{i}")).cast("binary")), 1, 8), 16, 10)
+        return code.cast("double") / 2.0 ** 32
+
+    words = postings.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    words = words.select("term", "n", "texts", *[(F.col("n") * fraction(i)).alias(f"w{i}") for i in range(n_topics)])
+    model = Topics(scratch.keep(words, "words"), scratch.keep(texts, "texts"), postings, n_topics, scratch)
+    scratch.drop("rows")
+    model.measure()
+    for _ in range(iterations if model.terms else 0):
+        model.step()
+    return model
 
 
 def topics(df: DataFrame, text: str, n_topics: int = 5, n_words: int = 10, **kw) -> DataFrame:
     """(topic, rank, term, weight, perplexity): the leading terms of each topic."""
-    model, vocabulary, counted = fit_topics(df, text, n_topics, **kw)
-    words_of = F.array(*[F.lit(v) for v in vocabulary])
-    out = model.describeTopics(n_words).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("i", "z"))
-    perplexity = F.lit(float(model.logPerplexity(counted)))
-    return out.select("topic", (F.col("i") + 1).alias("rank"), F.get(words_of, F.col("z.termIndices")).alias("term"),
-                      F.col("z.termWeights").alias("weight"), F.exp(perplexity).alias("perplexity"))
+    model = fit_topics(df, text, n_topics, **kw)
+    perplexity = F.lit(model.perplexity())
+    parts = [model.words.select(F.lit(i).alias("topic"), "term", model.weight(i).alias("weight"))
+             .orderBy(F.desc("weight"), "term").limit(n_words) for i in range(n_topics)]
+    best = reduce(DataFrame.unionByName, parts)
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "term"))  # n_words rows each
+    return best.select("topic", rank.alias("rank"), "term", "weight", perplexity.alias("perplexity"))
 
 
 def topic_mixture(df: DataFrame, text: str, keep: Sequence[str], n_topics: int = 5, **kw) -> DataFrame:
-    """(keep, topic, share): the topic mixture of each text."""
-    model, _, counted = fit_topics(df, text, n_topics, **kw)
-    mixed = model.transform(counted).select(*keep, vector_to_array("topicDistribution").alias("d"))
-    return mixed.select(*keep, F.posexplode("d").alias("topic", "share"))
+    """(keep, topic, share): the topic mixture of each text; equal shares where it has no terms."""
+    model = fit_topics(df, text, n_topics, keep=keep, **kw)
+    shares = F.array(*[model.shares(i) for i in range(n_topics)])
+    return model.texts.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.posexplode(shares).alias("topic", "share"))

@@ -222,9 +222,30 @@ def sentiment_summary(t):
 
 @query("topic_model")
 def topic_model(t):
-    return rounded(X.topics(t.documents, "text", 5, 10))
+    return rounded(X.topics(t.documents, "text", 5, 10, iterations=10))
+
+
+def topic_steps(k: int, steps: int) -> str:
+    """The same steps in SQL, from the same fractions of digests."""
+    each = lambda form: ", ".join(form.format(i=i) for i in range(k))
+    plus = lambda form: " + ".join(form.format(i=i) for i in range(k))
+    size = "(SELECT count(*) FROM w0)"
+    out = f"""po AS MATERIALIZED (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n FROM k GROUP BY ALL),
+ w0 AS MATERIALIZED (SELECT term, {each("sum(n) * (CAST('0x' || substr(md5(term || ':{i}'), 1, 8) AS BIGINT) / 4294967296.0) AS w{i}")} FROM po GROUP BY term),
+ t0 AS MATERIALIZED (SELECT doc_id, {each(f"sum(n) / {k} AS t{{i}}")} FROM po GROUP BY doc_id)"""
+    for s in range(steps):
+        out += f""", s{s} AS (SELECT {each(f"sum(w{{i}}) + {X.ETA} * {size} AS s{{i}}")} FROM w{s}),
+ p{s} AS (SELECT po.doc_id, po.term, n, {each(f"(w{{i}} + {X.ETA}) / s{{i}} * (t{{i}} + {X.ALPHA}) AS p{{i}}")} FROM po JOIN w{s} USING (term) JOIN t{s} USING (doc_id), s{s}),
+ r{s} AS MATERIALIZED (SELECT doc_id, term, {each("n * p{i} / (" + plus("p{i}") + ") AS r{i}")} FROM p{s}),
+ w{s + 1} AS MATERIALIZED (SELECT term, {each("sum(r{i}) AS w{i}")} FROM r{s} GROUP BY term), t{s + 1} AS MATERIALIZED (SELECT doc_id, {each("sum(r{i}) AS t{i}")} FROM r{s} GROUP BY doc_id)"""
+    return out
+
+
+@query("topic_model_steps", f"WITH {TERMS.rsplit(', f AS', 1)[0]}, {topic_steps(3, 2)} SELECT term, {', '.join(rnd(f'w{i}', 5) + f' AS w{i}' for i in range(3))} FROM w2")
+def topic_model_steps(t):
+    return rounded(X.fit_topics(t.documents, "text", 3, 2).words.select("term", "w0", "w1", "w2"), 5)
 
 
 @query("topic_mixture")
 def topic_mixture(t):
-    return rounded(X.topic_mixture(t.documents, "text", ["doc_id"], 5))
+    return rounded(X.topic_mixture(t.documents, "text", ["doc_id"], 5, iterations=5))
