@@ -7,13 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType
 
 from tabsonde.plans.parallel import widen
@@ -34,28 +34,190 @@ def standardised(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (
     return widen(scaler.transform(assembled).drop("_raw")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def kmeans_assign(df: DataFrame, features: Sequence[str], k: int = 3, keep: Sequence[str] = ()):
-    """(fitted model, rows with `cluster`)."""
-    rows = standardised(df, features, keep)
-    model = KMeans(k=k, seed=42, featuresCol="features", predictionCol="cluster").fit(rows)
-    return model, model.transform(rows)
+ROUNDS, STEPS, SETTLED = 5, 30, 1e-4
 
 
-def kmeans(df: DataFrame, features: Sequence[str], k: int = 3) -> DataFrame:
-    """(cluster, size, column_name, mean, inertia, silhouette).
+class Scaled:
+    """Complete rows of some columns and their means and standard deviations, from one pass (constants count as 1)."""
+
+    def __init__(self, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()):
+        require_numeric(df, features)
+        self.features, self.keep = list(features), [c for c in keep if c not in features]
+        values = [as_double(c).alias(c) for c in features]
+        self.rows = widen(df.select(*self.keep, *values).na.drop(subset=self.features))
+        row = self.rows.agg(F.count(F.lit(1)), *[f(c) for c in self.features for f in (F.avg, F.stddev_samp)]).first()
+        self.n = row[0]
+        self.mean = np.array([v or 0.0 for v in row[1::2]], float)
+        self.std = np.array([v or 1.0 for v in row[2::2]], float)
+
+    def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in self.features], 1).astype(float)
+            yield batch, (x - self.mean) / self.std
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "rows"}  # tasks need the numbers only
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre (the first of equals) and squared distance of each row."""
+    d = np.stack([((x - c) ** 2).sum(1) for c in centres], 1)
+    near = d.argmin(1)
+    return near, d[np.arange(len(x)), near]
+
+
+def _fractions(x: np.ndarray, salt: int) -> np.ndarray:
+    """A number in [0, 1) for each row, from the bits of its values and the salt alone."""
+    h = np.full(len(x), 0x9E3779B97F4A7C15 * (salt + 1) % (1 << 64), np.uint64)
+    for column in np.ascontiguousarray(x + 0.0).view(np.uint64).T:
+        h = (h ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(11)).astype(float) / 2.0 ** 53
+
 
-    The mean of a column in a cluster is its centre in original units. The silhouette uses
-    squared Euclidean distance, which can be summed without comparing all pairs of rows.
+def _sums(scaled: Scaled, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, sums of values, sums of squared lengths and of squared distances) of every centre's rows."""
+    k, p = centres.shape
+
+    def part(batches):
+        total = np.zeros((k, p + 3))
+        for _, x in scaled.batches(batches):
+            near, d = _distances(x, centres)
+            for j, v in enumerate((np.ones(len(x)), *x.T, (x * x).sum(1), d)):
+                total[:, j] += np.bincount(near, v, minlength=k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k), p + 3)), pa.array(np.tile(np.arange(p + 3), k)),
+                                          pa.array(total.ravel())], names=["c", "j", "v"])
+
+    out = np.zeros((k, p + 3))
+    rows = scaled.rows.select(*scaled.features).mapInArrow(part, "c bigint, j bigint, v double")
+    for r in rows.groupBy("c", "j").agg(F.sum("v").alias("v")).collect():  # k * (features + 3) numbers
+        out[r["c"], r["j"]] = r["v"]
+    return out[:, 0], out[:, 1:-2], out[:, -2:]
+
+
+def seeds(scaled: Scaled, k: int, rounds: int = ROUNDS) -> np.ndarray:
+    """First centres: some 2 k candidates a round, each row drawn with a chance that grows with its distance from the
+    candidates so far; of all candidates k are chosen in the same manner, weighted by the rows next to them.
+
+    Draws come from the values themselves, so neither partitions nor the order of rows matter. Candidates are few
+    whatever the table's size: they are what the driver sees.
     """
-    model, rows = kmeans_assign(df, features, k)
-    silhouette = None
-    if k > 1:
-        silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(rows)
+    def drawn(centres: np.ndarray | None, total: float, salt: int) -> np.ndarray:
+        def pick(batches):
+            best = None
+            for _, x in scaled.batches(batches):
+                u = _fractions(x, salt)
+                if centres is None:  # the row of the least fraction; equal fractions belong to equal rows
+                    i = int(u.argmin())
+                    if best is None or u[i] < best[0]:
+                        best = (u[i], x[i])
+                else:
+                    hit = np.flatnonzero(u * total < 2 * k * _distances(x, centres)[1])
+                    if len(hit):
+                        x = np.unique(x[hit], axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(np.zeros(len(x)))], names=["x", "u"])
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([best[1].tolist()], pa.list_(pa.float64())), pa.array([best[0]])], names=["x", "u"])
+        rows = scaled.rows.select(*scaled.features).mapInArrow(pick, "x array<double>, u double")
+        rows = rows.orderBy("u", "x").limit(1) if centres is None else rows.select("x").distinct()
+        return np.array(sorted(tuple(r["x"]) for r in rows.collect()), float).reshape(-1, len(scaled.features))
+
+    found = drawn(None, 0.0, 0)
+    if not len(found):
+        return found
+    for i in range(rounds):
+        total = float(_sums(scaled, found)[2][:, 1].sum())
+        if total <= 0:
+            break
+        found = np.unique(np.vstack([found, drawn(found, total, i + 1)]), axis=0)
+    weight = _sums(scaled, found)[0]
+    chosen = [int(weight.argmax())]
+    rng = np.random.default_rng(42)
+    while len(chosen) < min(k, len(found)):
+        d = weight * _distances(found, found[chosen])[1]
+        if d.sum() <= 0:
+            break
+        chosen.append(int(np.searchsorted(np.cumsum(d), rng.random() * d.sum(), "right").clip(0, len(found) - 1)))
+    return found[chosen]
+
+
+def kmeans_centres(scaled: Scaled, k: int) -> tuple[np.ndarray, float]:
+    """(centres in scaled units in ascending order, sum of squared distances). Fewer than k distinct rows give fewer."""
+    centres = seeds(scaled, k)
+    if not len(centres):
+        return centres, 0.0
+    for _ in range(STEPS):
+        n, sums, _ = _sums(scaled, centres)
+        moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        step = float(((moved - centres) ** 2).sum(1).max())
+        centres = moved
+        if step <= SETTLED ** 2:
+            break
+    centres = centres[np.lexsort(centres.T[::-1])]
+    return centres, float(_sums(scaled, centres)[2][:, 1].sum())
+
+
+def assign(scaled: Scaled, centres: np.ndarray) -> DataFrame:
+    """The rows with their `cluster`, the nearest of the centres (in scaled units), the first of equals."""
+    names = [*scaled.keep, *scaled.features]
+
+    def run(batches):
+        for batch, x in scaled.batches(batches):
+            near = _distances(x, centres)[0] if len(x) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=[*names, "cluster"])
+
+    rows = scaled.rows.select(*names)
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("cluster", T.IntegerType())]))
+
+
+def kmeans_assign(df: DataFrame, features: Sequence[str], k: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, features, cluster): complete rows with their cluster; clusters ascend by centre."""
+    scaled = Scaled(df, features, keep)
+    return assign(scaled, kmeans_centres(scaled, k)[0])
+
+
+def _silhouette(scaled: Scaled, centres: np.ndarray) -> float | None:
+    """Mean over rows of (b - a) / max(a, b), a and b the mean squared distances to the own and the nearest other
+    cluster, from the clusters' sums."""
+    n, sums, more = _sums(scaled, centres)
+    if (n > 0).sum() < 2:
+        return None
+
+    def part(batches):
+        total = 0.0
+        for _, x in scaled.batches(batches):
+            near = _distances(x, centres)[0]
+            mean = np.where(n > 0, ((x * x).sum(1)[:, None] + more[:, 0] / np.maximum(n, 1) - 2 * x @ (sums / np.maximum(n, 1)[:, None]).T), np.inf)
+            at = np.arange(len(x))
+            own = mean[at, near] * n[near] / np.maximum(n[near] - 1, 1)
+            mean[at, near] = np.inf
+            other = mean.min(1)
+            top = np.maximum(own, other)
+            total += float(np.where((n[near] > 1) & (top > 0), (other - own) / np.where(top > 0, top, 1.0), 0.0).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["v"])
+
+    return scaled.rows.select(*scaled.features).mapInArrow(part, "v double").agg(F.sum("v")).first()[0] / scaled.n
+
+
+def cluster_profile(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(cluster, size, column_name, mean) of rows with their cluster."""
     means = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(c) for c in features])
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("mean")) for c in features]))
-    return (means.select("cluster", "size", cells.alias("c"))
-            .select("cluster", "size", "c.*", F.lit(float(model.summary.trainingCost)).alias("inertia"),
-                    F.lit(silhouette).cast("double").alias("silhouette")))
+    return means.select("cluster", "size", cells.alias("c")).select("cluster", "size", "c.*")
+
+
+def kmeans(df: DataFrame, features: Sequence[str], k: int = 3) -> DataFrame:
+    """(cluster, size, column_name, mean, inertia, silhouette).
+
+    The mean of a column in a cluster is its centre in original units; clusters ascend by centre. The silhouette uses
+    squared Euclidean distance, which can be summed without comparing all pairs of rows. Results do not depend on how
+    the rows are spread. A pass of sums is one job over the table; nothing is cached.
+    """
+    scaled = Scaled(df, features)
+    centres, cost = kmeans_centres(scaled, k)
+    silhouette = _silhouette(scaled, centres) if k > 1 and len(centres) else None
+    return cluster_profile(assign(scaled, centres), features).select(
+        "*", F.lit(float(cost)).alias("inertia"), F.lit(silhouette).cast("double").alias("silhouette"))
 
 
 def principal_components(df: DataFrame, features: Sequence[str], k: int = 3) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tabsonde.operators import clustering as C
 from tabsonde.operators import models as M
 from tabsonde.operators import regression as G
-from workload.common import LINE_NUMERIC, LINE_ORDER, query, rounded
+from workload.common import LINE_NUMERIC, LINE_ORDER, query, rnd, rounded, union_all
 
 VECTOR = [f"e{i}" for i in range(64)]
 
@@ -21,6 +22,25 @@ def kmeans(t):
     return rounded(C.kmeans(t.lineitem, LINE_NUMERIC, 3))
 
 
+GIVEN = [[10.0, 20000.0, 0.02, 0.02], [25.0, 40000.0, 0.05, 0.04], [40.0, 60000.0, 0.08, 0.06]]
+
+
+def nearest_sql() -> str:
+    """Sizes and means of the rows next to each of the centres GIVEN, by distance in standard deviations."""
+    spread = ", ".join(f"stddev_samp({c}) AS s{i}" for i, c in enumerate(LINE_NUMERIC))
+    far = [" + ".join(f"power(({c} - {v!r}) / s{i}, 2)" for i, (c, v) in enumerate(zip(LINE_NUMERIC, centre))) for centre in GIVEN]
+    best = "CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END"
+    return f"""WITH m AS (SELECT {spread} FROM lineitem), d AS (SELECT *, {', '.join(f'{f} AS d{i}' for i, f in enumerate(far))} FROM lineitem, m),
+ c AS (SELECT *, CAST({best} AS BIGINT) AS cluster FROM d)
+ """ + union_all(LINE_NUMERIC, lambda c: f"SELECT cluster, count(*) AS size, '{c}' AS column_name, {rnd(f'avg({c})', 6)} AS mean FROM c GROUP BY cluster")
+
+
+@query("kmeans_nearest", nearest_sql())
+def kmeans_nearest(t):
+    scaled = C.Scaled(t.lineitem, LINE_NUMERIC)
+    return rounded(C.cluster_profile(C.assign(scaled, (np.array(GIVEN) - scaled.mean) / scaled.std), LINE_NUMERIC), 6)
+
+
 @query("pca")
 def pca(t):
     return rounded(C.principal_components(vectors(t), VECTOR, 3))
