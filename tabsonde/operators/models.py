@@ -6,11 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,22 +31,85 @@ def task_type(df: DataFrame, target: str) -> DataFrame:
                     F.when(text | (F.col("n_unique") < CLASS_LIMIT), "classification").otherwise("regression").alias("task")))
 
 
-def _random_features(rows: DataFrame, inputs: Sequence[str], count: int = RANDOM_FEATURES) -> DataFrame:
-    """Add `_z0` .. : cos(w x + b) of the standardised inputs. An inner product of these
-    approximates the RBF kernel with gamma 1 / number of columns."""
-    facts = rows.agg(*[e for i, c in enumerate(inputs) for e in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]).first()
-    rng = np.random.default_rng(42)
+class RandomFeatures:
+    """cos(w x + b) of the standardised inputs; an inner product of these approximates the RBF kernel with gamma
+    1 / number of columns."""
+
+    def __init__(self, rows: DataFrame, inputs: Sequence[str], count: int = RANDOM_FEATURES):
+        facts = rows.agg(*[e for c in inputs for e in (F.avg(c), F.stddev_pop(c))]).first()
+        rng = np.random.default_rng(42)
+        p = len(inputs)
+        self.inputs, self.count = list(inputs), count
+        self.mean, self.std = np.array([v or 0.0 for v in facts[::2]], float), np.array([v or 1.0 for v in facts[1::2]], float)
+        self.w, self.b = rng.normal(0.0, math.sqrt(2.0 / p), (count, p)), rng.uniform(0.0, 2 * math.pi, count)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return np.cos((x - self.mean) / self.std @ self.w.T + self.b) * math.sqrt(2.0 / self.count)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Add them as columns `_z0` .. ."""
+        cells = []
+        for i in range(self.count):
+            angle = F.lit(float(self.b[i]))
+            for j, c in enumerate(self.inputs):
+                angle = angle + F.lit(float(self.w[i, j])) * ((F.col(c) - F.lit(float(self.mean[j]))) / F.lit(float(self.std[j])))
+            cells.append((F.cos(angle) * F.lit(math.sqrt(2.0 / self.count))).alias(f"_z{i}"))
+        return rows.select("*", *cells)
+
+
+RIDGE = 0.01  # of the kernel model, on standardised features
+
+
+def _cell_sums(rows: DataFrame, inputs: Sequence[str], spread: RandomFeatures | None) -> np.ndarray:
+    """Sums of products of 1, the inputs, their random features and `_y`, for every fold of both hold-out parts, from
+    one scan: array (2, FOLDS, m, m). A task sends m rows for each cell, and one row of each is what the driver gets."""
     p = len(inputs)
-    w = rng.normal(0.0, math.sqrt(2.0 / p), (count, p))
-    b = rng.uniform(0.0, 2 * math.pi, count)
-    scaled = [(F.col(c) - F.lit(facts[f"m{j}"])) / F.lit(facts[f"s{j}"] or 1.0) for j, c in enumerate(inputs)]
-    cells = []
-    for i in range(count):
-        angle = F.lit(float(b[i]))
-        for j, x in enumerate(scaled):
-            angle = angle + F.lit(float(w[i, j])) * x
-        cells.append((F.cos(angle) * F.lit(math.sqrt(2.0 / count))).alias(f"_z{i}"))
-    return rows.select("*", *cells)
+    m = p + 2 + (spread.count if spread else 0)
+
+    def part(batches):
+        total = np.zeros((2 * FOLDS, m, m))
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in inputs], 1).astype(float)
+            y = batch.column("_y").to_numpy(zero_copy_only=False).astype(float)
+            full = np.column_stack([np.ones(len(x)), x, *([spread.of(x)] if spread else []), y])
+            cell = (batch.column("_hold").to_numpy() >= 8) * FOLDS + batch.column("_fold").to_numpy()
+            for c in np.unique(cell):
+                own = full[cell == c]
+                total[c] += own.T @ own
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(2 * FOLDS), m)), pa.array(np.tile(np.arange(m), 2 * FOLDS)),
+                                          pa.array(total.reshape(-1, m).tolist(), pa.list_(pa.float64()))], names=["cell", "i", "v"])
+
+    def add(table: pa.Table) -> pa.Table:
+        v = np.stack(table.column("v").to_numpy(zero_copy_only=False))
+        return pa.table([table.column("cell").slice(0, 1), table.column("i").slice(0, 1), pa.array([v.sum(0).tolist()], pa.list_(pa.float64()))],
+                        names=["cell", "i", "v"])
+
+    schema = "cell bigint, i bigint, v array<double>"
+    out = np.zeros((2 * FOLDS, m, m))
+    for r in rows.select(*inputs, "_y", "_hold", "_fold").mapInArrow(part, schema).groupBy("cell", "i").applyInArrow(add, schema).collect():
+        out[r["cell"], r["i"]] = r["v"]
+    return out.reshape(2, FOLDS, m, m)
+
+
+def _squared_error(train: np.ndarray, test: np.ndarray, ridge: float) -> float:
+    """Mean squared error on the rows behind the sums `test` of the linear model fitted on those behind `train`. The
+    last variable is the target, the first the constant; ridge is relative to the spread of every input."""
+    n, mean = train[0, 0], train[0] / max(train[0, 0], 1)
+    centred = train[1:, 1:] / max(n, 1) - np.outer(mean[1:], mean[1:])
+    inner, cross = centred[:-1, :-1], centred[:-1, -1]
+    scale = np.sqrt(np.maximum(np.diag(inner), 1e-300))
+    beta = np.linalg.pinv(inner / np.outer(scale, scale) + ridge * np.eye(len(scale)), rcond=1e-12, hermitian=True) @ (cross / scale) / scale
+    w = np.concatenate([[-(mean[-1] - beta @ mean[1:-1])], -beta, [1.0]])
+    return float(max(w @ test @ w, 0.0) / test[0, 0]) if test[0, 0] else math.nan
+
+
+def _regression_errors(cells: np.ndarray, use: list[int], ridge: float) -> tuple[float, float]:
+    """(hold-out, mean over folds) squared errors; training sets are all sums less those of the part left out."""
+    pick = cells[:, :, use][:, :, :, use]
+    held = _squared_error(pick[0].sum(0), pick[1].sum(0), ridge)
+    folds = pick.sum(0)
+    errors = [_squared_error(folds.sum(0) - f, f, ridge) for f in folds if f[0, 0] > 0]
+    return held, float(np.mean(errors)) if errors else math.nan
 
 
 def _stages(kind: str, task: str, inputs: Sequence[str], n_classes: int) -> list:
@@ -53,15 +117,12 @@ def _stages(kind: str, task: str, inputs: Sequence[str], n_classes: int) -> list
     scaled = [VectorAssembler(inputCols=list(inputs), outputCol="_raw"),
               StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]
     if kind == "linear":
-        last = LinearRegression(labelCol="_y") if task == "regression" else LogisticRegression(labelCol="_y", tol=1e-4)
-        return [*scaled, last]
+        return [*scaled, LogisticRegression(labelCol="_y", tol=1e-4)]
     if kind == "random_forest":
         cls = RandomForestRegressor if task == "regression" else RandomForestClassifier
         return [VectorAssembler(inputCols=list(inputs), outputCol="features"),
                 cls(labelCol="_y", numTrees=TREES, seed=42)]
     spread = [VectorAssembler(inputCols=[f"_z{i}" for i in range(RANDOM_FEATURES)], outputCol="features")]
-    if task == "regression":
-        return [*spread, LinearRegression(labelCol="_y", regParam=0.01)]
     svc = LinearSVC(labelCol="_y", regParam=0.01, maxIter=20, tol=1e-3)
     return [*spread, svc if n_classes == 2 else OneVsRest(classifier=svc, labelCol="_y")]
 
@@ -87,7 +148,8 @@ def evaluate_models(df: DataFrame, target: str, key: Sequence[str], features: Se
 
     Hold-out is a hash split of 80 / 20, cross-validation uses five hash folds. The score is the
     RMSE or the accuracy; performance is 1 / (1 + rmse) or the accuracy. The kernel model is a
-    linear model on random Fourier features, an approximation that can be fit on many machines.
+    linear model on random Fourier features, an approximation that can be fit on many machines; for regression it
+    has a ridge of RIDGE. Linear and kernel regressions take one scan for all their fits.
     """
     features = list(features or [c for c in numeric_columns(df) if c != target])
     task = task or task_type(df, target).first()["task"]
@@ -102,12 +164,23 @@ def evaluate_models(df: DataFrame, target: str, key: Sequence[str], features: Se
         return evaluator.evaluate(Pipeline(stages=_stages(kind, task, features, n_classes)).fit(train).transform(test))
 
     n_classes = 0 if task == "regression" else rows.select("_y").distinct().count()
-    results = []
-    for kind in models or candidates():
-        used = _random_features(rows, features).cache() if kind == "kernel" else rows
-        held = score(kind, used.where("_hold < 8"), used.where("_hold >= 8"))
-        folds = [score(kind, used.where(F.col("_fold") != f), used.where(F.col("_fold") == f)) for f in range(FOLDS)]
-        cv = float(np.mean(folds))
+    results, kinds = [], list(models or candidates())
+    closed: dict[str, tuple[float, float]] = {}
+    if task == "regression" and {"linear", "kernel"} & set(kinds):
+        spread = RandomFeatures(rows, features) if "kernel" in kinds else None
+        cells = _cell_sums(rows, features, spread)
+        p, last = len(features), cells.shape[-1] - 1
+        closed = {"linear": _regression_errors(cells, [*range(p + 1), last], 0.0)}
+        if spread:
+            closed["kernel"] = _regression_errors(cells, [0, *range(p + 1, last + 1)], RIDGE)
+    for kind in kinds:
+        used = rows
+        if kind in closed:
+            held, cv = closed[kind]
+        else:
+            used = RandomFeatures(rows, features).add(rows).cache() if kind == "kernel" else rows
+            held = score(kind, used.where("_hold < 8"), used.where("_hold >= 8"))
+            cv = float(np.mean([score(kind, used.where(F.col("_fold") != f), used.where(F.col("_fold") == f)) for f in range(FOLDS)]))
         if task == "regression":
             held, cv = math.sqrt(held), math.sqrt(cv)
         performance = 1 / (1 + held) if task == "regression" else held

@@ -127,8 +127,10 @@ def simple_regression(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) ->
 
 def split_bucket(key: Sequence[str], seed: int = 42, buckets: int = 10) -> Column:
     """A number 0 .. buckets - 1 fixed by the row's key, for splits that do not depend on
-    partitioning or re-evaluation."""
-    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(buckets)).cast("int")
+    partitioning or re-evaluation: the first 32 bits of the MD5 of the key's values and the seed."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], F.lit(str(seed)))
+    head = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return F.pmod(head, F.lit(buckets)).cast("int")
 
 
 def predictive_analysis(df: DataFrame, predictors: Sequence[str], target: str, key: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from tabsonde.operators import columns as C
 from tabsonde.operators import insights as I
 from tabsonde.operators import report as R
 from tabsonde.operators import userfuncs as U
+from workload.learning import predictive_sql
 from workload.common import LINE_ORDER, LINE_ORDER_SQL, query, rnd, rounded
 
 SEGMENT_FREQ = "f AS (SELECT 'segment' AS column_name, segment AS value, count(*) AS n FROM fx_segments GROUP BY ALL UNION ALL SELECT 'event_type', event_type, count(*) FROM fx_segments GROUP BY ALL), " \
@@ -84,7 +85,11 @@ def insight_anomaly(t):
     return rounded(I.anomaly_insights(t.outliers, ["price_o", "quantity_zero"]))
 
 
-@query("insight_predictive")
+@query("insight_predictive", f"""WITH {predictive_sql('part', ['p_size', 'p_partkey'], 'p_retailprice', ['p_partkey'])},
+ q AS (SELECT any_value(r2) AS r2, string_agg(feature, ', ' ORDER BY rank) AS feature FROM fit WHERE rank <= 3),
+ l AS (SELECT *, CASE WHEN r2 > 0.7 THEN 'high' WHEN r2 > 0.5 THEN 'adequate' ELSE 'limited' END AS level FROM q)
+ SELECT 'predictive' AS type, 'p_retailprice' AS columns, 'r2' AS metric, {rnd('r2')} AS value, level,
+  'p_retailprice is predicted with ' || level || ' accuracy; strongest predictors: ' || feature AS message FROM l""")
 def insight_predictive(t):
     return rounded(I.predictive_insights(t.part, ["p_size", "p_partkey"], "p_retailprice", ["p_partkey"]))
 
