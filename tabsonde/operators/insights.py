@@ -137,14 +137,15 @@ def predictive_insights(df: DataFrame, predictors: Sequence[str], target: str, k
     return finding(top, "predictive", F.lit(target), "r2", F.col("r2"), quality, text)
 
 
-def quality_insights(df: DataFrame) -> DataFrame:
-    """Columns with over 20 % missing, number of pairs with |r| over 0.8, columns with |skewness| over 2."""
-    gone = missing_profile(df).where(F.col("percent") > HIGH_MISSING)
+def quality_insights(df: DataFrame, missing: DataFrame | None = None, correlations: DataFrame | None = None) -> DataFrame:
+    """Columns with over 20 % missing, number of pairs with |r| over 0.8, columns with |skewness| over 2. Profiles of
+    missing values and correlations that are known already are taken as they are."""
+    gone = (missing_profile(df) if missing is None else missing).where(F.col("percent") > HIGH_MISSING)
     parts = [finding(gone, "high_missing", F.col("column_name"), "percent", F.col("percent"), F.lit("warning"),
                      F.concat(F.col("column_name"), F.lit(": consider filling or dropping it")))]
     numeric = numeric_columns(df)
     if len(numeric) > 1:
-        pairs = (correlation_matrix(df, numeric).where(F.abs("r") > STRONG).agg(F.count(F.lit(1)).alias("n"))
+        pairs = ((correlation_matrix(df, numeric) if correlations is None else correlations).where(F.abs("r") > STRONG).agg(F.count(F.lit(1)).alias("n"))
                  .where("n > 0"))
         parts.append(finding(pairs, "high_correlation", F.lit(""), "pairs", F.col("n"), F.lit("info"),
                              F.concat(F.col("n").cast("string"), F.lit(" pairs are nearly collinear"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tabsonde.operators.insights import quality_insights
 from tabsonde.operators.missing import missing_profile
 from tabsonde.operators.profile import (dataset_summary, describe_categorical, describe_numeric, memory_total,
                                         type_distribution)
+from tabsonde.plans.storage import Scratch
 from tabsonde.schema import categorical_columns, numeric_columns
 
 SECTION_COLUMNS = ["section", "metric", "column_name", "item", "value", "text"]
@@ -48,24 +50,48 @@ def _lines(df: DataFrame, lines: Sequence[Column]) -> DataFrame:
     return df.select(F.explode(F.array(*lines)).alias("r")).select("r.*")
 
 
-def _described(df: DataFrame, section: str) -> DataFrame:
-    return _lines(describe_numeric(df), [_line(section, F.lit(s), F.col(s), column=F.col("column_name")) for s in STATISTICS])
+class Facts:
+    """What several sections tell of a table, each computed once, when first asked for, and kept as a small table."""
 
+    def __init__(self, df: DataFrame):
+        self.df, self.scratch = df, Scratch(df.sparkSession)
 
-def summary_section(df: DataFrame) -> DataFrame:
+    @cached_property
+    def missing(self) -> DataFrame:
+        return self.scratch.keep(missing_profile(self.df), "missing")
+
+    @cached_property
+    def described(self) -> DataFrame:
+        return self.scratch.keep(describe_numeric(self.df), "described")
+
+    @cached_property
+    def correlations(self) -> DataFrame:
+        return self.scratch.keep(correlation_matrix(self.df, numeric_columns(self.df)), "correlations")
+
+    @cached_property
+    def categories(self) -> DataFrame:
+        return self.scratch.keep(describe_categorical(self.df), "categories")
+
+
+def _described(facts: Facts, section: str) -> DataFrame:
+    return _lines(facts.described, [_line(section, F.lit(s), F.col(s), column=F.col("column_name")) for s in STATISTICS])
+
+
+def summary_section(df: DataFrame, known: Facts | None = None) -> DataFrame:
     """Shape, size, types, missing values, numeric and categorical columns."""
+    known = known or Facts(df)
     facts = ["n_rows", "n_columns", "missing_cells", "missing_percent", "numeric_columns", "categorical_columns",
              "datetime_columns"]
     parts = [
         _lines(dataset_summary(df), [_line("basic_info", F.lit(m), F.col(m)) for m in facts]),
         _lines(memory_total(df), [_line("basic_info", F.lit("bytes"), F.col("bytes"))]),
         _lines(type_distribution(df), [_line("basic_info", F.lit("type"), F.col("n_columns"), item=F.col("type"))]),
-        _lines(missing_profile(df), [
+        _lines(known.missing, [
             _line("missing", F.lit(m), F.col(m), column=F.col("column_name")) for m in ("n_missing", "percent")])]
     if numeric_columns(df):
-        parts.append(_described(df, "numeric"))
+        parts.append(_described(known, "numeric"))
     if categorical_columns(df):
-        top = describe_categorical(df)
+        top = known.categories
         parts.append(_lines(top, [_line("categorical", F.lit("top"), F.col("n"), F.col("value"), F.col("column_name"),
                                         F.col("rank").cast("string"))]))
         parts.append(_lines(top.where("rank = 1"), [
@@ -74,22 +100,24 @@ def summary_section(df: DataFrame) -> DataFrame:
     return union_frames(parts)
 
 
-def statistics_section(df: DataFrame) -> DataFrame:
+def statistics_section(df: DataFrame, known: Facts | None = None) -> DataFrame:
     """Descriptive statistics, correlations and quality counts."""
+    known = known or Facts(df)
     parts = [_lines(duplicate_count(df), [_line("quality", F.lit("duplicate_rows"), F.col("n_duplicates"))]),
-             _lines(missing_profile(df), [_line("quality", F.lit("missing_values"), F.col("n_missing"),
+             _lines(known.missing, [_line("quality", F.lit("missing_values"), F.col("n_missing"),
                                                 column=F.col("column_name"))])]
     numeric = numeric_columns(df)
     if numeric:
-        parts.append(_described(df, "basic_stats"))
+        parts.append(_described(known, "basic_stats"))
     if len(numeric) > 1:
-        parts.append(_lines(correlation_matrix(df, numeric), [
+        parts.append(_lines(known.correlations, [
             _line("correlations", F.lit("r"), F.col("r"), column=F.col("column_1"), item=F.col("column_2"))]))
     return union_frames(parts)
 
 
-def chart_section(df: DataFrame) -> DataFrame:
+def chart_section(df: DataFrame, known: Facts | None = None) -> DataFrame:
     """Data of the overview charts: missing patterns of all columns, types, histograms and correlations."""
+    known = known or Facts(df)
     flags = df.columns
     patterns = missing_matrix(df) if flags else None
     parts = [_lines(type_distribution(df), [_line("chart_types", F.lit("columns"), F.col("n_columns"), item=F.col("type"))])]
@@ -101,13 +129,15 @@ def chart_section(df: DataFrame) -> DataFrame:
         parts.append(_lines(histogram(df, numeric, HISTOGRAM_BINS), [
             _line("chart_histogram", F.lit("n"), F.col("n"), column=F.col("column_name"), item=F.col("bin").cast("string"))]))
     if len(numeric) > 1:
-        parts.append(_lines(correlation_matrix(df, numeric), [
+        parts.append(_lines(known.correlations, [
             _line("chart_correlation", F.lit("r"), F.col("r"), column=F.col("column_1"), item=F.col("column_2"))]))
     return union_frames(parts)
 
 
-def insight_section(df: DataFrame) -> DataFrame:
-    return _lines(quality_insights(df), [
+def insight_section(df: DataFrame, known: Facts | None = None) -> DataFrame:
+    known = known or Facts(df)
+    many = len(numeric_columns(df)) > 1
+    return _lines(quality_insights(df, known.missing, known.correlations if many else None), [
         _line("insights", F.col("type"), F.col("value"), F.col("message"), F.col("columns"), F.col("level"))])
 
 
@@ -118,7 +148,8 @@ def sections(df: DataFrame, config: ReportConfig | None = None) -> dict[str, Dat
               ("statistics", config.include_statistics, statistics_section),
               ("charts", config.include_visualizations, chart_section),
               ("insights", config.include_insights, insight_section)]
-    return {name: build(df) for name, wanted, build in chosen if wanted}
+    known = Facts(df)  # shared by all sections
+    return {name: build(df, known) for name, wanted, build in chosen if wanted}
 
 
 def report_tables(df: DataFrame, config: ReportConfig | None = None) -> DataFrame:

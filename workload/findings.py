@@ -152,6 +152,12 @@ def report_statistics(t):
     return rounded(R.statistics_section(rep(t)))
 
 
+@query("report_two_sections", f"WITH {REP}, {FQ}, su AS (" + "\nUNION ALL\n".join(SUMMARY) + "), st AS (" + "\nUNION ALL\n".join(STATISTICS)
+       + ") SELECT 'summary' AS part, * FROM su UNION ALL SELECT 'statistics', * FROM st")
+def report_two_sections(t):
+    return rounded(R.report_tables(rep(t), R.ReportConfig(include_visualizations=False, include_insights=False)))
+
+
 @query("report_charts")
 def report_charts(t):
     return rounded(R.chart_section(rep(t)))
