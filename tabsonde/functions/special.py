@@ -1,13 +1,15 @@
 """Tail probabilities for result rows (one row per test, never per data row).
 
 Regularised incomplete beta and gamma functions by continued fraction and series
-(Lentz's method); tails are computed directly, not as 1 - cdf.
+(Lentz's method); tails are computed directly, not as 1 - cdf. Columns are computed on whole arrays, in
+which rows that have converged stop; the functions of single numbers serve the driver and the tests.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,7 +171,6 @@ def kolmogorov_upper(d: float, n: float) -> float | None:
 
 
 def _kolmogorov_matrix(d: float, n: int) -> float:
-    import numpy as np
     k = int(n * d) + 1
     m = 2 * k - 1
     h = k - n * d
@@ -189,31 +190,168 @@ def _kolmogorov_matrix(d: float, n: int) -> float:
     return float(s)
 
 
-def _row_udf(fn, arity: int):
-    """A Pandas UDF over result rows."""
-    if arity == 1:
-        def run(a: pd.Series) -> pd.Series:
-            return pd.Series([fn(x) for x in a], dtype="float64")
-    elif arity == 2:
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([fn(x, y) for x, y in zip(a, b)], dtype="float64")
-    else:
-        def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-            return pd.Series([fn(x, y, z) for x, y, z in zip(a, b, c)], dtype="float64")
-    udf = F.pandas_udf(run, T.DoubleType())
+# ---- whole arrays ------------------------------------------------------------------------
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function of positive numbers: Stirling's series from 10 on, steps up to there."""
+    y, steps = np.array(x, float), np.zeros(len(x))
+    for _ in range(10):
+        low = y < 10
+        steps += np.where(low, np.log(np.where(low, y, 1.0)), 0.0)
+        y = y + low
+    z = 1.0 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * 691 / 360360))))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+def _away_from_zero(v: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(v) > _TINY, v, _TINY)
+
+
+def _beta_fractions(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out, at = np.zeros(len(x)), np.arange(len(x))
+    c, d = np.ones(len(x)), 1.0 / _away_from_zero(1.0 - (a + b) * x / (a + 1.0))
+    h = d.copy()
+    for m in range(1, 20000):
+        if not len(at):
+            break
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / _away_from_zero(1.0 + num * d)
+            c = _away_from_zero(1.0 + num / c)
+            h = h * d * c
+        open_ = ~(np.abs(d * c - 1.0) < _EPS)
+        out[at] = h
+        at, a, b, x, c, d, h = (v[open_] for v in (at, a, b, x, c, d, h))
+    return out
+
+
+def beta_upper(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """I_x(a, b) with y = 1 - x, of arrays."""
+    with np.errstate(all="ignore"):
+        inside = (x > 0) & (y > 0)
+        x1, y1 = np.where(inside, x, 0.5), np.where(inside, y, 0.5)
+        front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x1) + b * np.log(y1))
+        direct = x1 < (a + 1.0) / (a + b + 2.0)
+        p, q, z = np.where(direct, a, b), np.where(direct, b, a), np.where(direct, x1, y1)
+        part = front * _beta_fractions(p, q, z) / p
+        return np.where(x <= 0, 0.0, np.where(y <= 0, 1.0, np.where(direct, part, 1.0 - part)))
+
+
+def gamma_upper(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Q(a, x) of arrays."""
+    with np.errstate(all="ignore"):
+        out = np.ones(len(x))
+        front = np.exp(a * np.log(np.where(x > 0, x, 1.0)) - x - _log_gamma(a))
+        at = np.flatnonzero((x > 0) & (x < a + 1.0))
+        k, y = a[at].copy(), x[at]
+        term = total = 1.0 / k
+        while len(at):
+            out[at] = np.maximum(0.0, 1.0 - total * front[at])
+            open_ = np.abs(term) > np.abs(total) * _EPS
+            at, k, y, term, total = (v[open_] for v in (at, k, y, term, total))
+            k = k + 1.0
+            term = term * y / k
+            total = total + term
+        at = np.flatnonzero(x >= a + 1.0)
+        own, b = a[at], x[at] + 1.0 - a[at]
+        c, d = np.full(len(at), 1.0 / _TINY), 1.0 / b
+        h = d.copy()
+        for i in range(1, 20000):
+            if not len(at):
+                break
+            step = -i * (i - own)
+            b = b + 2.0
+            d = 1.0 / _away_from_zero(step * d + b)
+            c = _away_from_zero(b + step / c)
+            h = h * d * c
+            out[at] = front[at] * h
+            open_ = ~(np.abs(d * c - 1.0) < _EPS)
+            at, own, b, c, d, h = (v[open_] for v in (at, own, b, c, d, h))
+        return out
+
+
+def t_two_sided_of(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        square = t * t
+        p = beta_upper(df / 2.0, np.full(len(df), 0.5), df / (df + square), np.where(np.isinf(t), 1.0, square / (df + square)))
+    return np.where(np.isinf(t), 0.0, p)
+
+
+def t_upper_of(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    both = t_two_sided_of(t, df)
+    return np.where(t > 0, both / 2.0, 1.0 - both / 2.0)
+
+
+def t_ppf_of(p: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Quantiles by bisection on the upper tail, all rows at once."""
+    tail = np.where(p < 0.5, p, 1.0 - p)
+    low, high = np.zeros(len(p)), np.full(len(p), 2.0)
+    while (more := t_upper_of(high, df) > tail).any():
+        high = np.where(more, high * 2.0, high)
+    for _ in range(200):
+        middle = (low + high) / 2.0
+        above = t_upper_of(middle, df) > tail
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+        if (high - low <= 1e-15 * high).all():
+            break
+    return np.where(p < 0.5, -1.0, 1.0) * (low + high) / 2.0
+
+
+def f_upper_of(f: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    s = d2 + d1 * np.maximum(f, 0.0)
+    return np.where(f <= 0, 1.0, beta_upper(d2 / 2.0, d1 / 2.0, d2 / s, d1 * np.maximum(f, 0.0) / s))
+
+
+def chi2_upper_of(x: np.ndarray, df: np.ndarray) -> np.ndarray:
+    return gamma_upper(df / 2.0, x / 2.0)
+
+
+def kolmogorov_upper_of(d: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The limit law on whole arrays; sizes up to 140 one by one, as each takes powers of a matrix of its own."""
+    out = np.array([kolmogorov_upper(a, b) if b <= 140 else np.nan for a, b in zip(d, n)], float)
+    long = np.flatnonzero(n > 140)
+    x = d[long] * np.sqrt(np.floor(n[long]))
+    x = x + 1.0 / (6.0 * np.sqrt(np.floor(n[long]))) + (x - 1.0) / (4.0 * np.floor(n[long]))
+    with np.errstate(all="ignore"):
+        k = np.arange(1, 40)[:, None]
+        small = 1.0 - math.sqrt(2 * math.pi) / x * np.exp(-((2 * k[:19] - 1) ** 2) * math.pi ** 2 / (8 * x * x)).sum(0)
+        large = 2.0 * ((-1.0) ** (k - 1) * np.exp(-2 * k * k * x * x)).sum(0)
+    value = np.where(x <= 0, 1.0, np.where(x < 1.18, small, large))
+    out[long] = np.where(d[long] <= 0, 1.0, np.where(d[long] >= 1, 0.0, value))
+    return out
+
+
+def _array_udf(fn, valid):
+    """A Pandas UDF over result rows; rows that are not `valid`, or have a null, give null."""
+    def on_arrays(*columns: pd.Series) -> pd.Series:
+        values = [c.to_numpy(float) for c in columns]
+        with np.errstate(all="ignore"):
+            fine = np.logical_and.reduce([~np.isnan(v) for v in values]) & valid(*values)
+        out = np.full(len(fine), np.nan)
+        if fine.any():
+            out[fine] = fn(*(v[fine] for v in values))
+        return pd.Series(out)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return on_arrays(a, b)
+
+    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return on_arrays(a, b, c)
+
+    udfs = {2: F.pandas_udf(two, T.DoubleType()), 3: F.pandas_udf(three, T.DoubleType())}
 
     def call(*cols):
-        got = udf(*[c.cast("double") for c in cols])
+        got = udfs[len(cols)](*[c.cast("double") for c in cols])
         return F.when(~F.isnan(got), got)
     return call
 
 
-t_two_sided_col = _row_udf(t_two_sided, 2)
-t_upper_col = _row_udf(t_upper, 2)
-t_ppf_col = _row_udf(t_ppf, 2)
-f_upper_col = _row_udf(f_upper, 3)
-chi2_upper_col = _row_udf(chi2_upper, 2)
-kolmogorov_upper_col = _row_udf(kolmogorov_upper, 2)
+t_two_sided_col = _array_udf(t_two_sided_of, lambda t, df: df > 0)
+t_upper_col = _array_udf(t_upper_of, lambda t, df: df > 0)
+t_ppf_col = _array_udf(t_ppf_of, lambda p, df: (p > 0) & (p < 1) & (df > 0))
+f_upper_col = _array_udf(f_upper_of, lambda f, d1, d2: (d1 > 0) & (d2 > 0))
+chi2_upper_col = _array_udf(chi2_upper_of, lambda x, df: df > 0)
+kolmogorov_upper_col = _array_udf(kolmogorov_upper_of, lambda d, n: n >= 1)
 
 
 def normal_upper_col(z):

@@ -117,3 +117,34 @@ def test_forecast_of_a_line_goes_on():
     got = yardstick.arma_forecast(np.arange(60.0) * 2 + 5, 0, 1, 0, 3)
     assert got["forecast"] == pytest.approx([125.0, 127.0, 129.0])
     assert yardstick.strongest_periods(np.sin(2 * np.pi * np.arange(240) / 12), 1)[0][1] == pytest.approx(12.0)
+
+
+def test_arrays_equal_single_numbers():
+    """Every tail on whole arrays against the functions of single numbers, over sizes, tails and edges."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    t, df = rng.normal(size=n) * rng.choice([0.1, 1, 5, 40], n), rng.choice([1, 2, 3.5, 10, 120, 5000, 1e6], n)
+    t[:4] = [0.0, np.inf, -np.inf, 1e-9]
+    same = lambda got, want: np.testing.assert_allclose(got, np.array(want, float), rtol=1e-6, atol=1e-300)
+    same(special.t_two_sided_of(t, df), [special.t_two_sided(*v) for v in zip(t, df)])
+    same(special.t_upper_of(t, df), [special.t_upper(*v) for v in zip(t, df)])
+    f, d1, d2 = np.abs(t[4:]) * 3, rng.choice([1, 2, 7, 400], n - 4).astype(float), rng.choice([1, 5, 30, 1e5], n - 4)
+    f[:2] = [0.0, -1.0]
+    same(special.f_upper_of(f, d1, d2), [special.f_upper(*v) for v in zip(f, d1, d2)])
+    x = f * d1
+    same(special.chi2_upper_of(x, d1), [special.chi2_upper(*v) for v in zip(x, d1)])
+    d, sizes = rng.random(400) ** 3, rng.choice([1, 20, 141, 900, 10 ** 6], 400).astype(float)
+    d[:2] = [0.0, 1.0]
+    np.testing.assert_allclose(special.kolmogorov_upper_of(d, sizes), [special.kolmogorov_upper(*v) for v in zip(d, sizes)], rtol=1e-9, atol=1e-14)
+    p = rng.random(60)
+    np.testing.assert_allclose(special.t_ppf_of(p, df[:60]), [special.t_ppf(*v) for v in zip(p, df[:60])], rtol=1e-7, atol=1e-12)
+    lg = np.concatenate([rng.random(200) * 30 + 1e-3, [0.5, 1, 2, 10, 1e7]])
+    np.testing.assert_allclose(special._log_gamma(lg), [math.lgamma(v) for v in lg], rtol=1e-13, atol=1e-13)
+
+
+def test_columns_of_tails(spark):
+    rows = [(1.5, 10.0), (None, 3.0), (2.0, 0.0), (float("nan"), 4.0), (float("inf"), 4.0)]
+    df = spark.createDataFrame(rows, "t double, df double")
+    got = [r[0] for r in df.select(special.t_two_sided_col(F.col("t"), F.col("df"))).collect()]
+    assert got[0] == pytest.approx(special.t_two_sided(1.5, 10.0)) and got[1:4] == [None] * 3 and got[4] == 0.0
+    assert df.limit(0).select(special.f_upper_col(F.col("t"), F.col("df"), F.col("df"))).count() == 0
