@@ -8,7 +8,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -18,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from tabsonde.plans.parallel import widen
 from tabsonde.plans.quantiles import column_quantiles
+from tabsonde.plans.storage import Scratch
 from tabsonde.schema import as_double, numeric_columns, require_numeric
 
 TREES, SUBSAMPLE = 100, 256
@@ -30,8 +30,7 @@ def standardised(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (
     rows = df.select(*keep, *[as_double(c).alias(c) for c in features if c not in keep]).na.drop(subset=list(features))
     assembled = VectorAssembler(inputCols=list(features), outputCol="_raw").transform(rows)
     scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(assembled)
-    # Iterations read the vectors again and again: spread them over all cores and keep them.
-    return widen(scaler.transform(assembled).drop("_raw")).persist(StorageLevel.MEMORY_AND_DISK)
+    return widen(scaler.transform(assembled).drop("_raw"))
 
 
 ROUNDS, STEPS, SETTLED = 5, 30, 1e-4
@@ -346,7 +345,7 @@ def anomalies(df: DataFrame, features: Sequence[str] | None = None, contaminatio
     """Every complete row with its score and whether it is among the `contamination` share
     with the highest scores."""
     # Scored once: the threshold takes several passes and the result reads the same rows.
-    scored = isolation_scores(df, features, keep).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = Scratch(df.sparkSession).keep(isolation_scores(df, features, keep), "scored")
     limit = column_quantiles(scored.select("score"), ["score"], [1 - contamination])["score", 1 - contamination]
     return scored.withColumn("is_anomaly", F.col("score") > F.lit(limit))
 

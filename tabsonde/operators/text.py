@@ -6,7 +6,6 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,14 +53,16 @@ def keywords_by_tfidf(df: DataFrame, text: str, n: int = 10,
 
     size = range(len(vocabulary))
     # n numbers per text are kept between the two passes, not the texts.
-    counted = rows.select(*[times(v).alias(f"c{i}") for i, v in enumerate(vocabulary)]).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = rows.select(*[times(v).alias(f"c{i}") for i, v in enumerate(vocabulary)])
+    scratch = Scratch(df.sparkSession)
+    counted = scratch.keep(counted, "counted")
     seen = counted.agg(F.count(F.lit(1)).alias("texts"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in size]).first()
     idf = [math.log((1 + seen["texts"]) / (1 + seen[f"d{i}"])) + 1 for i in size]
     weighed = counted.select(*[(F.col(f"c{i}") * F.lit(idf[i])).alias(f"w{i}") for i in size])
     norm = F.sqrt(sum((F.col(f"w{i}") ** 2 for i in size), F.lit(0.0)))
     scores = weighed.withColumn("norm", norm).agg(*[
         F.avg(F.coalesce(F.try_divide(f"w{i}", "norm"), F.lit(0.0))).alias(f"s{i}") for i in size]).first()
-    counted.unpersist()
+    scratch.drop("counted")
     return (df.sparkSession.createDataFrame([(v, scores[f"s{i}"]) for i, v in enumerate(vocabulary)], "term string, score double")
             .orderBy(F.desc("score"), "term"))
 
