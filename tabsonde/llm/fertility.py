@@ -197,7 +197,7 @@ def quality(docs: DataFrame, tokenizer: str, language: str | None = "lang", most
     """
     group = F.col(language).cast("string") if language in docs.columns else F.lit(None).cast("string")
     carry, more = carried(docs, carry, [*(f.split()[0] for f in MEASURES.split(", ")), "base_failed", "kept"])
-    rows = docs.select("doc_id", "text", group.alias("_language"), *(c.alias(n) for n, c in more.items()))
+    rows = docs.withColumns({"_language": group, **more})  # measures() takes from it what it needs
     found = stored(measures(rows, tokenizer, ["_language", *more]), "measures")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     found = (found.withColumn("base_failed", failed).withColumn("_ratio", F.col("token_entropy") / F.log2(
