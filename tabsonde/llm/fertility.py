@@ -12,6 +12,7 @@ from tabsonde.llm.exchange import carried, stored, with_fields
 from tabsonde.plans.ordering import attach
 
 CACHED_WORDS = 300_000
+CHUNK = 1 << 18  # bytes of text measured at once; they take some 200 times that in arrays
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 # Scripts by the first byte of a UTF-8 character; ASCII letters and Latin supplements are one script.
@@ -119,7 +120,7 @@ def measures(docs: DataFrame, tokenizer: str, carry: list[str] | None = None) ->
     def run(batches):
         pieces = Pieces.of(tokenizer)
         for batch in batches:
-            for first, last, data, offsets in arrays.chunks(batch.column("text")):
+            for first, last, data, offsets in arrays.chunks(batch.column("text"), CHUNK):
                 got = _measure(data, offsets, pieces)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, last - first), *(pa.array(got[c]) for c in names),

@@ -65,3 +65,18 @@ def test_operators_tell_such_words_apart(spark):
     pair = spark.createDataFrame([(1, ONE), (2, TWO), (3, f"{ONE} x"), (4, f"{TWO} x")], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in jaccard_classes(pair).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
     assert len(re.findall("ab", ONE)) > 100
+
+
+def test_workers_give_freed_memory_back():
+    import pyarrow as pa
+
+    def held() -> int:
+        with open("/proc/self/status") as f:
+            return int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) >> 10
+
+    column, pins, before = pa.array(["x" * 1000] * 4), [], held()
+    for _ in arrays.chunks(column, 1000):
+        arrays_of_chunk = [np.ones(12_000) for _ in range(1000)]  # 96 MB in blocks of the heap
+        pins.append(np.ones(12_000))  # the last block in use lies above them
+        del arrays_of_chunk
+    assert held() - before < 50
