@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,3 +79,67 @@ def occurrences(text: Column, listed: list[str]) -> Column:
 def listed_words(text: Column, listed: list[str]) -> Column:
     """The listed words among the words of the text, in order."""
     return F.regexp_extract_all(_kept(text), _any_of(listed), F.lit(0))
+
+
+# ---- the same terms on Arrow arrays -------------------------------------------------------
+
+SLICE = 1 << 21  # bytes of texts that are split at a time
+_WHITE = np.zeros(1 << 16, bool)
+_WHITE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+        0x205F, 0x3000]] = True
+_DROP, _KEEP, _SPACE = 0, 1, 2
+_KIND = np.where(_WHITE[:256] & (np.arange(256) < 128), _SPACE, _DROP).astype(np.uint8)
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = _KEEP
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def split_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """Some texts at a time: how many, and (number of the text among them, word) of all their words; texts are not null.
+    The words are those of `words` without empty ones."""
+    texts = texts.cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
+        some = texts.slice(first, last - first)
+        # The two other characters whose lower case has a letter from a to z.
+        some = pc.replace_substring(pc.replace_substring(some, "\u212a", "k"), "\u0130", "i")
+        _, ends, data = some.buffers()
+        ends = np.frombuffer(ends, np.int64)[some.offset:some.offset + len(some) + 1]
+        number, word = _split(np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]], ends - ends[0])
+        yield len(some), number.astype(np.int32), word
+        first = last
+
+
+def _split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    kind = _KIND[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        more = np.append(data, np.zeros(2, np.uint8)).astype(np.int32)
+        two = lead[data[lead] == 0xC2]
+        kind[two[_WHITE[more[two + 1] & 0xFF]]] = _SPACE
+        three = lead[(data[lead] >= 0xE1) & (data[lead] <= 0xED)]
+        code = (more[three] & 0x0F) << 12 | (more[three + 1] & 0x3F) << 6 | more[three + 2] & 0x3F
+        kind[three[_WHITE[code]]] = _SPACE
+        hangul = three[(code >= 0xAC00) & (code <= 0xD7A3)]
+        for i in range(3):
+            kind[hangul + i] = _KEEP
+    ends = (kind == _SPACE).astype(np.int8)
+    ends[at[:-1][at[:-1] < len(data)]] = 1  # a text ends the word before it
+    place = np.flatnonzero(kind == _KEEP)
+    start = np.flatnonzero(np.diff(np.cumsum(ends, dtype=np.int32)[place], prepend=-1))
+    offsets = np.append(start, len(place)).astype(np.int32)
+    word = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[place]]))
+    return np.searchsorted(at, place[start], "right") - 1, word
+
+
+def coded_terms(word: pa.ChunkedArray, stop_words: Sequence[str] = STOP_WORDS) -> tuple[np.ndarray, pa.Array]:
+    """Places of the words in a dictionary of their terms, -1 for what is no term, and the dictionary."""
+    coded = word.dictionary_encode().combine_chunks()
+    names = coded.dictionary
+    stop = pa.array(cleaned(list(stop_words)), pa.string())
+    good = pc.and_(pc.greater_equal(pc.utf8_length(names), MIN_WORD), pc.invert(pc.is_in(names, stop)))
+    is_good = good.to_numpy(zero_copy_only=False)
+    place = np.where(is_good, np.cumsum(is_good) - 1, -1).astype(np.int32)
+    return place[coded.indices.to_numpy()], names.filter(good)

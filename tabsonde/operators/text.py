@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsonde.functions.text import NEGATIVE, POSITIVE, STOP_WORDS, clean, is_term, listed_words, occurrences, terms, words
-from tabsonde.plans.ordering import attach
+from tabsonde.functions import topicblocks as blocks
+from tabsonde.functions.text import NEGATIVE, POSITIVE, STOP_WORDS, clean, is_term, listed_words, occurrences, words
 from tabsonde.plans.parallel import widen
 from tabsonde.plans.storage import Scratch
 
@@ -97,17 +97,22 @@ ALPHA, ETA = 0.1, 0.01  # what every topic has in every text, and every term in
 
 
 class Topics:
-    """A topic model as tables: `words` (term, n, w0 ..) and `texts` (_text, t0 .., kept columns) with the counts of
-    every topic in them, `postings` (_text, term, n), the totals of the topics and the number of terms."""
+    """A topic model as tables: `words` (term, n, texts, w0 ..) and `texts` (_text, t0 .., kept columns) with the counts of
+    every topic in them, the totals of the topics and the number of terms.
 
-    def __init__(self, words: DataFrame, texts: DataFrame, postings: DataFrame, k: int, scratch: Scratch):
-        self.words, self.texts, self.postings, self.k, self.scratch = words, texts, postings, k, scratch
+    Texts lie in groups of some two million terms, packed as arrays; `packed` has them and their links with blocks of
+    terms, `state` the counts of the last step (see functions.topicblocks)."""
+
+    def __init__(self, packed: DataFrame, state: DataFrame, names: DataFrame, kept: DataFrame | None, k: int, scratch: Scratch):
+        self.packed, self.state, self.names, self.kept, self.k, self.scratch = packed, state, names, kept, k, scratch
         self.totals: list[float] = []
         self.terms = 0
+        self.measure()
 
     def measure(self) -> None:
-        row = self.words.agg(F.count(F.lit(1)), *[F.sum(f"w{i}") for i in range(self.k)]).first()  # k + 1 numbers
-        self.terms, self.totals = row[0], [float(v or 0.0) for v in row[1:]]
+        rows = self.state.where(F.col("kind") == blocks.TOTALS)
+        row = rows.agg(*[F.sum(F.col("v")[i]) for i in range(self.k + 1)]).first()  # k + 1 numbers
+        self.terms, self.totals = int(row[0] or 0), [float(v or 0.0) for v in row[1:]]
 
     def weight(self, i: int) -> Column:
         """Share of a term in topic i."""
@@ -118,65 +123,82 @@ class Topics:
         total = sum((F.col(f"t{j}") for j in range(1, self.k)), F.col("t0"))
         return (F.col(f"t{i}") + ALPHA) / (total + self.k * ALPHA)
 
-    def joined(self) -> DataFrame:
-        """Postings with the weights of their term (p0 ..) and the counts of their text (t0 ..). Frequent terms are
-        spread by attach(); a text's own terms are bounded by its length."""
-        sizes = self.words.select("term", F.col("texts").alias("n"))
-        weights = self.words.select("term", *[self.weight(i).alias(f"p{i}") for i in range(self.k)])
-        with_words = attach(self.postings, weights, ["term"], sizes)
-        return with_words.join(self.texts.select("_text", *[f"t{i}" for i in range(self.k)]).hint("merge"), "_text")
+    def grouped(self):
+        """Everything a group's texts need, by group."""
+        state = self.state.where(F.col("kind").isin(blocks.STATE, blocks.WEIGHTS))
+        return self.packed.unionByName(state).groupBy("to")
 
-    def step(self) -> None:
+    def step(self, last: bool) -> None:
         """Each posting is shared out among the topics, by the weight of its term times the count in its text; the
         shares make the new counts of texts and terms."""
-        total = sum((F.col(f"p{i}") * (F.col(f"t{i}") + ALPHA) for i in range(1, self.k)), F.col("p0") * (F.col("t0") + ALPHA))
-        given = self.joined().withColumn("_all", total).select("_text", "term", "n", *[
-            (F.col("n") * F.col(f"p{i}") * (F.col(f"t{i}") + ALPHA) / F.col("_all")).alias(f"r{i}") for i in range(self.k)])
-        given = self.scratch.keep(given, "given")
-        texts = given.groupBy("_text").agg(*[F.sum(f"r{i}").alias(f"t{i}") for i in range(self.k)])
-        others = self.texts.drop(*[f"t{i}" for i in range(self.k)])
-        texts = others.join(texts.hint("merge"), "_text", "left").na.fill(0.0, [f"t{i}" for i in range(self.k)])
-        words = given.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"),
-                                          *[F.sum(f"r{i}").alias(f"w{i}") for i in range(self.k)])
-        self.texts, self.words = self.scratch.keep(texts, "texts"), self.scratch.keep(words, "words")
-        self.scratch.drop("given")
+        given = self.grouped().applyInArrow(blocks.share_out(self.k, self.totals, self.terms, ALPHA, ETA), blocks.SCHEMA)
+        state = given.groupBy("kind", "to").applyInArrow(blocks.add_up(self.k, last), blocks.SCHEMA)
+        self.state = self.scratch.keep(state, "state", ["kind"])
         self.measure()
 
+    @property
+    def words(self) -> DataFrame:
+        counts = self.names.unionByName(self.state.where(F.col("kind") == blocks.COUNTS))
+        schema = ", ".join(["term string, n double, texts bigint", *(f"w{i} double" for i in range(self.k))])
+        return counts.groupBy("to").applyInArrow(blocks.spelled(self.k), schema)
+
+    @property
+    def texts(self) -> DataFrame:
+        schema = ", ".join(["_text bigint", *(f"t{i} double" for i in range(self.k))])
+        counts = self.state.where(F.col("kind") == blocks.STATE).select("a", "b").mapInArrow(blocks.listed(self.k), schema)
+        return counts if self.kept is None else self.kept.join(counts.hint("merge"), "_text")
+
     def perplexity(self) -> float:
-        fit = sum((F.col(f"p{i}") * self.shares(i) for i in range(1, self.k)), F.col("p0") * self.shares(0))
-        row = self.joined().agg(F.sum(F.col("n") * F.log(fit)), F.sum("n")).first()
+        fit = blocks.likelihood(self.k, self.totals, self.terms, ALPHA, ETA)
+        row = self.grouped().applyInArrow(fit, "s double, n double").agg(F.sum("s"), F.sum("n")).first()
         return math.exp(-row[0] / row[1]) if row[1] else math.nan
 
 
+#: Pairs of a group and a term of it that one block of terms takes in, as a rule.
+PAIRS_PER_BLOCK = 1 << 20
+
+
 def fit_topics(df: DataFrame, text: str, n_topics: int = 5, iterations: int = 20,
                stop_words: Sequence[str] = STOP_WORDS, keep: Sequence[str] = ()) -> Topics:
     """A topic model of all terms of all texts, by expectation and maximisation on tables.
 
-    Counts of topics per term are a table with one row per term, joined to the postings (text, term, n) in each step;
-    so the vocabulary has no bound, and only the topics' totals are known to the driver. A step shuffles the postings
-    with n_topics numbers each twice and writes them once. Steps begin from fractions of MD5 digests of the terms,
-    so the model depends on neither partitions nor the order of rows.
+    Texts are packed into groups with a dictionary of their own, terms are dealt to blocks by hash. In a step the
+    groups share out their postings and send each block the sums of its terms; the blocks add them up and answer. So
+    the vocabulary has no bound, what travels is the postings as arrays of small numbers and n_topics numbers for each
+    term of each group, and only the topics' totals are known to the driver. Steps begin from fractions of MD5 digests
+    of the terms, so the model depends on neither partitions nor the order of rows.
     """
     scratch = Scratch(df.sparkSession)
     names = [f"_k{i}" for i in range(len(keep))]
-    rows = widen(df.where(F.col(text).isNotNull()).select(text, *[F.col(c).alias(n) for c, n in zip(keep, names)]))
-    rows = rows.select(F.monotonically_increasing_id().alias("_text"), terms(F.col(text), list(stop_words)).alias("_terms"), *names)
-    rows = scratch.keep(rows, "rows")  # one pass over the texts
-    postings = scratch.keep(rows.select("_text", F.explode("_terms").alias("term")).groupBy("_text", "term")
-                            .agg(F.count(F.lit(1)).cast("double").alias("n")), "postings")
-    texts = rows.select("_text", *names, *[(F.size("_terms") / n_topics).alias(f"t{i}") for i in range(n_topics)])
-
-    def fraction(i: int) -> Column:
-        code = F.conv(F.substring(F.md5(F.concat("term", F.lit(f":{i}")).cast("binary")), 1, 8), 16, 10)
-        return code.cast("double") / 2.0 ** 32
-
-    words = postings.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    words = words.select("term", "n", "texts", *[(F.col("n") * fraction(i)).alias(f"w{i}") for i in range(n_topics)])
-    model = Topics(scratch.keep(words, "words"), scratch.keep(texts, "texts"), postings, n_topics, scratch)
-    scratch.drop("rows")
-    model.measure()
-    for _ in range(iterations if model.terms else 0):
-        model.step()
+    rows = widen(df.where(F.col(text).isNotNull()).select(F.col(text).alias("_of"), *[F.col(c).alias(n) for c, n in zip(keep, names)]))
+    rows = rows.select(F.monotonically_increasing_id().alias("_text"), "_of", *names)
+    if names:  # two tables are made of these
+        rows = scratch.keep(rows, "rows")
+    groups = scratch.keep(rows.select("_text", "_of").mapInArrow(blocks.gather(n_topics, stop_words), blocks.GATHERED), "groups")
+    kept = None
+    if names:
+        kept = scratch.keep(rows.select("_text", *names), "texts")
+        scratch.drop("rows")
+
+    pairs = groups.agg(F.sum(F.size("terms"))).first()[0] or 0
+    count = max(-(-pairs // PAIRS_PER_BLOCK), min(16, -(-pairs // (PAIRS_PER_BLOCK >> 4))), 1)
+    each = (groups.select(F.col("to").alias("_group"), F.posexplode(F.arrays_zip("terms", "n", "texts")).alias("_at", "_r"))
+            .select("_group", F.col("_at").cast("bigint").alias("_at"), F.col("_r.terms").alias("term"), "_r.n", "_r.texts"))
+    linked = (each.groupBy(F.pmod(F.xxhash64("term"), F.lit(count)).alias("_block"))
+              .applyInArrow(blocks.found(n_topics), blocks.SCHEMA))
+    linked = scratch.keep(linked, "linked", ["kind"])
+    nothing = F.lit(None).cast("array<double>").alias("v")
+    static = groups.select("to", F.lit(blocks.TEXTS).alias("kind"), F.lit(0).cast("bigint").alias("source"), "a", "b", "c", nothing)
+    start = groups.select("to", F.lit(blocks.STATE).alias("kind"), F.lit(0).cast("bigint").alias("source"), F.col("counts").alias("a"),
+                          F.col("ids").alias("b"), F.lit(None).cast("binary").alias("c"), nothing)
+    of_kind = lambda *kinds: linked.where(F.col("kind").isin(*kinds))
+    model = Topics(static.unionByName(of_kind(blocks.LINK)),
+                   start.unionByName(of_kind(blocks.WEIGHTS, blocks.COUNTS, blocks.TOTALS)), of_kind(blocks.TERMS), kept, n_topics, scratch)
+    for i in range(iterations if model.terms else 0):
+        model.step(i == iterations - 1)
+        if i == 0:
+            for kind in (blocks.WEIGHTS, blocks.COUNTS):  # the first counts are not needed any more
+                scratch.drop_part("linked", f"kind={kind}")
     return model
 
 
@@ -184,7 +206,8 @@ def topics(df: DataFrame, text: str, n_topics: int = 5, n_words: int = 10, **kw)
     """(topic, rank, term, weight, perplexity): the leading terms of each topic."""
     model = fit_topics(df, text, n_topics, **kw)
     perplexity = F.lit(model.perplexity())
-    parts = [model.words.select(F.lit(i).alias("topic"), "term", model.weight(i).alias("weight"))
+    words = model.scratch.keep(model.words, "words")
+    parts = [words.select(F.lit(i).alias("topic"), "term", model.weight(i).alias("weight"))
              .orderBy(F.desc("weight"), "term").limit(n_words) for i in range(n_topics)]
     best = reduce(DataFrame.unionByName, parts)
     rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "term"))  # n_words rows each
