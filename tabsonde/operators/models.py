@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -142,6 +144,18 @@ def _prepared(df: DataFrame, target: str, features: Sequence[str], key: Sequence
     return StringIndexer(inputCol="_t", outputCol="_y", stringOrderType="alphabetAsc").fit(rows).transform(rows).drop("_t")
 
 
+ROWS_PER_TASK = 50_000
+FITS_AT_ONCE = 3
+
+
+def _spread_rows(rows: DataFrame) -> DataFrame:
+    """Dealt to more tasks where there are fewer than ROWS_PER_TASK asks for and cores are idle: an iteration of a fit is
+    a job over all rows, which a table of one file would leave to one core."""
+    tasks = rows.rdd.getNumPartitions()
+    wanted = min(rows.count() // ROWS_PER_TASK, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(wanted) if wanted > tasks else rows
+
+
 def evaluate_models(df: DataFrame, target: str, key: Sequence[str], features: Sequence[str] | None = None,
                     task: str | None = None, models: Sequence[str] | None = None) -> DataFrame:
     """(model, complexity, score, cv_score, performance, is_best, reason).
@@ -149,11 +163,15 @@ def evaluate_models(df: DataFrame, target: str, key: Sequence[str], features: Se
     Hold-out is a hash split of 80 / 20, cross-validation uses five hash folds. The score is the
     RMSE or the accuracy; performance is 1 / (1 + rmse) or the accuracy. The kernel model is a
     linear model on random Fourier features, an approximation that can be fit on many machines; for regression it
-    has a ridge of RIDGE. Linear and kernel regressions take one scan for all their fits.
+    has a ridge of RIDGE. Linear and kernel regressions take one scan for all their fits; of the others, FITS_AT_ONCE
+    run side by side.
     """
     features = list(features or [c for c in numeric_columns(df) if c != target])
     task = task or task_type(df, target).first()["task"]
-    rows = _prepared(df, target, features, key, task).cache()
+    prepared = _prepared(df, target, features, key, task).cache()
+    rows = prepared if task == "regression" and set(models or candidates()) <= {"linear", "kernel"} else _spread_rows(prepared)
+    if rows is not prepared:
+        rows = rows.cache()
     metric = "rmse" if task == "regression" else "accuracy"
     if task == "regression":
         evaluator = RegressionEvaluator(labelCol="_y", metricName="mse")
@@ -179,8 +197,11 @@ def evaluate_models(df: DataFrame, target: str, key: Sequence[str], features: Se
             held, cv = closed[kind]
         else:
             used = RandomFeatures(rows, features).add(rows).cache() if kind == "kernel" else rows
-            held = score(kind, used.where("_hold < 8"), used.where("_hold >= 8"))
-            cv = float(np.mean([score(kind, used.where(F.col("_fold") != f), used.where(F.col("_fold") == f)) for f in range(FOLDS)]))
+            parts = [("_hold < 8", "_hold >= 8"), *((f"_fold <> {f}", f"_fold = {f}") for f in range(FOLDS))]
+            tasks = [inheritable_thread_target(df.sparkSession)(lambda p=p: score(kind, used.where(p[0]), used.where(p[1]))) for p in parts]
+            with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+                held, *errors = pool.map(lambda fit: fit(), tasks)
+            cv = float(np.mean(errors))
         if task == "regression":
             held, cv = math.sqrt(held), math.sqrt(cv)
         performance = 1 / (1 + held) if task == "regression" else held
@@ -188,6 +209,7 @@ def evaluate_models(df: DataFrame, target: str, key: Sequence[str], features: Se
         if used is not rows:
             used.unpersist()
     rows.unpersist()
+    prepared.unpersist()
     best = max(r[5] for r in results)
     out = df.sparkSession.createDataFrame(
         [(*r, r[5] == best) for r in results],
