@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 from tabsonde.functions import ranks
 from tabsonde.functions.special import normal_upper_col, t_two_sided_col
 from tabsonde.plans.aggregates import pair_sums, pearson
-from tabsonde.plans.ordering import BUCKET, add_bucket, attach, bucket_count, crossing, null_safe, ranked_frequency
+from tabsonde.plans.ordering import BUCKET, add_bucket, attach, bucket_count, crossing, null_safe, ranked_frequency, running_sums
+from tabsonde.plans.storage import Scratch
 from tabsonde.schema import as_double, numeric_columns, require_numeric, spread
 
 PAIRS_PER_AGGREGATE = 30
@@ -334,13 +336,66 @@ def correlation_test(df: DataFrame, x: str, y: str, method: str = "pearson",
                       r_p_value(F.col("r"), F.col("n")).alias("p_value"))
 
 
+#: Distinct values of a column whose ranks are broadcast to all rows.
+FEW_VALUES = 1 << 16
+
+
+def _spearman_complete(df: DataFrame, cols: Sequence[str], use: Sequence[int]) -> dict[tuple[int, int], tuple[int, float | None]]:
+    """{(i, j): (n, r)} for pairs of the columns `use`, which miss no value, so a column's ranks are the same in all its
+    pairs. Pairs of two columns with more than FEW_VALUES distinct values are left out.
+
+    One frequency table of all columns gives the ranks. Those of columns with few values are broadcast to the rows. For a
+    column with many, rows are first added up by its values, and its ranks join those sums: no row is shuffled more than
+    once a column, however many pairs there are.
+    """
+    scratch = Scratch(df.sparkSession)
+    cells = spread(df, [F.struct(F.lit(i).alias("_c"), as_double(cols[i]).alias("_v")) for i in use])
+    counted = scratch.keep(cells.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("n")), "counted")
+    placed = running_sums(add_bucket(counted, ["_c"], ["_v"]), ["_c"], ["_v"], {"upto": F.col("n")}, {"upto": "n_group"})
+    rank = F.col("upto") - (F.col("n") - 1) / 2 - (F.col("n_group") + 1) / 2
+    table = scratch.keep(placed.select("_c", "_v", "n", rank.alias("rank")), "ranks")
+    scratch.drop("counted")
+    facts = {r["_c"]: r for r in table.groupBy("_c").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"), F.sum(
+        F.col("n") * F.col("rank") * F.col("rank")).alias("square")).collect()}  # one row a column
+    few = [i for i in use if facts[i]["values"] <= FEW_VALUES]
+    rows = df.select(*[as_double(cols[i]).alias(f"_v{i}") for i in use])
+    for i in few:
+        own = table.where(F.col("_c") == i).select(F.col("_v").alias("_at"), F.col("rank").alias(f"_r{i}"))
+        rows = rows.join(F.broadcast(own), F.col(f"_v{i}") == F.col("_at")).drop("_at")
+    products: dict[tuple[int, int], float] = {}
+    pairs = list(combinations(few, 2))
+    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
+        some = pairs[start:start + PAIRS_PER_AGGREGATE]
+        products |= zip(some, rows.agg(*[F.sum(F.col(f"_r{i}") * F.col(f"_r{j}")) for i, j in some]).first())
+    for i in (i for i in use if i not in few and few):
+        sums = rows.groupBy(f"_v{i}").agg(*[F.sum(f"_r{j}").alias(f"_s{j}") for j in few])
+        own = table.where(F.col("_c") == i).select(F.col("_v").alias("_at"), "rank")
+        both = sums.join(own.hint("merge"), F.col(f"_v{i}") == F.col("_at"))
+        products |= zip([(min(i, j), max(i, j)) for j in few], both.agg(*[F.sum(F.col("rank") * F.col(f"_s{j}")) for j in few]).first())
+    scratch.drop("ranks")
+    size = {i: math.sqrt(facts[i]["square"]) for i in use}
+    return {(i, j): (facts[i]["n"], v / (size[i] * size[j]) if size[i] * size[j] else None) for (i, j), v in products.items()}
+
+
 def rank_correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
                             method: str = "spearman") -> DataFrame:
     """(column_1, column_2, n, r) for every pair, ranked over the rows where both are present."""
     cols = list(cols or numeric_columns(df))
     require_numeric(df, cols)
-    pairs = list(combinations(cols, 2))
+    pairs = list(combinations(range(len(cols)), 2))
+    found: dict[tuple[int, int], tuple[int, float | None]] = {}
+    if method == "spearman" and pairs:
+        total, *present = df.agg(F.count(F.lit(1)), *[F.count(as_double(c)) for c in cols]).first()
+        complete = [i for i, n in enumerate(present) if n == total]
+        if total and len(complete) > 1:
+            found = _spearman_complete(df, cols, complete)
+    rest = [(cols[i], cols[j]) for i, j in pairs if (i, j) not in found]
+    done = [(cols[i], cols[j], *found[i, j]) for i, j in pairs if (i, j) in found]
+    done = df.sparkSession.createDataFrame(done, "column_1 string, column_2 string, n bigint, r double") if done else None
+    if done is not None and not rest:
+        return done
     fn = {"spearman": _spearman, "kendall": _kendall}[method]
-    first, second = (F.array(*[F.lit(p[i]) for p in pairs]) for i in (0, 1))
-    return fn(_long_pairs(df, pairs), ["_pair"]).select(
+    first, second = (F.array(*[F.lit(p[i]) for p in rest]) for i in (0, 1))
+    got = fn(_long_pairs(df, rest), ["_pair"]).select(
         F.get(first, F.col("_pair")).alias("column_1"), F.get(second, F.col("_pair")).alias("column_2"), "n", "r")
+    return got if done is None else done.unionByName(got)

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabsonde.functions import ranks
 from tabsonde.operators import correlation
@@ -91,3 +92,25 @@ def test_empty(spark):
 
 def test_rows_per_point():
     assert ranks.levels(2 ** 35 - 1) == 7 and ranks.levels(0) == 1 and ranks.levels(32) == 2
+
+
+def test_matrix_of_complete_columns(spark, monkeypatch):
+    """Columns without missing values are ranked once: no pair of values is counted for them. Any mix of columns with
+    few and many values, with and without missing ones, gives what single pairs give."""
+    df = spark.range(3000).select(
+        (F.xxhash64("id") % 1000).cast("double").alias("many"), (F.xxhash64("id", F.lit(1)) % 700 + F.col("id") % 5).alias("more"),
+        (F.col("id") % 5).alias("few"), (F.xxhash64("id", F.lit(2)) % 3).alias("three"), F.lit(1).alias("one"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 11).alias("gaps"))
+    cols = df.columns
+    want = {(a, b): correlation.correlation_test(df, a, b, "spearman").first() for a, b in [("many", "more"), ("many", "few"), ("few", "three"), ("more", "gaps"), ("few", "one")]}
+    stacked = correlation._long_pairs
+    asked = []
+    monkeypatch.setattr(correlation, "_long_pairs", lambda df, pairs: asked.append(list(pairs)) or stacked(df, pairs))
+    for bound in (1 << 16, 100):
+        monkeypatch.setattr(correlation, "FEW_VALUES", bound)
+        got = {(r.column_1, r.column_2): r for r in correlation.rank_correlation_matrix(df, cols).collect()}
+        assert len(got) == 15
+        for k, w in want.items():
+            assert got[k].n == w.n and got[k].r == (pytest.approx(w.correlation, abs=1e-12) if w.correlation is not None else None)
+    assert [len(p) for p in asked] == [5, 6]  # with gaps; also the pair of two columns with many values
+    assert correlation.rank_correlation_matrix(df.limit(0), cols).count() == 0
