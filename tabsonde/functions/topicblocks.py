@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from tabsonde.functions.text import coded_terms, split_words
 
 #: Words at which a group of texts ends.
-GROUP_TERMS = 1 << 22
+GROUP_TERMS = 3 << 20
 #: Postings that are shared out at a time.
 CHUNK = 1 << 17
 

@@ -132,8 +132,12 @@ class Topics:
         """Each posting is shared out among the topics, by the weight of its term times the count in its text; the
         shares make the new counts of texts and terms."""
         given = self.grouped().applyInArrow(blocks.share_out(self.k, self.totals, self.terms, ALPHA, ETA), blocks.SCHEMA)
+        given = self.scratch.keep(given, "given")  # what the groups read can go before the blocks add up
+        if "state" in self.scratch.paths:
+            self.scratch.drop("state")
         state = given.groupBy("kind", "to").applyInArrow(blocks.add_up(self.k, last), blocks.SCHEMA)
         self.state = self.scratch.keep(state, "state", ["kind"])
+        self.scratch.drop("given")
         self.measure()
 
     @property
